@@ -32,7 +32,7 @@ def _(t):
     orders = t.table("orders").withColumn("o_totalprice", F.floor("o_totalprice").cast("double"))
     spec = AggSpec(
         {"PRICE": ["min", "max", "mean", "sum", "var", "size", "count"], "PRIORITY": ["nunique"]},
-        {"PRICE": F.col("o_totalprice"), "PRIORITY": F.col("o_orderpriority")},
+        {"PRICE": "o_totalprice", "PRIORITY": "o_orderpriority"},
     )
     return rounded(orders.groupBy("o_custkey").agg(*spec.columns("ORD_")), ["o_custkey"])
 
@@ -45,7 +45,7 @@ def _(t):
 def _(t):
     spec = AggSpec(
         {"typed": ["count"], "rows": ["size"], "types": ["nunique"]},
-        {"typed": F.col("CREDIT_TYPE"), "rows": F.lit(1), "types": F.col("CREDIT_TYPE")},
+        {"typed": "CREDIT_TYPE", "types": "CREDIT_TYPE"},
     )
     grouped = t.bureau.groupBy("SK_ID_CURR").agg(*spec.columns())
     return grouped.toDF("SK_ID_CURR", "n_typed", "n_rows", "n_types")
@@ -60,7 +60,7 @@ def _(t):
     ),
 )
 def _(t):
-    spec = AggSpec({"LIMIT": ["sum", "mean"]}, {"LIMIT": F.col("AMT_CREDIT_SUM_LIMIT")})
+    spec = AggSpec({"LIMIT": ["sum", "mean"]}, {"LIMIT": "AMT_CREDIT_SUM_LIMIT"})
     return rounded(t.bureau.groupBy("SK_ID_CURR").agg(*spec.columns()), ["SK_ID_CURR"])
 
 
@@ -260,7 +260,7 @@ def _(t):
 )
 def _(t):
     spec = AggSpec({"AMT_CREDIT_SUM": ["sum"]})
-    active, closed = (F.col("CREDIT_ACTIVE") == s for s in ("Active", "Closed"))
+    active, closed = (f"CREDIT_ACTIVE = '{s}'" for s in ("Active", "Closed"))
     grouped = t.bureau.groupBy("SK_ID_CURR").agg(
         F.count(F.lit(1)), *spec.columns("A_", where=active), *spec.columns("C_", where=closed)
     )

@@ -328,7 +328,7 @@ def _order_block(rows: str) -> tuple[str, list[str]]:
 
 def order_lookback(t):
     """Order count and value per customer over all time and the last year, half year and quarter."""
-    spec = AggSpec({"PRICE": ["mean", "max", "sum"]}, {"PRICE": F.col("AMT_APPLICATION")})
+    spec = AggSpec({"PRICE": ["mean", "max", "sum"]}, {"PRICE": "AMT_APPLICATION"})
     block = Block.of(spec, prefix="ORD_", count_as="ORD_COUNT")
     rows = t.previous.select("SK_ID_CURR", "DAYS_DECISION", "AMT_APPLICATION")
     features = recency_features(rows, "SK_ID_CURR", "DAYS_DECISION", _ORDER_SLICES, block, "one_pass")
@@ -383,8 +383,8 @@ def _application_sql(rows: str = "app_rows", fitted_on: str = "app_rows") -> tup
 
 _APP_ROWS = f"app_rows AS MATERIALIZED (SELECT * FROM {sql_clean_application()} c)"
 # Two sets of applicants, each cleaned on its own.
-_TRAIN = "(SELECT * FROM {application} z WHERE SK_ID_CURR % 5 <> 0)"
-_TEST = "(SELECT * FROM {application} z WHERE SK_ID_CURR % 5 = 0)"
+_TRAIN = "(SELECT * FROM {application} z WHERE SK_ID_CURR % 11 >= 3)"
+_TEST = "(SELECT * FROM {application} z WHERE SK_ID_CURR % 11 < 3)"
 _BOTH_APP_ROWS = (
     f"app_rows AS MATERIALIZED (SELECT * FROM {sql_clean_application().replace('{application}', _TRAIN)} c), "
     f"test_rows AS MATERIALIZED (SELECT * FROM {sql_clean_application().replace('{application}', _TEST)} c)"
@@ -435,6 +435,6 @@ def _(t):
 
 @query("f9_test_matrix", _matrix_sql(_BOTH_APP_ROWS, "test_rows"))
 def _(t):
-    is_test = F.col("SK_ID_CURR") % 5 == 0
+    is_test = F.col("SK_ID_CURR") % 11 < 3
     fit = fit_application(clean_application(t.application.where(~is_test)))
     return rounded(matrix.test_matrix(t.application.where(is_test), _blocks(t), fit), KEY)

@@ -144,7 +144,9 @@ def _(t):
 
 @query(
     "p8_drop_correlated",
-    "SELECT SK_ID_CURR, " + ", ".join(f"{sql_r4(c)} AS {c}" for c in CORRELATED) + " FROM {application}",
+    "SELECT SK_ID_CURR, "
+    + ", ".join(f"{sql_r4(c)} AS {c}" for c in CORRELATED if c != "AMT_CREDIT")  # follows income
+    + " FROM {application}",
 )
 def _(t):
     kept = correlation.drop_correlated(_copies(t).select("SK_ID_CURR", *_WITH_COPY), _WITH_COPY, 0.9)

@@ -87,12 +87,6 @@ def r4(column: Column | str) -> Column:
     return F.floor(column.cast("double") * 10000.0 + float(_SHIFT)) / F.lit(10000.0)
 
 
-def rv(column: Column | str) -> Column:
-    """For variances: beyond a million, four decimals of the value in millions."""
-    column = F.col(column) if isinstance(column, str) else column
-    return F.when(F.abs(column) >= 1000000.0, r4(column / 1000000.0)).otherwise(r4(column))
-
-
 def sql_r4(expr: str) -> str:
     return f"(floor(CAST({expr} AS DOUBLE) * 10000e0 + {_SHIFT}e0) / 10000e0)"
 
@@ -107,15 +101,19 @@ _VARIANCE = re.compile(r"_(VAR|var)(_|$)")
 
 
 def rounded(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys as they are, every other column as a rounded double."""
-    return df.select(
-        *keys,
-        *[
-            (rv(F.col(c).cast("double")) if _VARIANCE.search(c) else r4(c)).alias(c)
-            for c in df.columns
-            if c not in keys
-        ],
-    )
+    """Keys as they are, every other column cut to four decimals.
+
+    Variances beyond a million are cut in units of a million.
+    """
+
+    def cut(c: str) -> str:
+        plain = f"floor(CAST(`{c}` AS DOUBLE) * 10000D + {_SHIFT}D) / 10000D"
+        if not _VARIANCE.search(c):
+            return plain
+        in_millions = f"floor(CAST(`{c}` AS DOUBLE) / 1000000D * 10000D + {_SHIFT}D) / 10000D"
+        return f"CASE WHEN abs(`{c}`) >= 1000000D THEN {in_millions} ELSE {plain} END"
+
+    return df.selectExpr(*keys, *[f"{cut(c)} AS `{c}`" for c in df.columns if c not in keys])
 
 
 def sql_rounded(inner: str, keys: Sequence[str]) -> str:

@@ -9,6 +9,7 @@ from loanloom.functions.expr import (
     null_if_value,
     ordinal_code,
     safe_div,
+    sql_literal,
 )
 from loanloom.functions.names import clean_name, unique_names
 
@@ -22,5 +23,6 @@ __all__ = [
     "null_if_value",
     "ordinal_code",
     "safe_div",
+    "sql_literal",
     "unique_names",
 ]

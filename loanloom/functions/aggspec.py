@@ -1,38 +1,38 @@
-"""Declarative aggregation: ``{column: [stat, ...]}`` compiled to named Spark columns."""
+"""Declarative aggregation: ``{column: [stat, ...]}`` compiled to named Spark columns.
+
+Specs compile to SQL text, one expression per feature. With hundreds of features
+per table this keeps building the plan cheap.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A stat takes the (possibly segment-masked) value and the row-present condition.
-_STATS: dict[str, Callable[[Column, Column | None], Column]] = {
-    "min": lambda x, rows: F.min(x),
-    "max": lambda x, rows: F.max(x),
-    "mean": lambda x, rows: F.avg(x),
-    "var": lambda x, rows: F.var_samp(x),
-    "sum": lambda x, rows: _guard(F.coalesce(F.sum(x), F.lit(0)), rows),
-    "count": lambda x, rows: _guard(F.count(x), rows),
-    "size": lambda x, rows: _guard(F.count(F.lit(1)) if rows is None else F.count_if(rows), rows),
-    "nunique": lambda x, rows: _guard(F.count_distinct(x), rows),
+# {x}: the value, masked to the segment. Sums and counts are 0, not missing, without values.
+_STATS = {
+    "min": "min({x})",
+    "max": "max({x})",
+    "mean": "avg({x})",
+    "var": "var_samp({x})",
+    "sum": "coalesce(sum({x}), 0)",
+    "count": "count({x})",
+    "size": "count(1)",
+    "nunique": "count(DISTINCT {x})",
 }
-
-
-def _guard(value: Column, rows: Column | None) -> Column:
-    """A segment without rows is a join miss: NULL, not the 0 of an empty sum."""
-    return value if rows is None else F.when(F.count_if(rows) > 0, value)
+_ZERO_WHEN_EMPTY = {"sum", "count", "size", "nunique"}
 
 
 class AggSpec:
-    """Ordered ``{name: [stat, ...]}``; ``exprs`` gives names that are expressions.
+    """Ordered ``{name: [stat, ...]}``; ``exprs`` gives names that are SQL expressions.
 
     ``AggSpec(...) | AggSpec(...)`` merges, the right side winning on repeated names.
     """
 
     def __init__(
-        self, spec: Mapping[str, Iterable[str]], exprs: Mapping[str, Column] | None = None
+        self, spec: Mapping[str, Iterable[str]], exprs: Mapping[str, str] | None = None
     ) -> None:
         self.spec = {name: tuple(stats) for name, stats in spec.items()}
         self.exprs = dict(exprs or {})
@@ -57,15 +57,28 @@ class AggSpec:
         ]
 
     def columns(
-        self, prefix: str = "", suffix: str = "", upper: bool = True, where: Column | None = None
+        self, prefix: str = "", suffix: str = "", upper: bool = True, where: str | None = None
     ) -> list[Column]:
-        """Aliased aggregates; ``where`` restricts every one of them to a segment."""
-        aggregates = []
+        """Aliased aggregates; ``where`` restricts every one of them to a segment.
+
+        A segment without rows is a join miss, so its sums and counts are NULL too.
+        """
+        names = iter(self.names(prefix, suffix, upper))
+        columns = []
         for name, stats in self.spec.items():
-            value = self.exprs.get(name, F.col(name))
-            if where is not None:
-                value = F.when(where, value)
-            aggregates += [_STATS[stat](value, where) for stat in stats]
-        return [
-            a.alias(n) for a, n in zip(aggregates, self.names(prefix, suffix, upper), strict=True)
-        ]
+            value = self.exprs.get(name, f"`{name}`")
+            for stat in stats:
+                columns.append(F.expr(f"{self._aggregate(stat, value, where)} AS `{next(names)}`"))
+        return columns
+
+    @staticmethod
+    def _aggregate(stat: str, value: str, where: str | None) -> str:
+        if where is None:
+            return _STATS[stat].format(x=value)
+        if stat == "size":
+            value_or_count = f"count_if({where})"
+        else:
+            value_or_count = _STATS[stat].format(x=f"CASE WHEN {where} THEN {value} END")
+        if stat in _ZERO_WHEN_EMPTY:
+            return f"CASE WHEN count_if({where}) > 0 THEN {value_or_count} END"
+        return value_or_count

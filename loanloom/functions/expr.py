@@ -42,10 +42,18 @@ def flag(condition: Column) -> Column:
     return F.when(condition, F.lit(1)).otherwise(F.lit(0))
 
 
-def dummy(column: ColumnLike, value: object | None) -> Column:
-    """Indicator of one category; ``None`` indicates missing."""
-    column = as_column(column)
-    return flag(column.isNull() if value is None else column == F.lit(value))
+def sql_literal(value: object) -> str:
+    """A value as it is written in SQL text."""
+    if isinstance(value, str):
+        escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+        return f"'{escaped}'"
+    return repr(value)
+
+
+def dummy(column: str, value: object | None) -> str:
+    """SQL text of the indicator of one category; ``None`` indicates missing."""
+    hit = f"`{column}` IS NULL" if value is None else f"`{column}` = {sql_literal(value)}"
+    return f"(CASE WHEN {hit} THEN 1 ELSE 0 END)"
 
 
 def null_if_value(column: ColumnLike, value: object) -> Column:

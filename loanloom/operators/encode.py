@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanloom.functions.expr import dummy, flag
@@ -29,8 +29,8 @@ class Vocabulary:
     missing: bool = True
     drop_first: bool = False
 
-    def dummies(self) -> dict[str, Column]:
-        """Indicator expressions by output name, in column then level order."""
+    def dummies(self) -> dict[str, str]:
+        """SQL text of every indicator by output name, in column then level order."""
         names, columns = [], []
         for c, values in self.levels.items():
             for v in values[1:] if self.drop_first else values:
@@ -83,7 +83,7 @@ def apply_one_hot(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     clash = {c.lower() for c in kept} & {n.lower() for n in dummies}
     if clash:
         raise ValueError(f"dummy names already taken: {sorted(clash)}")
-    return df.select(*kept, *[d.alias(n) for n, d in dummies.items()])
+    return df.selectExpr(*[f"`{c}`" for c in kept], *[f"{d} AS `{n}`" for n, d in dummies.items()])
 
 
 def one_hot(

@@ -35,7 +35,7 @@ class Block:
     """
 
     aggregate: Callable[[DataFrame, list[str]], DataFrame]
-    measures: Callable[[Column | None, str], list[Column]] | None = None
+    measures: Callable[[str | None, str], list[Column]] | None = None
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df
 
     @classmethod
@@ -43,29 +43,27 @@ class Block:
         cls,
         spec: AggSpec,
         prefix: str = "",
-        segments: Mapping[str, tuple[AggSpec, Column]] | None = None,
+        segments: Mapping[str, tuple[AggSpec, str]] | None = None,
         count_as: str | None = None,
         prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
     ) -> Block:
         """A block from specs: ``segments`` maps a name prefix to a spec and its condition."""
 
-        def measures(where: Column | None = None, suffix: str = "") -> list[Column]:
+        def measures(where: str | None = None, suffix: str = "") -> list[Column]:
             columns = spec.columns(prefix, suffix, where=where)
             for seg_prefix, (seg_spec, condition) in (segments or {}).items():
-                both = condition if where is None else where & condition
+                both = condition if where is None else f"({where}) AND ({condition})"
                 columns += seg_spec.columns(seg_prefix, suffix, where=both)
             if count_as:
-                columns += AggSpec({count_as: ["size"]}, {count_as: F.lit(1)}).columns(
-                    suffix=suffix, where=where
-                )
-                columns[-1] = columns[-1].alias(f"{count_as}{suffix}")
+                size = AggSpec({count_as: ["size"]}).columns(where=where)[0]
+                columns.append(size.alias(f"{count_as}{suffix}"))
             return columns
 
         return cls(lambda df, by: df.groupBy(*by).agg(*measures()), measures, prepare)
 
 
-def _in_slice(offset: str | None, bound: int | None) -> Column:
-    return F.lit(True) if bound is None else F.col(offset) >= -bound
+def _in_slice(offset: str | None, bound: int | None) -> str:
+    return "TRUE" if bound is None else f"`{offset}` >= -{bound}"
 
 
 def recency_features(
@@ -98,18 +96,20 @@ def _tagged(detail, key, offset, slices, block, hot):
     hot = hot_keys(detail, key) if hot is None else list(hot)
 
     def rolled(rows: DataFrame) -> DataFrame:
-        marks = [F.when(_in_slice(offset, bound), F.lit(s)) for s, bound in slices.items()]
-        tagged = rows.withColumn("_slice", F.explode(F.array_compact(F.array(*marks))))
+        marks = ", ".join(
+            f"CASE WHEN {_in_slice(offset, bound)} THEN {i} END" for i, bound in enumerate(slices.values())
+        )
+        tagged = rows.withColumn("_slice", F.expr(f"explode(array_compact(array({marks})))"))
         long = block.aggregate(tagged, [key, "_slice"])
         features = [c for c in long.columns if c not in (key, "_slice")]
+        # At most one entry per slice; a slice the key has no rows in is absent, hence NULL.
+        packed = f"struct({', '.join(f'`{f}`' for f in features)})"
         wide = long.groupBy(key).agg(
-            *[
-                F.first(F.when(F.col("_slice") == s, F.struct(*features)), ignorenulls=True).alias(f"_s{i}")
-                for i, s in enumerate(slices)
-            ]
+            F.expr(f"map_from_entries(collect_list(struct(_slice, {packed}))) AS _slices")
         )
-        return wide.select(
-            key, *[F.col(f"_s{i}.{f}").alias(f + s) for i, s in enumerate(slices) for f in features]
+        wide = wide.selectExpr(f"`{key}`", *[f"_slices[{i}] AS _s{i}" for i in range(len(slices))])
+        return wide.selectExpr(
+            f"`{key}`", *[f"_s{i}.`{f}` AS `{f}{s}`" for i, s in enumerate(slices) for f in features]
         )
 
     if not hot:
@@ -137,7 +137,7 @@ def _naive(detail, key, offset, slices, block):
         result = detail.where(_in_slice(offset, max(slices.values()))).select(key).distinct()
     for suffix, bound in slices.items():
         part = block.aggregate(detail.where(_in_slice(offset, bound)), [key])
-        part = part.select(key, *[F.col(c).alias(c + suffix) for c in part.columns if c != key])
+        part = part.selectExpr(f"`{key}`", *[f"`{c}` AS `{c}{suffix}`" for c in part.columns if c != key])
         result = result.join(part, key, "left")
     return result
 

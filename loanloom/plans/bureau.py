@@ -100,9 +100,9 @@ def bureau_block(
     overall = numeric | AggSpec({n: ["max"] for n in dummies}, dummies)
     for n in balance_vocabulary.dummies():
         overall |= AggSpec({f"{n}_{s}": [s.lower()] for s in ("MEAN", "MIN", "MAX")})
-    segments = {"C_": (numeric, F.col("CREDIT_ACTIVE") == "Closed")}
+    segments = {"C_": (numeric, "CREDIT_ACTIVE = 'Closed'")}
     if include_active:
-        segments = {"A_": (numeric, F.col("CREDIT_ACTIVE") == "Active"), **segments}
+        segments = {"A_": (numeric, "CREDIT_ACTIVE = 'Active'"), **segments}
 
     def aggregate(df: DataFrame, by: list[str]) -> DataFrame:
         columns = overall.columns("BUREAU_", upper=False)

@@ -83,7 +83,7 @@ def instalment_block(vocabulary: Vocabulary, late_from: str = "DBD") -> Block:
                 F.min(c).alias(f"_min_{c}"), F.max(c).alias(f"_max_{c}"),
                 F.sum(c).alias(f"_sum_{c}"), F.count(c).alias(f"_n_{c}"),
             ]
-        parts += [F.sum(d).alias(f"_sum_{n}") for n, d in dummies.items()]
+        parts += [F.expr(f"sum({d}) AS `_sum_{n}`") for n, d in dummies.items()]
         combined = df.groupBy(*keys, "NUM_INSTALMENT_VERSION").agg(*parts)
 
         known = F.col(INSTALMENT[0]).isNotNull() & F.col(INSTALMENT[1]).isNotNull()

@@ -31,7 +31,7 @@ def loan_outcomes(df: DataFrame, by: list[str], order: list[str], extra=()) -> D
 
     first_plan, last_plan = edge(F.min, "CNT_INSTALMENT"), edge(F.max, "CNT_INSTALMENT")
     remaining = edge(F.max, "CNT_INSTALMENT_FUTURE")
-    completed = F.avg(dummy("NAME_CONTRACT_STATUS", "Completed"))
+    completed = F.expr(f"avg({dummy('NAME_CONTRACT_STATUS', 'Completed')})")
     return df.groupBy(*by).agg(
         completed.alias("POS_LOAN_COMPLETED_MEAN"),
         flag((first_plan - last_plan > 0) & (completed > 0)).alias("POS_COMPLETED_BEFORE_MEAN"),
@@ -63,7 +63,7 @@ def pos_block(vocabulary: Vocabulary, tie_break: tuple[str, ...] = ()) -> Block:
         parts += [F.min(c).alias(f"_min_{c}") for c in ("SK_DPD_DEF", "SK_DPD")]
         parts += [F.max(c).alias(f"_max_{c}") for c in ("CNT_INSTALMENT", "CNT_INSTALMENT_FUTURE")]
         parts += [F.sum("CNT_INSTALMENT_FUTURE").alias("_sum_CNT_INSTALMENT_FUTURE")]
-        parts += [F.sum(d).alias(f"_sum_{n}") for n, d in dummies.items()]
+        parts += [F.expr(f"sum({d}) AS `_sum_{n}`") for n, d in dummies.items()]
         loans = loan_outcomes(df, [*by, "SK_ID_PREV"], order, parts)
 
         def mean(c: str):

@@ -61,13 +61,12 @@ def previous_loan_features(df: DataFrame, mode: str = "null") -> DataFrame:
 def previous_block(vocabulary: Vocabulary) -> Block:
     """All, approved and refused applications in one aggregation."""
     numeric, dummies = AggSpec(STATS), vocabulary.dummies()
-    status = F.col("NAME_CONTRACT_STATUS")
     return Block.of(
         numeric | AggSpec({n: ["mean"] for n in dummies}, dummies),
         prefix="PREV_",
         segments={
-            "CS_APP_": (numeric, status == "Approved"),
-            "CS_REF_": (numeric, status == "Refused"),
+            "CS_APP_": (numeric, "NAME_CONTRACT_STATUS = 'Approved'"),
+            "CS_REF_": (numeric, "NAME_CONTRACT_STATUS = 'Refused'"),
         },
         prepare=previous_loan_features,
     )
