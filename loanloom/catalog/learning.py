@@ -148,7 +148,7 @@ def _small_models():
 
 
 def _fitted(t):
-    data = _vectors(t).persist()
+    data = _vectors(t)
     fitted = {name: m.fit(data) for name, m in _small_models().items()}
     return data, fitted
 

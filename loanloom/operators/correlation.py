@@ -34,14 +34,14 @@ def _plain(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     if not pairs:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[F.expr(f"{_pair(a, b)} AS _{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(
         F.inline(
             F.array(
                 *[
                     F.struct(
                         F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                        F.when(~F.isnan(f"_{i}"), F.col(f"_{i}")).alias("r"),
+                        F.col(f"_{i}").alias("r"),
                     )
                     for i, (a, b) in enumerate(pairs)
                 ]
@@ -50,6 +50,13 @@ def _plain(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def _pair(a: str, b: str) -> str:
+    """Covariance over both deviations; the built-in correlation fails without variation."""
+    both = f"`{a}` IS NOT NULL AND `{b}` IS NOT NULL"
+    x, y = (f"CASE WHEN {both} THEN CAST(`{c}` AS DOUBLE) END" for c in (a, b))
+    return f"try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y}))"
+
+
 def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
     # Sums of products lose digits unless the values are centred first.
     means = df.agg(*[F.avg(c).alias(f"_{i}") for i, c in enumerate(columns)]).first()

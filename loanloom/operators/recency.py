@@ -29,8 +29,8 @@ MONTH_SLICES = {"": None, "_year": 12, "_half_year": 6, "_quarter": 3, "_month":
 class Block:
     """How rows become features.
 
-    ``prepare`` derives row-level columns, ``aggregate(rows, by)`` returns one
-    row per combination of ``by``. A block that is a single aggregation also has
+    ``prepare`` derives columns row by row, after the shuffle so they are not
+    shipped; ``aggregate(rows, by)`` returns one row per combination of ``by``. A block that is a single aggregation also has
     ``measures(where, suffix)``, which allows the one-pass form.
     """
 
@@ -82,7 +82,7 @@ def recency_features(
     (conditional aggregates, narrow blocks) or ``naive`` (filter, aggregate and
     join per slice; the yardstick for tests).
     """
-    detail = block.prepare(detail.where(F.col(key).isNotNull()))
+    detail = detail.where(F.col(key).isNotNull())
     if strategy == "tagged":
         return _tagged(detail, key, offset, slices, block, hot)
     if strategy == "one_pass":
@@ -96,6 +96,7 @@ def _tagged(detail, key, offset, slices, block, hot):
     hot = hot_keys(detail, key) if hot is None else list(hot)
 
     def rolled(rows: DataFrame) -> DataFrame:
+        rows = block.prepare(rows)
         marks = ", ".join(
             f"CASE WHEN {_in_slice(offset, bound)} THEN {i} END" for i, bound in enumerate(slices.values())
         )
@@ -114,7 +115,7 @@ def _tagged(detail, key, offset, slices, block, hot):
 
     if not hot:
         return rolled(detail.repartition(key))
-    is_hot = F.col(key).isin(list(hot))
+    is_hot = F.col(key).isin(hot)
     return rolled(detail.where(~is_hot).repartition(key)).unionByName(rolled(detail.where(is_hot)))
 
 
@@ -128,7 +129,7 @@ def _one_pass(detail, key, offset, slices, block):
     if all(bound is not None for bound in slices.values()):
         widest = max(slices.values())
         detail = detail.where(_in_slice(offset, widest))
-    return detail.groupBy(key).agg(*columns)
+    return block.prepare(detail).groupBy(key).agg(*columns)
 
 
 def _naive(detail, key, offset, slices, block):
@@ -136,7 +137,7 @@ def _naive(detail, key, offset, slices, block):
     if all(bound is not None for bound in slices.values()):
         result = detail.where(_in_slice(offset, max(slices.values()))).select(key).distinct()
     for suffix, bound in slices.items():
-        part = block.aggregate(detail.where(_in_slice(offset, bound)), [key])
+        part = block.aggregate(block.prepare(detail.where(_in_slice(offset, bound))), [key])
         part = part.selectExpr(f"`{key}`", *[f"`{c}` AS `{c}{suffix}`" for c in part.columns if c != key])
         result = result.join(part, key, "left")
     return result
@@ -146,11 +147,13 @@ def roll_up(
     detail: DataFrame, key: str, block: Block, hot: Sequence[object] | None = None
 ) -> DataFrame:
     """A block over all rows of each key, without slices."""
-    detail = block.prepare(detail.where(F.col(key).isNotNull()))
+    detail = detail.where(F.col(key).isNotNull())
     hot = hot_keys(detail, key) if hot is None else list(hot)
+
+    def rolled(rows: DataFrame) -> DataFrame:
+        return block.aggregate(block.prepare(rows), [key])
+
     if not hot:
-        return block.aggregate(detail.repartition(key), [key])
-    is_hot = F.col(key).isin(list(hot))
-    return block.aggregate(detail.where(~is_hot).repartition(key), [key]).unionByName(
-        block.aggregate(detail.where(is_hot), [key])
-    )
+        return rolled(detail.repartition(key))
+    is_hot = F.col(key).isin(hot)
+    return rolled(detail.where(~is_hot).repartition(key)).unionByName(rolled(detail.where(is_hot)))

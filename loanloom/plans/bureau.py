@@ -12,6 +12,7 @@ from loanloom.functions.expr import ordinal_code, safe_div
 from loanloom.operators.attach import attach_stats
 from loanloom.operators.clean import fill_constant
 from loanloom.operators.encode import Vocabulary, fit_vocabulary
+from loanloom.operators.lookup import hot_keys
 from loanloom.operators.recency import Block, roll_up
 
 # Codes of the credit state, and the statistics per applicant.
@@ -120,6 +121,8 @@ def bureau_features(
     hot: Sequence[object] | None = None,
 ) -> DataFrame:
     """one row per applicant from loans and their monthly balances."""
+    # Looked for before the join, which cannot change how often an applicant occurs.
+    hot = hot_keys(bureau, "SK_ID_CURR") if hot is None else hot
     loan_vocabulary, balance_vocabulary = fit_vocabulary(bureau), fit_vocabulary(balance)
     loans = fill_constant(bureau, {c: 0 for c in ZERO_FILLED}).join(
         balance_features(balance, balance_vocabulary), "SK_ID_BUREAU", "left"
