@@ -1,8 +1,8 @@
 """Per-group statistics and feature blocks attached to rows.
 
 Statistics are aggregated first (combined on the map side) and joined back. A
-window over the key would gather all rows of a hot key in one task; the join's
-row side is split by adaptive execution instead.
+window over the key would gather all rows of a hot key in one task; the join
+keeps such rows where they are.
 """
 
 from __future__ import annotations
@@ -12,9 +12,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanloom.operators.lookup import MIN_HOT_ROWS, split_join
+
 
 def attach_stats(
-    df: DataFrame, keys: str | Sequence[str], stats: Mapping[str, Column]
+    df: DataFrame,
+    keys: str | Sequence[str],
+    stats: Mapping[str, Column],
+    min_hot_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
     """Every row gets its group's statistics; rows with a missing key get NULL."""
     keys = [keys] if isinstance(keys, str) else list(keys)
@@ -22,7 +27,7 @@ def attach_stats(
     for k in keys:
         grouped = grouped.where(F.col(k).isNotNull())
     grouped = grouped.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-    return df.join(grouped, keys, "left").select(*df.columns, *stats)
+    return split_join(df, grouped, keys, "left", min_hot_rows).select(*df.columns, *stats)
 
 
 def left_join_blocks(base: DataFrame, blocks: Sequence[DataFrame], key: str) -> DataFrame:

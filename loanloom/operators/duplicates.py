@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanloom.operators.lookup import MIN_HOT_ROWS, split_join
+
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """D-1: every distinct row that repeats, with how many copies follow the first.
@@ -21,24 +23,42 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def expand_copies(duplicates: DataFrame) -> DataFrame:
-    """One row per repeated copy."""
-    copies = F.explode(F.sequence(F.lit(1), F.col("n_after_first")))
-    return duplicates.select("*", copies.alias("_copy")).drop("_copy", "n_after_first")
+def expand_copies(duplicates: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """One row per repeated copy.
+
+    A row with very many copies is first cut into chunks, which are spread over
+    the tasks before any copy is written.
+    """
+    n = F.col("n_after_first")
+    rows = [c for c in duplicates.columns if c != "n_after_first"]
+    chunks = duplicates.withColumn("_start", F.explode(F.sequence(F.lit(0), n - 1, F.lit(chunk))))
+    spread = chunks.repartition(*rows, "_start")
+    copies = F.explode(F.sequence(F.lit(1), F.least(F.lit(chunk), n - F.col("_start"))))
+    return spread.select(*rows, copies.alias("_copy")).drop("_copy")
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+def duplicate_keys(
+    df: DataFrame,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    min_hot_rows: int = MIN_HOT_ROWS,
+) -> DataFrame:
     """D-2: all rows of a key but the first in the given order, missing keys being alike.
 
     The first row per key is a map-side combined minimum; a window would sort
     all rows of a hot key in one task. ``order_by`` must tell rows of a key apart.
     """
+    # Missing keys have to match each other, so the join runs on a stand-in and a null mark.
+    marks = {f"_null_{k}": F.col(k).isNull() for k in keys}
     order = F.struct(*order_by)
-    firsts = df.groupBy(*keys).agg(F.min(order).alias("_first")).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], "_first"
+    firsts = df.groupBy(*keys).agg(F.min(order).alias("_first"))
+    same = [f"_key_{k}" for k in keys]
+
+    def matchable(frame: DataFrame) -> DataFrame:
+        stand_in = {f"_key_{k}": F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys}
+        return frame.withColumns({**marks, **stand_in})
+
+    joined = split_join(
+        matchable(df), matchable(firsts).select(*marks, *same, "_first"), [*marks, *same], "inner", min_hot_rows
     )
-    same = None
-    for k in keys:
-        match = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        same = match if same is None else same & match
-    return df.join(firsts, same, "inner").where(order > F.col("_first")).select(*df.columns)
+    return joined.where(order > F.col("_first")).select(*df.columns)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 50_000
+# A key with fewer rows than this never overloads a task.
+MIN_HOT_ROWS = 1_000_000
 
 
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
@@ -30,18 +32,42 @@ def lookup_join(
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Attach a lookup table, by broadcast if it is small and by shuffle if not.
-
-    In the shuffled form a hot key sits on the left side of a left or inner
-    join, which adaptive execution splits.
-    """
+    """Attach a table with one row per key, by broadcast if small, else by ``split_join``."""
     small, fits = bounded(table, max_rows)
     keys = [on] if isinstance(on, str) else list(on)
-    return df.join(F.broadcast(small) if fits else small, keys, how)
+    if fits:
+        return df.join(F.broadcast(small), keys, how)
+    return split_join(df, table, keys, how)
+
+
+def split_join(
+    df: DataFrame,
+    table: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    min_hot_rows: int = MIN_HOT_ROWS,
+) -> DataFrame:
+    """Left or inner join with a table that has one row per key, safe for hot keys.
+
+    Adaptive execution splits a skewed join only if both sides come straight
+    from a shuffle, which an aggregated side does not. So rows of hot keys are
+    set apart and meet their few table rows by broadcast, without a shuffle; the
+    rest is shuffled. Rows with a missing key count as one key.
+    """
+    keys = list(keys)
+    hashed = F.xxhash64(*keys)
+    hot = hot_keys(df.select(hashed.alias("_hash")), "_hash", min_rows=min_hot_rows)
+    if not hot:
+        return df.join(table, keys, how)
+    is_hot = hashed.isin(hot)
+    few = F.broadcast(table.where(is_hot))
+    return df.where(~is_hot).join(table.where(~is_hot), keys, how).unionByName(
+        df.where(is_hot).join(few, keys, how)
+    )
 
 
 def hot_keys(
-    df: DataFrame, key: str, share: float = 0.001, min_rows: int = 1_000_000
+    df: DataFrame, key: str, share: float = 0.001, min_rows: int = MIN_HOT_ROWS
 ) -> list[object]:
     """Keys that hold more than ``share`` of the rows and at least ``min_rows``.
 

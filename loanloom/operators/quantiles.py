@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from loanloom.operators.lookup import lookup_join
 
-# The sketch is off by at most 1/_ACCURACY of the rows; the bracket allows four times that.
-_ACCURACY = 10_000
-_SLACK = 4 / _ACCURACY
+# The sketch is off by at most 1/_ACCURACY of the rows and the bracket allows four times
+# that, so even of 10^11 distinct values less than 10^7 are ranked in one task.
+_ACCURACY = 100_000
 
 
 def group_quantiles(
@@ -49,67 +49,56 @@ def group_quantiles(
         F.max("_v").alias("_max"),
         F.percentile_approx("_v", edges, accuracy).alias("_edges"),
     )
-    # A group no larger than the sketch is ranked whole.
+    # A group no larger than the sketch is ranked whole. The sketch need not hit the
+    # extremes, which quantiles near 0 and 1 reach for.
     whole = F.col("_n") <= accuracy
-    brackets = groups.select(
-        *by,
-        "_n",
-        *[_edge(whole, probs, i, "low") for i in range(len(probs))],
-        *[_edge(whole, probs, i, "high") for i in range(len(probs))],
-    )
+    lows = [
+        (F.col("_min") if p <= slack else F.element_at("_edges", 2 * i + 1)).alias(f"_low{i}")
+        for i, p in enumerate(probs)
+    ]
+    highs = [
+        (F.col("_max") if p >= 1 - slack else F.element_at("_edges", 2 * i + 2)).alias(f"_high{i}")
+        for i, p in enumerate(probs)
+    ]
+    brackets = groups.select(*by, "_n", whole.alias("_whole"), *lows, *highs)
     marked = lookup_join(rows, brackets, by, how="inner")
-    # Per quantile a row is below the bracket (kept as a count), inside it, or dropped.
-    tags = [
-        F.when(
-            F.col("_v") <= F.col(f"_high{i}"),
-            F.struct(
-                F.lit(i).alias("i"), F.when(F.col("_v") >= F.col(f"_low{i}"), F.col("_v")).alias("v")
-            ),
-        )
-        for i in range(len(probs))
+
+    # Per quantile a row is below the bracket (only counted), inside it, or dropped.
+    kept_value = [
+        F.when(F.col("_v") >= F.col(f"_low{i}"), F.col("_v")) for i in range(len(probs))
+    ]
+    in_bracket = [
+        F.when(F.col("_v") <= F.col(f"_high{i}"), F.struct(F.lit(i).alias("i"), v.alias("v")))
+        for i, v in enumerate(kept_value)
     ]
+    ranked_whole = F.array(F.struct(F.lit(-1).alias("i"), F.col("_v").alias("v")))
+    tags = F.when(F.col("_whole"), ranked_whole).otherwise(F.array_compact(F.array(*in_bracket)))
     counted = (
-        marked.select(*by, "_n", F.explode(F.array_compact(F.array(*tags))).alias("t"))
+        marked.select(*by, "_n", F.explode(tags).alias("t"))
         .groupBy(*by, "_n", "t.i", "t.v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     order = Window.partitionBy(*by, "i").orderBy(F.col("v").asc_nulls_first())
     upto = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))
     ranked = counted.select(*by, "_n", "i", "v", (upto - F.col("_c")).alias("_from"), upto.alias("_to"))
+    picked = ranked.groupBy(*by).agg(*[_interpolated(i, p) for i, p in enumerate(probs)])
+    return picked.select(*by, F.array(*[f"_q{i}" for i in range(len(probs))]).alias("q"))
 
-    position = (F.col("_n") - 1) * F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("i") + 1)
+
+def _interpolated(i: int, prob: float) -> Column:
+    """The value at position ``prob * (n - 1)`` of a group's ranked values."""
+    position = (F.col("_n") - 1) * F.lit(prob)
     first = F.floor(position)
     last = F.least(first + 1, F.col("_n") - 1)
-    picked = (
-        ranked.groupBy(*by, "i")
-        .agg(
-            F.max(position - first).alias("_w"),
-            F.max(_at_rank(first)).alias("_a"),
-            F.max(_at_rank(last)).alias("_b"),
-        )
-        .withColumn(
-            "_q",
-            F.when(
-                F.col("_a").isNull() | F.col("_b").isNull(),
-                F.raise_error(F.lit("quantile fell outside its bracket")).cast("double"),
-            ).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")),
-        )
-    )
-    return picked.groupBy(*by).agg(
-        *[F.max(F.when(F.col("i") == i, F.col("_q"))).alias(f"_q{i}") for i in range(len(probs))]
-    ).select(*by, F.array(*[f"_q{i}" for i in range(len(probs))]).alias("q"))
-
-
-def _edge(whole: Column, probs: Sequence[float], i: int, side: str) -> Column:
-    bound = F.col("_min") if side == "low" else F.col("_max")
-    sketched = F.element_at("_edges", 2 * i + (1 if side == "low" else 2))
-    # The sketch is not bound to hit the extremes, which quantiles 0 and 1 need.
-    at_end = probs[i] <= _SLACK if side == "low" else probs[i] >= 1 - _SLACK
-    return (bound if at_end else F.when(whole, bound).otherwise(sketched)).alias(f"_{side}{i}")
 
+    def at(rank: Column) -> Column:
+        hit = F.col("i").isin(i, -1) & (F.col("_from") <= rank) & (rank < F.col("_to"))
+        return F.max(F.when(hit, F.col("v")))
 
-def _at_rank(rank: Column) -> Column:
-    return F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("v"))
+    low, high = at(first), at(last)
+    outside = F.raise_error(F.lit("quantile fell outside its bracket")).cast("double")
+    value = low + (high - low) * F.max(position - first)
+    return F.when(low.isNull() | high.isNull(), outside).otherwise(value).alias(f"_q{i}")
 
 
 def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -35,8 +35,8 @@ def card_block(columns: list[str], vocabulary: Vocabulary) -> Block:
     return Block.of(spec, prefix="CR_", count_as="CREDIT_COUNT", prepare=card_row_features)
 
 
-def _block(df: DataFrame) -> Block:
-    return card_block(card_row_features(df).columns, fit_vocabulary(df))
+def _block(df: DataFrame, vocabulary: Vocabulary | None = None) -> Block:
+    return card_block(card_row_features(df).columns, vocabulary or fit_vocabulary(df))
 
 
 def card_features(df: DataFrame, hot=None) -> DataFrame:
@@ -45,7 +45,12 @@ def card_features(df: DataFrame, hot=None) -> DataFrame:
 
 
 def card_recency(
-    df: DataFrame, offset: str = "MONTHS_BALANCE", strategy: str = "tagged", slices=MONTH_SLICES, hot=None
+    df: DataFrame,
+    offset: str = "MONTHS_BALANCE",
+    strategy: str = "tagged",
+    slices=MONTH_SLICES,
+    hot=None,
+    vocabulary: Vocabulary | None = None,
 ) -> DataFrame:
     """Five look-back slices on the balance month."""
-    return recency_features(df, "SK_ID_CURR", offset, slices, _block(df), strategy, hot)
+    return recency_features(df, "SK_ID_CURR", offset, slices, _block(df, vocabulary), strategy, hot)

@@ -135,9 +135,14 @@ def instalment_features(df: DataFrame, late_from: str = "DBD", hot=None) -> Data
 
 
 def instalment_recency(
-    df: DataFrame, strategy: str = "tagged", late_from: str = "DBD", slices=DAY_SLICES, hot=None
+    df: DataFrame,
+    strategy: str = "tagged",
+    late_from: str = "DBD",
+    slices=DAY_SLICES,
+    hot=None,
+    vocabulary: Vocabulary | None = None,
 ) -> DataFrame:
     """Seven look-back slices on the due day; missing payments count as 0."""
     df = fill_constant(df, {"DAYS_ENTRY_PAYMENT": 0, "AMT_PAYMENT": 0})
-    block = instalment_block(fit_vocabulary(df), late_from)
+    block = instalment_block(vocabulary or fit_vocabulary(df), late_from)
     return recency_features(df, "SK_ID_CURR", "DAYS_INSTALMENT", slices, block, strategy, hot)

@@ -20,6 +20,7 @@ from loanloom.plans.card import card_recency
 from loanloom.plans.instalments import instalment_recency
 from loanloom.plans.pos import pos_recency
 from loanloom.plans.previous import clean_previous, previous_recency
+from loanloom.sources.io import cache_or_load
 
 
 @dataclass(frozen=True)
@@ -53,6 +54,11 @@ def side_blocks(
     ]
 
 
+def write_blocks(blocks: Sequence[DataFrame], folder: str, refresh: bool = False) -> list[DataFrame]:
+    """S3: blocks as tables in a shared folder, so train and test read them instead of recomputing."""
+    return [cache_or_load(b, f"{folder}/block-{i}", refresh) for i, b in enumerate(blocks)]
+
+
 def train_matrix(
     application: DataFrame, blocks: Sequence[DataFrame], clean: bool = True
 ) -> tuple[DataFrame, ApplicationFit]:

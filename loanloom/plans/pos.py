@@ -107,10 +107,15 @@ def pos_features(df: DataFrame, tie_break: tuple[str, ...] = (), hot=None) -> Da
 
 
 def pos_recency(
-    df: DataFrame, strategy: str = "tagged", tie_break: tuple[str, ...] = (), slices=MONTH_SLICES, hot=None
+    df: DataFrame,
+    strategy: str = "tagged",
+    tie_break: tuple[str, ...] = (),
+    slices=MONTH_SLICES,
+    hot=None,
+    vocabulary: Vocabulary | None = None,
 ) -> DataFrame:
     """Five look-back slices on the balance month."""
-    block = pos_block(fit_vocabulary(df), tie_break)
+    block = pos_block(vocabulary or fit_vocabulary(df), tie_break)
     return recency_features(df, "SK_ID_CURR", "MONTHS_BALANCE", slices, block, strategy, hot)
 
 

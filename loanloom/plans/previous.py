@@ -77,7 +77,9 @@ def previous_features(df: DataFrame, hot=None) -> DataFrame:
     return roll_up(df, "SK_ID_CURR", previous_block(fit_vocabulary(df)), hot)
 
 
-def previous_recency(df: DataFrame, strategy: str = "tagged", slices=DAY_SLICES, hot=None) -> DataFrame:
+def previous_recency(
+    df: DataFrame, strategy: str = "tagged", slices=DAY_SLICES, hot=None, vocabulary: Vocabulary | None = None
+) -> DataFrame:
     """Seven look-back slices on the decision day."""
-    block = previous_block(fit_vocabulary(df))
+    block = previous_block(vocabulary or fit_vocabulary(df))
     return recency_features(df, "SK_ID_CURR", "DAYS_DECISION", slices, block, strategy, hot)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loanloom.operators import encode, lookup, quantiles
+from loanloom.operators import attach, duplicates, encode, lookup, quantiles
 from loanloom.operators.recency import DAY_SLICES, MONTH_SLICES
 from loanloom.operators.split import stratified_split
 from loanloom.plans import bureau, card, instalments, pos, previous
@@ -106,7 +106,32 @@ def test_hot_key_detection(spark):
     assert lookup.hot_keys(df.select(F.lit(None).cast("long").alias("k")), "k", min_rows=1) == []
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 200])
+def test_hot_rows_are_joined_without_a_shuffle(spark):
+    """One key and the missing key hold a third of the rows each."""
+    df = spark.range(0, 30_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") % 500 + 100).alias("k"),
+        F.col("id").alias("v"),
+    )
+    stats = {"n": F.count("v"), "top": F.max("v")}
+    plain = attach.attach_stats(df, "k", stats)
+    split = attach.attach_stats(df, "k", stats, min_hot_rows=5000)
+    assert cut(plain) == cut(split)
+    assert "Union" in plan_of(split) and "Union" not in plan_of(plain)
+    repeats = duplicates.duplicate_keys(df, ["k"], ["v"])
+    split = duplicates.duplicate_keys(df, ["k"], ["v"], min_hot_rows=5000)
+    assert cut(repeats) == cut(split) and split.count() == 30_000 - 500 - 2
+    pair = attach.attach_stats(df.withColumn("j", F.lit(1)), ["k", "j"], stats, min_hot_rows=5000)
+    assert cut(pair.drop("j")) == cut(plain)
+
+
+def test_many_copies_are_spread(spark):
+    same = spark.range(2500).select((F.col("id") % 2).alias("k")).where("k = 0 OR k = 1")
+    repeated = duplicates.duplicate_rows(same)
+    expanded = duplicates.expand_copies(repeated, chunk=100)
+    assert {r.k: r["count"] for r in expanded.groupBy("k").count().collect()} == {0: 1249, 1: 1249}
+
+
+@pytest.mark.parametrize("accuracy", [100_000, 200])
 def test_quantiles_by_brute_force(spark, accuracy):
     """With accuracy 200 groups exceed the sketch and only the brackets are ranked."""
     random = np.random.default_rng(5)
