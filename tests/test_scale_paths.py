@@ -131,9 +131,9 @@ def test_many_copies_are_spread(spark):
     assert {r.k: r["count"] for r in expanded.groupBy("k").count().collect()} == {0: 1249, 1: 1249}
 
 
-@pytest.mark.parametrize("accuracy", [100_000, 200])
-def test_quantiles_by_brute_force(spark, accuracy):
-    """With accuracy 200 groups exceed the sketch and only the brackets are ranked."""
+@pytest.mark.parametrize(("limit", "accuracy"), [(1_000_000, 100_000), (0, 100_000), (0, 200)])
+def test_quantiles_by_brute_force(spark, limit, accuracy):
+    """Built-in on counts, groups ranked whole, and groups that exceed the sketch."""
     random = np.random.default_rng(5)
     groups = {
         "smooth": random.normal(0, 1e4, 5000).round(3),
@@ -145,7 +145,10 @@ def test_quantiles_by_brute_force(spark, accuracy):
     df = spark.createDataFrame(data, "g string, v double").repartition(6)
     probs = [0.0, 0.05, 0.25, 0.5, 0.9, 0.999, 1.0]
     out = {
-        r.g: list(r.q) for r in quantiles.group_quantiles(df, "v", probs, ["g"], accuracy=accuracy).collect()
+        r.g: list(r.q)
+        for r in quantiles.group_quantiles(
+            df, "v", probs, ["g"], accuracy=accuracy, distinct_limit=limit
+        ).collect()
     }
     assert out.keys() == groups.keys()
     for g, values in groups.items():
