@@ -77,7 +77,10 @@ def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
             {"a": upper[0], "b": upper[1], **{f"s{i}": picked[i] for i in range(6)}}
         )
 
-    parts = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]).mapInPandas(
+    values = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    # Every task emits one row per pair, so there should not be many more tasks than cores.
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    parts = values.coalesce(tasks).mapInPandas(
         partial, "a int, b int, " + ", ".join(f"s{i} double" for i in range(6))
     )
     total = parts.groupBy("a", "b").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(6)])

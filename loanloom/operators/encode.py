@@ -142,22 +142,23 @@ def rare_to_other(
 ) -> DataFrame:
     """Categories below ``rare_perc`` of all rows become ``other``.
 
-    A column takes part only if more than one category is below ``gate``. What
-    reaches the driver is the frequent set, at most ``1/rare_perc`` values.
+    A column takes part only if more than one category is below ``gate``. The
+    lookup holds the frequent categories, of which there are at most
+    ``1/rare_perc``, not the rare ones.
     """
     total = df.count()
-    changed = {}
+    names = df.columns
     for c in columns:
         counts = df.where(F.col(c).isNotNull()).groupBy(c).count()
         below = counts.where(F.col("count") / F.lit(total) < gate).limit(2).count()
         if below < 2:
             continue
-        frequent = [
-            r[0] for r in counts.where(F.col("count") / F.lit(total) >= rare_perc).collect()
-        ]
-        rare = F.col(c).isNotNull() & ~F.col(c).isin(frequent) if frequent else F.col(c).isNotNull()
-        changed[c] = F.when(rare, F.lit(other)).otherwise(F.col(c).cast("string"))
-    return df.withColumns(changed) if changed else df
+        frequent = counts.where(F.col("count") / F.lit(total) >= rare_perc)
+        df = lookup_join(df, frequent.select(c, F.lit(True).alias("_frequent")), c)
+        rare = F.col(c).isNotNull() & F.col("_frequent").isNull()
+        encoded = F.when(rare, F.lit(other)).otherwise(F.col(c).cast("string"))
+        df = df.withColumn(c, encoded).select(*names)
+    return df
 
 
 def binary_columns(df: DataFrame, include_small_numeric: bool = True) -> list[str]:
