@@ -83,6 +83,9 @@ def recency_features(
     join per slice; the yardstick for tests).
     """
     detail = detail.where(F.col(key).isNotNull())
+    if all(bound is not None for bound in slices.values()):
+        # Without an all-time slice older rows need not be read or shuffled.
+        detail = detail.where(_in_slice(offset, max(slices.values())))
     if strategy == "tagged":
         return _tagged(detail, key, offset, slices, block, hot)
     if strategy == "one_pass":
@@ -126,16 +129,11 @@ def _one_pass(detail, key, offset, slices, block):
     for suffix, bound in slices.items():
         where = None if bound is None else _in_slice(offset, bound)
         columns += block.measures(where, suffix)
-    if all(bound is not None for bound in slices.values()):
-        widest = max(slices.values())
-        detail = detail.where(_in_slice(offset, widest))
     return block.prepare(detail).groupBy(key).agg(*columns)
 
 
 def _naive(detail, key, offset, slices, block):
     result = detail.select(key).distinct()
-    if all(bound is not None for bound in slices.values()):
-        result = detail.where(_in_slice(offset, max(slices.values()))).select(key).distinct()
     for suffix, bound in slices.items():
         part = block.aggregate(block.prepare(detail.where(_in_slice(offset, bound))), [key])
         part = part.selectExpr(f"`{key}`", *[f"`{c}` AS `{c}{suffix}`" for c in part.columns if c != key])

@@ -54,6 +54,16 @@ def test_strategies_agree(roles, name):
             build(roles, strategy="one_pass")
 
 
+def test_old_rows_are_filtered_before_the_shuffle(roles):
+    slices = {"_half_year": 14, "_month": 3}
+    wants = cut(card.card_recency(roles.card, slices=slices, strategy="naive"))
+    for strategy in ("tagged", "one_pass"):
+        out = card.card_recency(roles.card, slices=slices, strategy=strategy, hot=[])
+        assert cut(out) == wants
+        scan = plan_of(out).split("Exchange hashpartitioning")[-1]
+        assert ">= -14" in scan
+
+
 def test_bureau_hot_keys_agree(roles):
     plain = bureau.bureau_features(roles.bureau, roles.bureau_balance, hot=[])
     split = bureau.bureau_features(roles.bureau, roles.bureau_balance, hot=[1, 2, 3, 5, 8, 13])
