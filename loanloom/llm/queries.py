@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loanloom.llm import chat, tokens
+from loanloom.llm import chat, secrets, tokens
 from loanloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +59,46 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document as the library counts them with the lower-casing word vocabulary."""
     vocabulary = tokens.load_vocabulary(public_tokenizers.path(TOKENIZER))
     return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary)
+
+
+@query
+def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole document, with weak parts of credentials where their complements stand nearby."""
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind_no"] < secrets.STRONG)
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(secrets.span_text(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.span_text(F.col("spans")).alias("spans"),
+    )
+
+
+def _secret_kind_sql(kind: int) -> str:
+    name, pattern, group, least, most = secrets.KINDS[kind]
+    quoted = pattern.replace("'", "''")
+    return f"""
+    SELECT doc_id, {kind} AS kind, upto - size AS start, upto AS stop FROM (
+        SELECT doc_id, size, value, sum(gap + size) OVER (PARTITION BY doc_id ORDER BY place) AS upto FROM (
+            SELECT doc_id, unnest(range(len(found))) AS place, unnest(list_transform(found, lambda x: length(x))) AS size,
+                unnest(list_transform(vals, lambda x: length(x))) AS value,
+                unnest(list_transform(gaps[:len(found)], lambda x: length(x))) AS gap
+            FROM (SELECT doc_id, regexp_extract_all(text, '{quoted}', 0) AS found,
+                regexp_extract_all(text, '{quoted}', {group}) AS vals,
+                regexp_split_to_array(text, '{quoted}') AS gaps FROM documents)))
+    WHERE value BETWEEN {least} AND {most}"""
+
+
+_near = f"OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN {secrets.SCOPE} PRECEDING AND {secrets.SCOPE} FOLLOWING)"
+_spans = "coalesce(string_agg(['assign','access','hex','login','pass','endpoint'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER ({}), '')"
+ORACLE_SQL["op6_linked_secrets"] = f"""
+WITH parts AS ({" UNION ALL ".join(map(_secret_kind_sql, range(len(secrets.KINDS))))}
+), seen AS (
+    SELECT *, bool_or(kind IN (1, 3)) {_near} AS identifier, bool_or(kind IN (0, 2, 4)) {_near} AS secret FROM parts
+), told AS (
+    SELECT *, kind < 3 OR (kind = 3 AND secret) OR (kind = 4 AND identifier) OR (kind = 5 AND identifier AND secret) AS reported
+    FROM seen
+)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+    count(*) FILTER (kind = 2) AS n_hex, sha256({_spans.format("kind < 3")}) AS base_sha256, {_spans.format("reported")} AS spans
+FROM documents d LEFT JOIN told USING (doc_id) GROUP BY d.doc_id
+"""
