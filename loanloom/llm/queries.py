@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import chat, secrets, tokens
+from loanloom.llm import chat, pii, secrets, tokens
 from loanloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,20 @@ SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind =
     count(*) FILTER (kind = 2) AS n_hex, sha256({_spans.format("kind < 3")}) AS base_sha256, {_spans.format("reported")} AS spans
 FROM documents d LEFT JOIN told USING (doc_id) GROUP BY d.doc_id
 """
+
+
+@query
+def op3_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole document: base spans, and those the trained span classifier adds."""
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", pii.span_column(F.col("text"), pii.fit_span_model(docs)).alias("found"))
+    base = F.filter("found", lambda s: s["base"])
+
+    def count(kind: int):
+        return F.size(F.filter("found", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
+        F.sha2(pii.span_text(base).cast("binary"), 256).alias("base_sha256"),
+        pii.span_text(F.col("found")).alias("spans"),
+    )
