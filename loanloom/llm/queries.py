@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import chat, pii, secrets, tokens
+from loanloom.llm import chat, licenses, pii, quality, secrets, tokens
 from loanloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,19 @@ def op3_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.span_text(base).cast("binary"), 256).alias("base_sha256"),
         pii.span_text(F.col("found")).alias("spans"),
     )
+
+
+@query
+def op7_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole document, learnt from labelled rows outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = quality.fit_quality(docs, labels)
+    score = quality.score_column(F.col("text"), net)
+    scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.ACCEPTED).cast("int"))
+
+
+@query
+def op8_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template matches in every whole document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
