@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,22 @@ from pyspark.sql import functions as F
 from loanloom.sources import shared_dir
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark hand this package to Python workers, which need not find it on a path of their own."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    made = tempfile.mkdtemp(prefix="loanloom-")  # read by the driver alone, which serves it to executors
+    context.addPyFile(shutil.make_archive(os.path.join(made, "loanloom"), "zip", root, "loanloom"))
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import chat, licenses, pii, quality, secrets, tokens
+from loanloom.llm import chat, licenses, near_duplicates, pii, quality, secrets, tokens
 from loanloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,9 @@ def op7_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and template matches in every whole document."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: three-word shingles, similarity of 0.85 or more."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
