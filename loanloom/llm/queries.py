@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import chat, licenses, near_duplicates, pii, quality, secrets, tokens
+from loanloom.llm import chat, contamination, licenses, mixing, near_duplicates, pii, quality, secrets, tokens
 from loanloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,21 @@ def op8_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: three-word shingles, similarity of 0.85 or more."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+@query
+def op5_pigeonhole_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in any whole document within its error budget."""
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_soft_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate and whole copies of every document, so that expected domain tokens meet the target weights."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed = mixing.mixture(docs, table(spark, sf_dir, "labels"))
+    posteriors = [F.element_at("mix_posterior", k + 1).alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
+    return mixed.select(
+        "doc_id", F.col("mix_tokens").alias("n_tokens"), *posteriors,
+        F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"),
+    )
