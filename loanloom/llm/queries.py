@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import chat, contamination, licenses, mixing, near_duplicates, pii, quality, secrets, tokens
+from loanloom.llm import chat, contamination, licenses, mixing, near_duplicates, pii, quality, secrets, tokens, vectors
 from loanloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,9 @@ def op10_soft_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("mix_tokens").alias("n_tokens"), *posteriors,
         F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"),
     )
+
+
+@query
+def op4_quantised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of equal label with a cosine of 0.93 or more."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
