@@ -192,12 +192,31 @@ def sql_correlations(columns: list[str], source: str) -> str:
 
 @query("a25_corr", sql_rounded(sql_correlations(CORRELATED, "{application}"), ["col_a", "col_b"]))
 def _(t):
-    return rounded(correlations(t.application, CORRELATED, "plain"), ["col_a", "col_b"])
+    return rounded(correlations(t.application, CORRELATED), ["col_a", "col_b"])
+
+
+# Thirty columns: multiples of a few, one constant where its partner is known, and one with NaN.
+_WIDE = {f"w{i}": f"CAST(AMT_CREDIT + {i} * AMT_ANNUITY * (CNT_CHILDREN % 2) AS DOUBLE)" for i in range(27)} | {
+    "half": "CASE WHEN SK_ID_CURR % 2 = 0 THEN 0.1e0 WHEN SK_ID_CURR % 3 = 0 THEN CAST(DAYS_BIRTH AS DOUBLE) END",
+    "other_half": "CASE WHEN SK_ID_CURR % 2 = 0 THEN CAST(DAYS_BIRTH AS DOUBLE) END",
+    "with_nan": "CASE WHEN SK_ID_CURR % 5 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(DAYS_BIRTH AS DOUBLE) END",
+}
+_WIDE_ROWS = "(SELECT " + ", ".join(f"{e} AS {n}" for n, e in _WIDE.items()) + " FROM {application})"
+_WIDE_SQL = f"SELECT {', '.join(n if n != 'with_nan' else 'CASE WHEN NOT isnan(with_nan) THEN with_nan END AS with_nan' for n in _WIDE)} FROM {_WIDE_ROWS} w"
+
+
+@query("a25_wide", sql_rounded(
+    f"SELECT col_a, col_b, CASE WHEN NOT isnan(r) THEN r END AS r FROM ({sql_correlations(list(_WIDE), f'({_WIDE_SQL})')}) c",
+    ["col_a", "col_b"],
+))
+def _(t):
+    rows = t.application.select(*[F.expr(e).alias(n) for n, e in _WIDE.items()])
+    return rounded(correlations(rows), ["col_a", "col_b"])
 
 
 @query("a25_corr_moments", sql_rounded(sql_correlations(CORRELATED, "{application}"), ["col_a", "col_b"]))
 def _(t):
-    return rounded(correlations(t.application, CORRELATED, "moments"), ["col_a", "col_b"])
+    return rounded(correlations(t.application.repartition(7), CORRELATED), ["col_a", "col_b"])
 
 
 # --- joins ------------------------------------------------------------------------------------

@@ -193,6 +193,29 @@ _MISSING_SQL = "SELECT * FROM (" + " UNION ALL ".join(
 ) + ") m WHERE n_miss > 0"
 
 
+@query(
+    "p10_small_ratio",
+    f"""SELECT 'l_partkey' AS "column", CAST(l_partkey AS STRING) AS top_value, CAST(count(*) AS BIGINT) AS n,
+        {sql_r4("count(*) * 1e0 / (SELECT count(*) FROM lineitem)")} AS ratio FROM lineitem
+        GROUP BY l_partkey ORDER BY count(*) DESC, top_value LIMIT 1""",
+)
+def _(t):
+    found = profile.near_constants(t.table("lineitem").select("l_partkey"), 1e-5)
+    return found.withColumn("ratio", r4("ratio"))
+
+
+@query(
+    "p11_nan",
+    """SELECT 'price' AS "column", 'double' AS dtype, CAST(count(*) AS BIGINT) AS n_miss,
+       round(count(*) * 1e0 / (SELECT count(*) FROM orders) * 100, 2) AS ratio FROM orders WHERE o_orderkey % 5 < 2""",
+)
+def _(t):
+    rows = t.table("orders").selectExpr(
+        "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN CAST('NaN' AS DOUBLE) ELSE o_totalprice END AS price", "o_orderkey"
+    )
+    return profile.missing_values_table(rows)
+
+
 @query("p11_missing_table", _MISSING_SQL)
 def _(t):
     return profile.missing_values_table(t.bureau.select(*_MISSING))
@@ -390,9 +413,19 @@ def _(t):
     return repeated.select(*_LINE_KEYS)
 
 
-@query("t2_sort_missing", _MISSING_SQL + " ORDER BY n_miss DESC, \"column\" LIMIT 3")
+@query(
+    "d2_ties",
+    """SELECT o_custkey, o_orderstatus, o_orderpriority FROM (SELECT o_custkey, o_orderstatus, o_orderpriority, row_number() OVER
+       (PARTITION BY o_custkey ORDER BY o_orderstatus, o_orderpriority) AS rn FROM orders) o WHERE rn > 1""",
+)
+def _(t):
+    rows = t.table("orders").select("o_custkey", "o_orderstatus", "o_orderpriority")
+    return duplicates.duplicate_keys(rows, ["o_custkey"], ["o_orderstatus"])
+
+
+@query("t2_sort_missing", _MISSING_SQL + " ORDER BY n_miss DESC, \"column\"")
 def _(t):
-    return profile.missing_values_table(t.bureau.select(*_MISSING)).limit(3)
+    return profile.missing_values_table(t.bureau.select(*_MISSING))
 
 
 @query(

@@ -25,18 +25,30 @@ def _fresh(spark, name: str) -> str:
 
 @query(
     "s1_csv_scan",
-    """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
-       FROM orders""",
+    "SELECT * FROM orders",
 )
 def _(t):
-    orders = t.table("orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"
-    )
+    orders = t.table("orders")
     path = _fresh(t.spark, "orders-csv")
     orders.write.option("header", True).csv(path)
     return read_csv(t.spark, path, orders.schema)
 
 
+@query(
+    "s1_csv_markers",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS o_totalprice,
+       CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS o_orderstatus FROM orders""",
+)
+def _(t):
+    marked = t.table("orders").selectExpr(
+        "o_orderkey", "CASE WHEN o_orderkey % 6 = 0 THEN 'NaN' WHEN o_orderkey % 3 = 0 THEN 'NA' ELSE CAST(o_totalprice AS STRING) END AS o_totalprice",
+        "CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE o_orderstatus END AS o_orderstatus",
+    )
+    path = _fresh(t.spark, "marked-csv")
+    marked.write.option("header", True).csv(path)
+    return read_csv(t.spark, path, infer=True).withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+
+
 def _int_type(c: str) -> str:
     return f"""CASE WHEN min({c}) > -128 AND max({c}) < 127 THEN 'tinyint'
         WHEN min({c}) > -32768 AND max({c}) < 32767 THEN 'smallint'
@@ -69,13 +81,14 @@ def _(t):
 
 @query(
     "s2_narrowed_rows",
-    """SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
-       CAST(l_quantity AS DOUBLE) AS l_quantity FROM lineitem""",
+    "SELECT * REPLACE ("
+    + ", ".join([f"CAST({c} AS BIGINT) AS {c}" for c in _LINE_INTS] + [f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in _LINE_FLOATS])
+    + ") FROM lineitem",
 )
 def _(t):
-    narrowed = narrow_types(t.table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity"))
-    return narrowed.select(
-        F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long"), F.col("l_quantity").cast("double")
+    narrowed = narrow_types(t.table("lineitem"))
+    return narrowed.withColumns(
+        {c: F.col(c).cast("long") for c in _LINE_INTS} | {c: F.col(c).cast("double") for c in _LINE_FLOATS}
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,12 +45,20 @@ def flag(condition: Column) -> Column:
 
 def sql_literal(value: object) -> str:
     """A value as it is written in SQL text."""
+    if isinstance(value, Decimal):
+        return f"{value:f}BD"
     if isinstance(value, str):
         escaped = value.replace("\\", "\\\\").replace("'", "\\'")
         return f"'{escaped}'"
     return repr(value)
 
 
+def is_missing(column: ColumnLike, kind: str) -> Column:
+    """NULL, or NaN in a column of floating-point ``kind``."""
+    column = as_column(column)
+    return column.isNull() | F.isnan(column) if kind in ("float", "double") else column.isNull()
+
+
 def dummy(column: str, value: object | None) -> str:
     """SQL text of the indicator of one category; ``None`` indicates missing."""
     hit = f"`{column}` IS NULL" if value is None else f"`{column}` = {sql_literal(value)}"

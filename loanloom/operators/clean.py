@@ -7,8 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.functions.expr import finite_or_zero, null_if_value
-from loanloom.functions.names import unique_names
+from loanloom.functions.expr import finite_or_zero, is_missing, null_if_value
 
 
 def fill_constant(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
@@ -18,27 +17,36 @@ def fill_constant(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     return df.fillna(fitting) if fitting else df
 
 
-def most_frequent(df: DataFrame, column: str) -> object | None:
-    """The mode; ties go to the smallest value, missing values do not count.
+def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, object | None]:
+    """The mode of each column; ties go to the smallest value, missing values and NaN do not count.
 
-    A count per value and a top-1, because the built-in mode keeps every
-    distinct value in one buffer.
+    One count per column and value, combined on the map side, and a largest per
+    column, because the built-in mode keeps every distinct value in one buffer.
     """
-    top = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(column)
-        .count()
-        .orderBy(F.col("count").desc(), F.col(column).asc())
-        .first()
-    )
-    return None if top is None else top[0]
+    kinds = dict(df.dtypes)
+    pairs = []
+    for i, c in enumerate(columns):
+        known = F.when(~is_missing(c, kinds[c]), F.col(c))
+        values = [(known if j == i else F.lit(None).cast(kinds[d])).alias(f"_{j}") for j, d in enumerate(columns)]
+        pairs.append(F.struct(F.lit(i).alias("i"), *values))
+    names = [f"_{j}" for j in range(len(columns))]
+    counted = df.select(F.inline(F.array(*pairs))).groupBy("i", *names).agg((-F.count(F.lit(1))).alias("minus"))
+    present = counted.where(F.coalesce(*[F.col(n).cast("string") for n in names]).isNotNull())
+    top = present.groupBy("i").agg(F.min(F.struct("minus", *names)).alias("top")).collect()
+    modes: dict[str, object | None] = dict.fromkeys(columns)
+    modes.update({columns[r["i"]]: r["top"][f"_{r['i']}"] for r in top})
+    return modes
 
 
 def fill_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The most frequent value for missing."""
-    modes = {c: most_frequent(df, c) for c in columns}
+    kinds = dict(df.dtypes)
+    modes = most_frequent(df, columns) if columns else {}
     return df.withColumns(
-        {c: F.coalesce(F.col(c), F.lit(m)) for c, m in modes.items() if m is not None}
+        {
+            c: F.when(is_missing(c, kinds[c]), F.lit(m).cast(kinds[c])).otherwise(F.col(c))
+            for c, m in modes.items() if m is not None
+        }
     )
 
 
@@ -92,11 +100,6 @@ def first_of_each_name(df: DataFrame) -> DataFrame:
     return df.toDF(*handles).select(*[F.col(handles[i]).alias(names[i]) for i in kept])
 
 
-def distinct_names(df: DataFrame) -> DataFrame:
-    """Keep every column, numbering case-insensitive name repeats."""
-    return df.toDF(*unique_names(df.columns))
-
-
 def split_label(df: DataFrame, label: str, key: str) -> tuple[DataFrame, DataFrame]:
     """Features without the label, and the label by key."""
     return df.drop(label), df.select(key, label)

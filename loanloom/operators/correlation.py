@@ -11,38 +11,48 @@ from pyspark.sql import functions as F
 
 from loanloom.operators.profile import numeric_columns
 
-# Up to this many columns the pairs are plain aggregates; beyond it the plan would
-# hold thousands of them, and partial moment matrices are summed instead.
-_PLAIN_COLUMNS = 24
+# A pair whose variance is below this share of its squares may be constant where both are known.
+_ROUNDING = 1e-9
+# Pairs computed again in one pass.
+_AGAIN = 200
+
+
+def _known(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as doubles; NaN is missing."""
+    kinds = dict(df.dtypes)
+    plain = lambda c: F.col(f"`{c}`").cast("double")
+    return df.select(
+        *[(F.when(~F.isnan(plain(c)), plain(c)) if kinds[c] in ("float", "double") else plain(c)).alias(c) for c in columns]
+    )
 
 
-def correlations(
-    df: DataFrame, columns: Sequence[str] | None = None, method: str = "auto"
-) -> DataFrame:
-    """``(col_a, col_b, r)`` for pairs in column order, ``r`` NULL where undefined.
+def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``(col_a, col_b, r)`` for pairs in column order, ``r`` NULL where undefined; NaN counts as missing.
 
-    ``method``: ``plain`` (one ``corr`` aggregate per pair), ``moments``
-    (matrix products per batch, summed by Spark) or ``auto`` by column count.
+    Matrix products of the centred values per batch, summed by Spark, for any number of
+    columns. A pair that hardly varies on the rows where both are known is computed
+    again from exact moments, so that rounding cannot pass for correlation.
     """
     columns = list(columns or numeric_columns(df))
-    if method == "auto":
-        method = "plain" if len(columns) <= _PLAIN_COLUMNS else "moments"
-    return _plain(df, columns) if method == "plain" else _moments(df, columns)
+    known = _known(df, columns)
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
+    found = _moments(known, columns)
+    again = [(r["col_a"], r["col_b"]) for r in found.where("flat").select("col_a", "col_b").collect()]
+    exact = [_exact(known, again[i : i + _AGAIN]) for i in range(0, len(again), _AGAIN)]
+    result = found.where("NOT flat").drop("flat")
+    for part in exact:
+        result = result.unionByName(part)
+    return result
 
 
-def _plain(df: DataFrame, columns: list[str]) -> DataFrame:
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
+def _exact(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     row = df.agg(*[F.expr(f"{_pair(a, b)} AS _{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(
         F.inline(
             F.array(
                 *[
-                    F.struct(
-                        F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                        F.col(f"_{i}").alias("r"),
-                    )
+                    F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"_{i}").alias("r"))
                     for i, (a, b) in enumerate(pairs)
                 ]
             )
@@ -53,44 +63,44 @@ def _plain(df: DataFrame, columns: list[str]) -> DataFrame:
 def _pair(a: str, b: str) -> str:
     """Covariance over both deviations; the built-in correlation fails without variation."""
     both = f"`{a}` IS NOT NULL AND `{b}` IS NOT NULL"
-    x, y = (f"CASE WHEN {both} THEN CAST(`{c}` AS DOUBLE) END" for c in (a, b))
+    x, y = (f"CASE WHEN {both} THEN `{c}` END" for c in (a, b))
     return f"try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y}))"
 
 
 def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``col_a, col_b, r, flat``: every pair, and whether it may be constant."""
     # Sums of products lose digits unless the values are centred first.
-    means = df.agg(*[F.avg(c).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    means = df.agg(*[F.avg(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)]).first()
     centre = np.array([m or 0.0 for m in means], dtype=float)
     k = len(columns)
     upper = np.triu_indices(k, 1)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((6, k, k))
+        sums, rows = np.zeros((6, k, k)), 0
         for batch in batches:
+            rows += len(batch)
             x = batch.to_numpy(dtype=float) - centre
             seen = ~np.isnan(x)
             x = np.where(seen, x, 0.0)
             m, sq = seen.astype(float), x * x
-            sums += np.stack([m.T @ m, x.T @ m, m.T @ x, sq.T @ m, m.T @ sq, x.T @ x])
-        picked = sums[:, upper[0], upper[1]]
-        yield pd.DataFrame(
-            {"a": upper[0], "b": upper[1], **{f"s{i}": picked[i] for i in range(6)}}
-        )
-
-    values = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
-    # Every task emits one row per pair, so there should not be many more tasks than cores.
-    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
-    parts = values.coalesce(tasks).mapInPandas(
-        partial, "a int, b int, " + ", ".join(f"s{i} double" for i in range(6))
-    )
+            for i, product in enumerate((m.T @ m, x.T @ m, m.T @ x, sq.T @ m, m.T @ sq, x.T @ x)):
+                sums[i] += product
+        if rows:
+            picked = {f"s{i}": sums[i][upper] for i in range(6)}
+            yield pd.DataFrame({"a": upper[0], "b": upper[1], **picked})
+
+    values = df.toDF(*[f"_{i}" for i in range(k)])
+    parts = values.mapInPandas(partial, "a int, b int, " + ", ".join(f"s{i} double" for i in range(6)))
     total = parts.groupBy("a", "b").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(6)])
     n, sa, sb, saa, sbb, sab = (F.col(f"s{i}") for i in range(6))
-    spread = F.sqrt(F.greatest(saa - sa * sa / n, F.lit(0.0)) * F.greatest(sbb - sb * sb / n, F.lit(0.0)))
+    va, vb = saa - F.try_divide(sa * sa, n), sbb - F.try_divide(sb * sb, n)
+    spread = F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))
     names = F.array(*[F.lit(c) for c in columns])
     return total.select(
         F.element_at(names, F.col("a") + 1).alias("col_a"),
         F.element_at(names, F.col("b") + 1).alias("col_b"),
-        F.when(n > 0, F.try_divide(sab - sa * sb / n, spread)).alias("r"),
+        F.try_divide(sab - F.try_divide(sa * sb, n), spread).alias("r"),
+        ((n > 0) & ((va <= saa * _ROUNDING) | (vb <= sbb * _ROUNDING))).alias("flat"),
     )
 
 
@@ -99,8 +109,8 @@ def correlation_matrix_long(df: DataFrame, columns: Sequence[str] | None = None)
     columns = list(columns or numeric_columns(df))
     half = correlations(df, columns)
     swapped = half.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")
-    varying = df.agg(
-        *[F.when(F.min(c) != F.max(c), F.lit(1.0)).alias(f"_{i}") for i, c in enumerate(columns)]
+    varying = _known(df, columns).agg(
+        *[F.when(F.min(f"`{c}`") != F.max(f"`{c}`"), F.lit(1.0)).alias(f"_{i}") for i, c in enumerate(columns)]
     )
     diagonal = varying.select(
         F.inline(

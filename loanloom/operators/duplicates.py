@@ -45,20 +45,19 @@ def duplicate_keys(
 ) -> DataFrame:
     """D-2: all rows of a key but the first in the given order, missing keys being alike.
 
-    The first row per key is a map-side combined minimum; a window would sort
-    all rows of a hot key in one task. ``order_by`` must tell rows of a key apart.
+    Rows that tie in the order follow their other columns, and exact copies of the
+    first row count as rows after it. Equal rows are counted before they meet, and
+    the first row per key is a map-side combined minimum; a window would sort
+    all rows of a hot key in one task. Keys are compared as values, not as text.
     """
-    # Missing keys have to match each other, so the join runs on a stand-in and a null mark.
-    marks = {f"_null_{k}": F.col(k).isNull() for k in keys}
-    order = F.struct(*order_by)
-    firsts = df.groupBy(*keys).agg(F.min(order).alias("_first"))
-    same = [f"_key_{k}" for k in keys]
-
-    def matchable(frame: DataFrame) -> DataFrame:
-        stand_in = {f"_key_{k}": F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys}
-        return frame.withColumns({**marks, **stand_in})
-
-    joined = split_join(
-        matchable(df), matchable(firsts).select(*marks, *same, "_first"), [*marks, *same], "inner", min_hot_rows
+    distinct = df.groupBy(*df.columns).agg((F.count(F.lit(1)) - 1).alias("n_after_first"))
+    order = F.struct(*order_by, *[F.col(c) for c in df.columns if c not in order_by])
+    # A struct matches another with the same missing fields, which a plain key would not.
+    keyed = distinct.withColumns({"_key": F.struct(*keys), "_order": order})
+    firsts = keyed.groupBy("_key").agg(F.min("_order").alias("_first"))
+    joined = split_join(keyed, firsts, ["_key"], "inner", min_hot_rows)
+    is_first = F.col("_order") == F.col("_first")
+    counted = joined.select(
+        *df.columns, (F.col("n_after_first") + F.when(is_first, 0).otherwise(1)).alias("n_after_first")
     )
-    return joined.where(order > F.col("_first")).select(*df.columns)
+    return expand_copies(counted.where("n_after_first > 0"))

@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanloom.functions.expr import dummy, flag
+from loanloom.functions.expr import dummy, flag, is_missing
 from loanloom.functions.names import clean_name, unique_names
 from loanloom.operators.lookup import bounded, lookup_join
 from loanloom.sources.io import checkpoint
 
-# One-hot encoding adds a column per level, so a runaway column must fail, not widen the table.
-MAX_LEVELS = 20_000
-
 
 def string_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if t == "string"]
@@ -47,9 +45,13 @@ def fit_vocabulary(
     columns: Sequence[str] | None = None,
     missing: bool = True,
     drop_first: bool = False,
-    max_levels: int = MAX_LEVELS,
+    max_levels: int | None = None,
 ) -> Vocabulary:
-    """Distinct levels of the given (default: all string) columns in one pass."""
+    """Distinct levels of the given (default: all string) columns in one pass; NaN is missing.
+
+    There is a column per level, so the levels are a schema and reach the driver
+    whatever their number; a caller who wants a refusal instead names ``max_levels``.
+    """
     columns = string_columns(df) if columns is None else list(columns)
     if not columns:
         return Vocabulary({}, missing, drop_first)
@@ -58,24 +60,30 @@ def fit_vocabulary(
         F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"))
         for i, c in enumerate(columns)
     ]
-    found = (
-        df.select(F.inline(F.array(*pairs)))
-        .where(F.col("v").isNotNull())
-        .distinct()
-        .limit(max_levels + 1)
-        .collect()
-    )
-    if len(found) > max_levels:
-        raise ValueError(f"more than {max_levels} levels in {columns}: not one-hot material")
+    distinct = df.select(F.inline(F.array(*pairs))).where("v IS NOT NULL").distinct()
+    found = (distinct if max_levels is None else distinct.limit(max_levels + 1)).collect()
+    if max_levels is not None and len(found) > max_levels:
+        raise ValueError(f"more than {max_levels} levels in {columns}")
     levels = {}
     for i, c in enumerate(columns):
-        values = [r["v"] for r in found if r["i"] == i]
-        if kinds[c] != "string":
-            values = [int(v) if kinds[c].endswith("int") else float(v) for v in values]
-        levels[c] = tuple(sorted(values))
+        values = [r["v"] for r in found if r["i"] == i and not (r["v"] == "NaN" and kinds[c] in ("float", "double"))]
+        levels[c] = tuple(sorted(_typed(v, kinds[c]) for v in values))
     return Vocabulary(levels, missing, drop_first)
 
 
+def _typed(text: str, kind: str) -> object:
+    """A level as a value that sorts as its column does and can be written as a literal."""
+    if kind.endswith("int"):
+        return int(text)
+    if kind in ("float", "double"):
+        return float(text)
+    if kind == "boolean":
+        return text == "true"
+    if kind.startswith("decimal"):
+        return Decimal(text)
+    return text
+
+
 def apply_one_hot(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Dummies appended, encoded columns dropped; one projection, no pivot."""
     kept = [c for c in df.columns if c not in vocabulary.levels]
@@ -105,7 +113,8 @@ def sorted_codes(values: DataFrame, column: str) -> DataFrame:
     """
     small, fits = bounded(values)
     if fits:
-        ordered = sorted(r[0] for r in small.collect())
+        # As Spark orders them, which puts NaN last.
+        ordered = sorted((r[0] for r in small.collect()), key=lambda v: (v != v, v))
         rows = [(v, i) for i, v in enumerate(ordered)]
         kind = values.schema[column].dataType.simpleString()
         return values.sparkSession.createDataFrame(rows, f"`{column}` {kind}, _code long")
@@ -146,19 +155,24 @@ def rare_to_other(
     lookup holds the frequent categories, of which there are at most
     ``1/rare_perc``, not the rare ones.
     """
-    total = df.count()
-    names = df.columns
-    for c in columns:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).count()
-        below = counts.where(F.col("count") / F.lit(total) < gate).limit(2).count()
-        if below < 2:
-            continue
-        frequent = counts.where(F.col("count") / F.lit(total) >= rare_perc)
-        df = lookup_join(df, frequent.select(c, F.lit(True).alias("_frequent")), c)
-        rare = F.col(c).isNotNull() & F.col("_frequent").isNull()
-        encoded = F.when(rare, F.lit(other)).otherwise(F.col(c).cast("string"))
-        df = df.withColumn(c, encoded).select(*names)
-    return df
+    columns = list(columns)
+    pairs = [F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)]
+    levels = df.select(F.inline(F.array(*pairs))).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    counted = checkpoint(levels)
+    total = counted.where("i = 0").agg(F.sum("n")).first()[0] or 0
+    share = F.col("n") / F.lit(max(total, 1))
+    known = F.col("v").isNotNull()
+    rows = counted.where(known).groupBy("i").agg(
+        F.count_if(share < gate).alias("below"), F.sort_array(F.collect_list(F.when(share >= rare_perc, F.col("v")))).alias("kept")
+    )
+    # At most 1 / rare_perc levels a column are frequent, so they are a list, not a join.
+    encoded = {}
+    for r in rows.where("below > 1").collect():
+        c = columns[r["i"]]
+        text = F.col(c).cast("string")
+        rare = text.isNotNull() & ~text.isin(r["kept"])
+        encoded[c] = F.when(rare, F.lit(other)).otherwise(text)
+    return df.withColumns(encoded) if encoded else df
 
 
 def binary_columns(df: DataFrame, include_small_numeric: bool = True) -> list[str]:
@@ -194,4 +208,5 @@ def binary_columns(df: DataFrame, include_small_numeric: bool = True) -> list[st
 
 def missing_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``<column>_NA_FLAG`` next to the data."""
-    return df.withColumns({f"{c}_NA_FLAG": F.col(c).isNull().cast("int") for c in columns})
+    kinds = dict(df.dtypes)
+    return df.withColumns({f"{c}_NA_FLAG": is_missing(c, kinds[c]).cast("int") for c in columns})

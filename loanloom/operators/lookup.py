@@ -66,25 +66,26 @@ def split_join(
     )
 
 
-def hot_keys(
-    df: DataFrame, key: str, share: float = 0.001, min_rows: int = MIN_HOT_ROWS
-) -> list[object]:
-    """Keys that hold more than ``share`` of the rows and at least ``min_rows``.
+# Below this share of the rows a frequent-items sketch would hold too many items, and all keys are counted.
+_LEAST_SUPPORT = 1e-4
 
-    There can be at most ``1/share`` of them. A frequent-items sketch finds the
-    candidates without a shuffle and cannot miss one; exact counts confirm them.
+
+def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> list[object]:
+    """Keys with at least ``min_rows`` rows, whatever share of the table that is.
+
+    There can be at most ``rows / min_rows`` of them. Where that is a short list, a
+    sketch that cannot miss one finds candidates without a shuffle and exact counts
+    confirm them; otherwise every key is counted, combined on the map side.
     """
     present = df.select(key).where(F.col(key).isNotNull())
     total = present.count()
     if total < min_rows:
         return []
-    candidates = [k for k in present.stat.freqItems([key], support=share).first()[0]]
-    if not candidates:
-        return []
-    confirmed = (
-        present.where(F.col(key).isin(candidates))
-        .groupBy(key)
-        .count()
-        .where(F.col("count") >= max(min_rows, share * total))
-    )
+    support = min_rows / total
+    if support >= _LEAST_SUPPORT:
+        candidates = [k for k in present.stat.freqItems([key], support=support).first()[0]]
+        if not candidates:
+            return []
+        present = present.where(F.col(key).isin(candidates))
+    confirmed = present.groupBy(key).count().where(F.col("count") >= min_rows)
     return sorted(row[key] for row in confirmed.collect())

@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanloom.functions.expr import is_missing
 from loanloom.operators.encode import missing_flags
 from loanloom.operators.quantiles import column_quantiles, long_values
 
@@ -37,7 +38,7 @@ def _one_row_to_long(row: DataFrame, columns: Sequence[str], fields: Sequence[st
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(column, dtype, n_rows, n_miss)`` in one scan."""
+    """``(column, dtype, n_rows, n_miss)`` in one scan; NaN is missing."""
     columns = list(columns or df.columns)
     kinds = dict(df.dtypes)
     row = df.agg(
@@ -47,7 +48,7 @@ def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
             for a in (
                 F.lit(kinds[c]).alias(f"dtype_{i}"),
                 F.count(F.lit(1)).alias(f"n_rows_{i}"),
-                F.count_if(F.col(c).isNull()).alias(f"n_miss_{i}"),
+                F.count_if(is_missing(c, kinds[c])).alias(f"n_miss_{i}"),
             )
         ]
     )
@@ -248,42 +249,47 @@ def grab_col_names(df: DataFrame, cat_th: int = 10, car_th: int = 20) -> ColumnK
 
 
 def constant_columns(df: DataFrame) -> list[str]:
-    """At most one distinct value, missing excluded; extremes tell, no distinct set needed."""
-    row = df.agg(
-        *[(F.min(c).eqNullSafe(F.max(c))).alias(f"_{i}") for i, c in enumerate(df.columns)]
-    ).first()
+    """At most one distinct value, missing and NaN excluded; extremes tell, no distinct set needed."""
+    known = {c: F.when(~is_missing(c, k), F.col(c)) for c, k in df.dtypes}
+    row = df.agg(*[(F.min(v).eqNullSafe(F.max(v))).alias(f"_{i}") for i, v in enumerate(known.values())]).first()
     return [c for i, c in enumerate(df.columns) if row[f"_{i}"]]
 
 
+# A frequent-items sketch holds at most twice the reciprocal of this many items per column.
+_LEAST_SKETCHED = 0.02
+
+
 def near_constants(df: DataFrame, ratio: float) -> DataFrame:
     """P10: ``(column, top_value, n, ratio)`` of columns whose top value fills that share of rows.
 
-    A value this frequent cannot escape a frequent-items sketch with half that
-    support, so only a few candidates per column are counted exactly.
+    Counts per column and value, combined on the map side, and the largest of each
+    column; equal counts go to the smallest text. For shares a sketch can hold, which cannot
+    miss such a value, only the sketch's few candidates are counted.
     """
-    support = min(0.5, max(ratio / 2, 1e-4))
-    if support > ratio:
-        raise ValueError("ratio is too small for the sketch; use value_counts")
-    row = df.stat.freqItems(df.columns, support=support).first()
-    kinds = dict(df.dtypes)
-    candidates = [
-        (c, v) for i, c in enumerate(df.columns) for v in row[i] if v is not None
-    ]
-    counted = df.agg(
-        F.count(F.lit(1)).alias("total"),
-        *[
-            F.count_if(F.col(c) == F.lit(v).cast(kinds[c])).alias(f"_{i}")
-            for i, (c, v) in enumerate(candidates)
-        ],
-    ).first()
-    top: dict[str, tuple[object, int]] = {}
-    for i, (c, v) in enumerate(candidates):
-        n = counted[f"_{i}"]
-        if c not in top or n > top[c][1]:
-            top[c] = (v, n)
-    rows = [
-        (c, str(v), n, n / counted["total"])
-        for c, (v, n) in top.items()
-        if counted["total"] and n / counted["total"] >= ratio
+    names = df.columns
+    pairs = [
+        F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(names)
     ]
-    return df.sparkSession.createDataFrame(rows, "column string, top_value string, n long, ratio double")
+    long = df.select(F.inline(F.array(*pairs)))
+    if ratio >= _LEAST_SKETCHED:
+        texts = df.select(*[F.col(f"`{c}`").cast("string").alias(f"_{i}") for i, c in enumerate(names)])
+        found = texts.stat.freqItems(texts.columns, support=min(0.5, ratio / 2)).first()
+        likely = None
+        for i in range(len(names)):
+            hit = (F.col("i") == i) & F.col("v").isin([v for v in found[i] or () if v is not None])
+            likely = hit if likely is None else likely | hit
+        long = long.where(likely)
+    total = df.count()
+    counted = long.where("v IS NOT NULL").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    top = counted.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("minus"), "v")).alias("top"))
+    share = -F.col("top.minus") / F.lit(float(max(total, 1)))
+    return (
+        top.where(share >= ratio)
+        .select(
+            F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1).alias("column"),
+            F.col("top.v").alias("top_value"),
+            (-F.col("top.minus")).alias("n"),
+            share.alias("ratio"),
+        )
+    )
+

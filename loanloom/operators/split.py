@@ -29,8 +29,10 @@ def stratified_split(
     The n-th smallest hash of each label is found through a histogram of the
     hash (bounded per label) and a ranking of the one bucket it falls in, so a
     dominant label is never sorted in one task. ``key`` breaks ties and must be
-    unique; ``order`` must lie in ``[0, order_max)``.
+    unique; ``order`` must lie in ``[0, order_max)``. Rows without a label cannot be
+    stratified and are on neither side.
     """
+    df = df.where(F.col(label).isNotNull())
     marked = df.withColumn("_h", hash_order(key, seed) if order is None else order)
     bucket = F.floor(F.col("_h") / F.lit(float(order_max)) * _BUCKETS)
     slim = marked.select(label, F.col(key).alias("_k"), "_h", bucket.alias("_b"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loanloom.functions.expr import safe_div
 from loanloom.operators.clean import fill_constant, fill_mode, null_sentinel, replace_value
 from loanloom.operators.encode import Vocabulary, apply_one_hot, fit_vocabulary
-from loanloom.operators.lookup import bounded
+from loanloom.operators.lookup import bounded, split_join
 from loanloom.operators.quantiles import group_median
 
 # Fills and substitutions of the applicant table.
@@ -105,7 +105,7 @@ def attach_median_incomes(df: DataFrame, fit: ApplicationFit) -> DataFrame:
         table = fit.medians.where(F.col("column") == column).select(
             F.col("level").alias(column), F.col("median").alias(name)
         )
-        df = df.join(F.broadcast(table) if fit.medians_small else table, column, "left")
+        df = df.join(F.broadcast(table), column, "left") if fit.medians_small else split_join(df, table, [column])
     return df
 
 

@@ -124,7 +124,9 @@ def bureau_features(
     # Looked for before the join, which cannot change how often an applicant occurs.
     hot = hot_keys(bureau, "SK_ID_CURR") if hot is None else hot
     loan_vocabulary, balance_vocabulary = fit_vocabulary(bureau), fit_vocabulary(balance)
-    loans = fill_constant(bureau, {c: 0 for c in ZERO_FILLED}).join(
-        balance_features(balance, balance_vocabulary), "SK_ID_BUREAU", "left"
-    )
+    # Rows without a loan id match nothing, so they stay where they are.
+    filled = fill_constant(bureau, {c: 0 for c in ZERO_FILLED})
+    balances = balance_features(balance, balance_vocabulary)
+    with_id = filled.where("SK_ID_BUREAU IS NOT NULL").join(balances, "SK_ID_BUREAU", "left")
+    loans = with_id.unionByName(filled.where("SK_ID_BUREAU IS NULL"), allowMissingColumns=True)
     return roll_up(loans, "SK_ID_CURR", bureau_block(loan_vocabulary, balance_vocabulary, include_active), hot)

@@ -3,28 +3,88 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with a header and a declared schema; blanks arrive as NULL.
+# What stands for a missing field.
+NULL_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+               "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
-    A declared schema avoids the extra full scan that type inference costs.
+
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    null_values: Sequence[str] = NULL_VALUES,
+    infer: bool = False,
+    mode: str = "FAILFAST",
+) -> DataFrame:
+    """CSV with a header; the ``null_values`` arrive as NULL in every column.
+
+    A declared schema avoids the extra full scan that ``infer`` costs. A field that is
+    neither missing nor of its column's type stops the scan, unless ``mode`` is
+    ``PERMISSIVE`` (it arrives as NULL) or ``DROPMALFORMED``.
     """
-    return spark.read.schema(schema).option("header", True).csv(path)
+    if (schema is None) != infer:
+        raise ValueError("name a schema, or infer one")
+    text = spark.read.option("header", True).option("mode", mode).csv(path)
+    cleaned = text.select(*[_without(c, null_values) for c in text.columns])
+    if infer:
+        kinds = _guessed(cleaned)
+    else:
+        declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        kinds = {f.name: f.dataType.simpleString() for f in declared}
+    if set(text.columns) != set(kinds):
+        raise ValueError(f"columns differ from the schema: {sorted(set(text.columns) ^ set(kinds))}")
+    read = []
+    for c, kind in kinds.items():
+        value = F.col(f"`{c}`").try_cast(kind)
+        bad = F.col(f"`{c}`").isNotNull() & value.isNull()
+        if mode == "FAILFAST":
+            value = F.when(bad, F.raise_error(F.concat(F.lit(f"{c} is no {kind}: "), F.col(f"`{c}`"))).cast(kind)).otherwise(value)
+        elif mode == "DROPMALFORMED":
+            cleaned = cleaned.where(~bad)
+        read.append(value.alias(c))
+    return cleaned.select(*read)
+
+
+def _without(column: str, null_values: Sequence[str]) -> Column:
+    quoted = F.col(f"`{column}`")
+    return F.when(~quoted.isin(list(null_values)), quoted).alias(column)
+
+
+_GUESSES = ("int", "bigint", "double", "date", "timestamp", "boolean")
+
+
+def _guessed(df: DataFrame) -> dict[str, str]:
+    """The first type every field of a column has, in one scan; text if there is none."""
+    failed = df.agg(
+        *[
+            F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(k).isNull()).alias(f"{k}_{i}")
+            for i, c in enumerate(df.columns) for k in _GUESSES
+        ],
+        *[F.count(f"`{c}`").alias(f"known_{i}") for i, c in enumerate(df.columns)],
+    ).first()
+    return {
+        c: next((k for k in _GUESSES if failed[f"known_{i}"] and not failed[f"{k}_{i}"]), "string")
+        for i, c in enumerate(df.columns)
+    }
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a local one only where none is named."""
+    """The folder every executor can reach; a local one only on a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="loanloom-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -38,9 +98,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder ran to its end."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return bool(mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark))
+
+
 def cache_or_load(df: DataFrame, path: str, refresh: bool = False) -> DataFrame:
-    """Write Parquet if absent (or always with ``refresh``), then read it back."""
-    df.write.mode("overwrite" if refresh else "ignore").parquet(path)
+    """Write Parquet unless a complete write is there (or always with ``refresh``), then read it back.
+
+    A folder without the success mark is a write that broke off, and is written anew.
+    """
+    if refresh or not is_complete(df.sparkSession, path):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

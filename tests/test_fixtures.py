@@ -1,8 +1,11 @@
 """Small inputs with answers worked out by hand."""
 
+import itertools
 import math
+import pathlib
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,8 +68,9 @@ def test_one_hot_names_and_quotes(spark):
     assert unique_names(["a", "A", "b"]) == ["a", "A_2", "b"]
 
 
-def test_one_hot_refuses_runaway_columns(spark):
+def test_one_hot_refuses_only_where_asked(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("x"))
+    assert len(encode.fit_vocabulary(df).levels["x"]) == 50
     with pytest.raises(ValueError):
         encode.fit_vocabulary(df, max_levels=20)
 
@@ -173,14 +177,21 @@ def test_correlated_columns(spark):
     assert drop_correlated(df, threshold=0.9).columns == ["x", "w"]
 
 
-def test_correlation_methods_agree_with_missing_values(spark):
-    data = [(float(i * i % 17), None if i % 4 == 0 else float(i % 7), float(i) + 1e9, 3.0) for i in range(200)]
-    df = spark.createDataFrame(data, "a double, b double, c double, d double")
-    plain = {(r.col_a, r.col_b): r.r for r in correlations(df, method="plain").collect()}
-    moments = {(r.col_a, r.col_b): r.r for r in correlations(df, method="moments").collect()}
-    assert plain.keys() == moments.keys()
-    for pair, r in plain.items():
-        assert (r is None and moments[pair] is None) or r == pytest.approx(moments[pair], abs=1e-9)
+def test_correlation_by_brute_force(spark):
+    nan = float("nan")
+    data = [
+        (float(i * i % 17), None if i % 4 == 0 else float(i % 7), float(i) + 1e9, 3.0, 0.1 if i % 2 else None, nan if i % 3 else float(i))
+        for i in range(200)
+    ]
+    data = [(*r, r[0] if r[4] is None else 0.7) for r in data]
+    df = spark.createDataFrame(data, "a double, b double, c double, d double, e double, f double, g double")
+    found = {(r.col_a, r.col_b): r.r for r in correlations(df).collect()}
+    assert len(found) == 21
+    for (i, a), (j, b) in itertools.combinations(enumerate("abcdefg"), 2):
+        pairs = [(r[i], r[j]) for r in data if r[i] is not None and r[j] is not None and r[i] == r[i] and r[j] == r[j]]
+        flat = len({x for x, _ in pairs}) < 2 or len({y for _, y in pairs}) < 2
+        want = None if flat else np.corrcoef(np.array(pairs).T)[0, 1]
+        assert (found[a, b] is None) if want is None else found[a, b] == pytest.approx(want, abs=1e-9)
 
 
 def test_missing_tables(spark, rows):
@@ -197,6 +208,10 @@ def test_missing_tables(spark, rows):
 def test_duplicates(spark, rows):
     df = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 4), (None, 5), (None, 6)], "k int, o int")
     assert rows(duplicates.duplicate_keys(df, ["k"], ["o"])) == [(1, 2), (1, 3), (None, 6)]
+    ties = spark.createDataFrame([(1, 5), (1, 5), (1, 5), (2, 1), (None, 3), (None, 3)], "k int, o int")
+    assert rows(duplicates.duplicate_keys(ties, ["k"], ["o"])) == [(1, 5), (1, 5), (None, 3)]
+    zeros = spark.createDataFrame([(0.0, 1), (-0.0, 2)], "k double, o int")
+    assert duplicates.duplicate_keys(zeros, ["k"], ["o"]).count() == 1
     same = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (2, "b")], "k int, s string")
     repeats = duplicates.duplicate_rows(same)
     assert rows(repeats) == [(1, "a", 2)] and rows(duplicates.expand_copies(repeats)) == [(1, "a"), (1, "a")]
@@ -286,6 +301,55 @@ def test_csv_and_cache(spark, rows):
     other = spark.createDataFrame([(9, "z")], "a int, s string")
     assert cache_or_load(other, f"{base}/pq").count() == 2
     assert cache_or_load(other, f"{base}/pq", refresh=True).count() == 1
+    df.write.parquet(f"{base}/broken")
+    (pathlib.Path(f"{base}/broken".removeprefix("file:")) / "_SUCCESS").unlink()
+    assert rows(cache_or_load(other, f"{base}/broken")) == [(9, "z")]
+
+
+def test_csv_markers_and_bad_fields(spark, rows):
+    import uuid
+
+    base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    lines = [("1", "NaN", "x"), ("NA", "2.5", "n/a"), ("3", "xyz", "y")]
+    spark.createDataFrame(lines, "a string, b string, s string").write.option("header", True).csv(base)
+    schema = "a int, b double, s string"
+    with pytest.raises(Exception, match="b is no double"):
+        read_csv(spark, base, schema).collect()
+    assert rows(read_csv(spark, base, schema, mode="PERMISSIVE")) == [(1, None, "x"), (3, None, "y"), (None, 2.5, None)]
+    assert rows(read_csv(spark, base, schema, mode="DROPMALFORMED")) == [(1, None, "x"), (None, 2.5, None)]
+    assert read_csv(spark, base, infer=True).dtypes == [("a", "int"), ("b", "string"), ("s", "string")]
+    with pytest.raises(ValueError):
+        read_csv(spark, base, "a int")
+
+
+def test_nan_is_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, 1.0), (2.0, nan), (None, 1.0), (2.0, 1.0)], "a double, b double")
+    assert {r["column"]: r.n_miss for r in profile.missing_counts(df).collect()} == {"a": 2, "b": 1}
+    assert profile.constant_columns(df) == ["a", "b"]
+    assert [r.a for r in clean.fill_mode(df, ["a"]).collect()] == [2.0] * 4
+    assert [r.a_NA_FLAG for r in encode.missing_flags(df, ["a"]).collect()] == [1, 0, 1, 0]
+
+
+def test_one_hot_of_any_type(spark):
+    df = spark.sql(
+        "SELECT * FROM VALUES (true, DATE'2020-01-02', 1.50BD), (false, DATE'2019-01-01', 2.25BD), (NULL, NULL, NULL) t(b, d, m)"
+    )
+    encoded, names = encode.one_hot(df, ["b", "d", "m"], missing=False)
+    assert len(names) == 6 and encoded.agg(*[F.sum(n) for n in names]).first() == (1,) * 6
+
+
+def test_small_shares_agree_with_counts(spark):
+    df = spark.range(2000).select((F.col("id") % 400).alias("a"), F.when(F.col("id") < 30, 1).otherwise(F.col("id")).alias("b"))
+    every = {r["column"]: (r.top_value, r.n) for r in profile.near_constants(df, 1e-6).collect()}
+    assert every == {"a": ("0", 5), "b": ("1", 30)}
+    assert [r["column"] for r in profile.near_constants(df, 0.01).collect()] == ["b"]
+
+
+def test_unlabelled_rows_are_on_neither_side(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") < 50, F.col("id") % 2).alias("y"))
+    train, cv = stratified_split(df, "y", "id", 0.2)
+    assert train.count() == 40 and cv.count() == 10
 
 
 def test_column_kinds(spark):

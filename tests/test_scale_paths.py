@@ -111,8 +111,8 @@ def test_scan_reads_only_needed_columns(spark):
 
 def test_hot_key_detection(spark):
     df = spark.range(10_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 100).alias("k"))
-    assert lookup.hot_keys(df, "k", share=0.01, min_rows=1000) == [7]
-    assert lookup.hot_keys(df, "k", share=0.01) == []
+    assert lookup.hot_keys(df, "k", min_rows=1000) == [7]
+    assert lookup.hot_keys(df, "k") == []
     assert lookup.hot_keys(df.select(F.lit(None).cast("long").alias("k")), "k", min_rows=1) == []
 
 
