@@ -5,7 +5,8 @@ equal sets are one class. Each class has a signature of ``TREES * OWN_LEVELS`` M
 forest orders the classes by the signature read from another place, ``LEVELS`` values long. In each order,
 neighbours with a common prefix of at least ``LEAST_DEPTH`` values are candidates. The depth adapts to
 the region: where more than ``REACH`` classes in a row share a prefix, only those that share a longer one count,
-besides the two nearest. So a region of any size gives a number of candidates in proportion to its rows, and
+besides the two nearest and, at every depth, the region's leader: the class nearest to the majority of its
+sketches, which is what the copies of one text descend from. So a region of any size gives a number of candidates in proportion to its rows, and
 pairs are never listed group by group. Sizes and a bit sketch rule out hopeless candidates (a true pair is lost to
 the sketch with probability below 1e-6); the others are confirmed on full sets: first each class with its
 best neighbour, then every candidate between classes that are not connected yet.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanloom.llm.common import stash
@@ -70,6 +71,11 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(hashed)
 
 
+def set_print(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a set."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64).tolist())
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The smallest value of each hash function over the set."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)[:, None]
@@ -93,7 +99,7 @@ def _sign(texts: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
                 rows.append((0, 0, 0, b"", b""))
                 continue
             values = _mixed(signature(shingles).astype(np.uint64))
-            print_a, print_b = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64).tolist()
+            print_a, print_b = set_print(shingles)
             levels = (values >> np.uint64(40)).astype(">u2").tobytes()
             sketch = np.packbits((values & np.uint64(1)).astype(np.uint8)).tobytes()
             rows.append((len(shingles), print_a, print_b, levels, sketch))
@@ -131,7 +137,7 @@ def _neighbours(batches: Iterator[pd.DataFrame], similarity: float, bounds: bool
 
 
 def _pairs(rows: pd.DataFrame, old: int, similarity: float) -> pd.DataFrame:
-    """Candidate pairs that end in a row from ``old`` on."""
+    """Candidate pairs with a row from ``old`` on."""
     tree, rep = rows["tree"].to_numpy(), rows["rep"].to_numpy()
     sizes = rows["n_shingles"].to_numpy(np.float64)
     key = np.frombuffer(b"".join(rows["key"]), np.uint16).reshape(len(rows), LEVELS)
@@ -141,28 +147,46 @@ def _pairs(rows: pd.DataFrame, old: int, similarity: float) -> pd.DataFrame:
         same = (key[j:] == key[:-j]) & (tree[j:] == tree[:-j])[:, None]
         depth[j, j:] = np.logical_and.accumulate(same, axis=1).sum(axis=1)
     needed = np.maximum(depth[REACH] + 1, LEAST_DEPTH)
-    out = []
+    firsts, seconds = [], []
     for j in range(1, REACH + 1):
-        enough = depth[j] >= (LEAST_DEPTH if j <= 2 else needed)
-        later = np.flatnonzero(enough)
-        later = later[later >= max(old, j)]
-        earlier = later - j
-        ratio = np.minimum(sizes[later], sizes[earlier]) >= similarity * np.maximum(sizes[later], sizes[earlier])
-        later, earlier = later[ratio], earlier[ratio]
-        differ = np.unpackbits(sketch[later] ^ sketch[earlier], axis=1).sum(axis=1)
-        close = 1 - 2 * differ / HASHES >= similarity - SKETCH_MARGIN
-        later, earlier, differ = later[close], earlier[close], differ[close]
-        different = rep[later] != rep[earlier]
-        out.append(
-            pd.DataFrame(
-                {
-                    "a": np.minimum(rep[later], rep[earlier])[different],
-                    "b": np.maximum(rep[later], rep[earlier])[different],
-                    "score": (HASHES - differ[different]).astype(np.int32),
-                }
-            )
-        )
-    return pd.concat(out, ignore_index=True)
+        later = np.flatnonzero(depth[j] >= (LEAST_DEPTH if j <= 2 else needed))
+        firsts.append(later[later >= j] - j)
+        seconds.append(later[later >= j])
+    for level in range(LEAST_DEPTH, LEVELS + 1, 2):
+        member, leader = _led(depth[1] >= level, sketch)
+        firsts.append(member)
+        seconds.append(leader)
+    first, second = np.concatenate(firsts), np.concatenate(seconds)
+    new = (np.maximum(first, second) >= old) & (rep[first] != rep[second])
+    first, second = first[new], second[new]
+    ratio = np.minimum(sizes[first], sizes[second]) >= similarity * np.maximum(sizes[first], sizes[second])
+    first, second = first[ratio], second[ratio]
+    differ = np.bitwise_count(sketch[first] ^ sketch[second]).sum(axis=1, dtype=np.int64)
+    close = 1 - 2 * differ / HASHES >= similarity - SKETCH_MARGIN
+    first, second, differ = rep[first[close]], rep[second[close]], differ[close]
+    found = pd.DataFrame({"a": np.minimum(first, second), "b": np.maximum(first, second), "score": (HASHES - differ).astype(np.int32)})
+    return found.drop_duplicates(["a", "b"])
+
+
+def _led(joined: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of every run of more than ``REACH``, each with its run's leader, the row nearest to the majority of their sketches.
+
+    ``joined``: whether a row shares the prefix with the row before it.
+    """
+    starts = np.flatnonzero(~joined)
+    sizes = np.diff(np.r_[starts, len(joined)])
+    large = sizes > REACH
+    if not large.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    starts, sizes = starts[large], sizes[large]
+    member = np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+    run = np.repeat(np.arange(len(starts)), sizes)
+    bits = np.unpackbits(sketch[member], axis=1)
+    offsets = np.r_[0, np.cumsum(sizes)[:-1]]
+    majority = np.packbits(2 * np.add.reduceat(bits, offsets, axis=0, dtype=np.int64) > sizes[:, None], axis=1)
+    distance = np.bitwise_count(sketch[member] ^ majority[run]).sum(axis=1, dtype=np.int64)
+    nearest = np.lexsort((member, distance, run))[offsets]
+    return member, member[nearest][run]
 
 
 def _filled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,12 +217,18 @@ def forest_candidates(classes: DataFrame, similarity: float) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
-def _set_column(text: Column, size: int) -> Column:
-    @F.pandas_udf("binary")
-    def shingled(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, size).tobytes() for t in texts], dtype=object)
+def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """``print_a, print_b, shingles`` of ``text``."""
 
-    return shingled(text)
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, size) for t in batch["text"]]
+            prints = [set_print(s) for s in sets]
+            yield pd.DataFrame(
+                {"print_a": [p[0] for p in prints], "print_b": [p[1] for p in prints], "shingles": [s.tobytes() for s in sets]}
+            )
+
+    return texts.mapInPandas(shingled, "print_a long, print_b long, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,16 +258,10 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int)
     first = stash(best.select(F.least("rep", "near").alias("a"), F.greatest("rep", "near").alias("b")).distinct(), "best")
     wanted = ends.select(F.col("rep").alias("doc_id")).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # An id may stand on several rows; every set it has is a class only under its smallest id.
-    prints = classes.select(F.col("rep").alias("doc_id"), "n_shingles")
-    sets = stash(
-        text.join(wanted, "doc_id", "left_semi")
-        .select("doc_id", _set_column(F.col("text"), size).alias("shingles"))
-        .join(prints, "doc_id")
-        .where(F.octet_length("shingles") == 8 * F.col("n_shingles"))
-        .select(F.col("doc_id").alias("rep"), "shingles"),
-        "sets",
-    )
+    texts = text.join(wanted, "doc_id", "left_semi").select("text")
+    # An id may stand on several rows, so a set finds its class by its print.
+    of_class = classes.select("print_a", "print_b", "rep")
+    sets = stash(_shingle_sets(texts, size).join(of_class, ["print_a", "print_b"]).select("rep", "shingles"), "sets")
     links = stash(_confirmed(first, sets, percent), "confirmed")
     known = components(links)
     rest = pairs.join(first, ["a", "b"], "left_anti")
