@@ -57,25 +57,32 @@ def padded(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw.ljust(cells * CELL, b"\0"), dtype=np.uint8)
 
 
-def convolve(data: np.ndarray, net: Network) -> np.ndarray:
-    """Filter responses at every other byte of whole cells: (cells, places, FILTERS)."""
+def convolve(data: np.ndarray, last: np.ndarray, net: Network) -> np.ndarray:
+    """Filter responses at every other byte of whole cells: (cells, places, FILTERS).
+
+    In a text's last cell, which ``last`` tells, places that would reach beyond the text do not count.
+    """
     data = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
     places = (len(data) - WIDTH) // STRIDE
     total = np.tile(net.bias, (places, 1))
     for j in range(WIDTH):
         total += net.filters[j].take(data[j : j + places * STRIDE : STRIDE], axis=0)
-    return total.reshape(-1, CELL // STRIDE, FILTERS)
+    response = total.reshape(-1, CELL // STRIDE, FILTERS)
+    response[last, (CELL - WIDTH) // STRIDE + 1 :] = -np.inf
+    return response
 
 
 def cell_peaks(texts: list[np.ndarray], net: Network) -> np.ndarray:
     """The largest response of each filter in every cell of all texts, computed in bounded steps."""
     data = np.concatenate(texts)
+    last = np.zeros(len(data) // CELL, dtype=bool)
+    last[np.cumsum([len(t) // CELL for t in texts]) - 1] = True
     whole = _STEP // CELL * CELL
     # A step reads a filter's width into the next one, so the cuts change nothing.
     peaks = []
     for start in range(0, len(data), whole):
         piece = data[start : start + whole + CELL]
-        response = convolve(piece, net).max(axis=1)
+        response = convolve(piece, last[start // CELL :][: len(piece) // CELL], net).max(axis=1)
         peaks.append(response[: min(whole, len(data) - start) // CELL])
     return np.concatenate(peaks)
 
@@ -93,7 +100,7 @@ def scores(texts: list[bytes], net: Network) -> np.ndarray:
 
 def _gradients(data: np.ndarray, label: float, weight: float, net: Network, grad: Network) -> None:
     """Adds one text's gradients."""
-    response = convolve(data, net)
+    response = convolve(data, np.arange(len(data) // CELL) == len(data) // CELL - 1, net)
     peak = response.argmax(axis=1)
     cells = np.take_along_axis(response, peak[:, None, :], axis=1)[:, 0, :]
     later = cells[1:] > cells[:-1]
