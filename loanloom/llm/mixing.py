@@ -35,8 +35,8 @@ DOMAINS = ["clean", "toxic", "junk"]
 TARGETS = {"clean": 0.95, "toxic": 0.03, "junk": 0.02}
 RIDGE = 1e-3
 ROUNDS, TOLERANCE = 40, 1e-5
-# A word enters the classifier if this many sampled documents hold it.
-LEAST_DOCUMENTS = 4
+# A feature enters the classifier if some domain's documents hold it this many deviations more often than all do.
+LEAST_DEVIATION = 3.5
 
 
 @dataclass(frozen=True)
@@ -44,24 +44,56 @@ class DomainModel:
     weights: dict[bytes, np.ndarray]
     intercept: np.ndarray
 
-    def posterior(self, words: list[bytes]) -> np.ndarray:
+    def posterior(self, features: set[bytes]) -> np.ndarray:
         score = self.intercept.copy()
-        for word in self.weights.keys() & set(words):
-            score += self.weights[word]
+        for feature in sorted(self.weights.keys() & features):
+            score += self.weights[feature]
         score = np.exp(score - score.max())
         return score / score.sum()
 
 
+_CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SYMBOLS = b"!#$%&*+/<=>?@[\\]^_`{|}~"
+
+
+def features_of(text: str, words: list[bytes]) -> set[bytes]:
+    """The distinct words of a text, and marks of its make-up, which no word can equal."""
+    found, raw = set(words), text.encode("utf-8", "surrogatepass")
+    for name, share in (
+        (b"\x01capitals", 1 - len(raw.translate(None, _CAPITALS)) / max(1, len(raw))),
+        (b"\x01symbols", 1 - len(raw.translate(None, _SYMBOLS)) / max(1, len(raw))),
+        (b"\x01repeats", 1 - len(found) / max(1, len(words))),
+    ):
+        found.update(name + str(step).encode() for step in (1, 2, 4, 8) if share * 16 >= step)
+    return found
+
+
 def domain(quality: Column, toxic: Column) -> Column:
     """Number of the domain of a labelled document; NULL where its labels are missing."""
     return F.when(quality == 0, 2).when(toxic == 1, 1).when((quality == 1) & (toxic == 0), 0)
 
 
-def train_domains(texts: list[list[bytes]], domains: np.ndarray, shares: np.ndarray, epochs: int = 12) -> DomainModel:
-    """Softmax regression on which words a text holds, with adaptive steps; intercepts moved to the true shares."""
-    held = Counter(w for words in texts for w in set(words))
-    index = {w: i for i, w in enumerate(sorted(w for w, n in held.items() if n >= LEAST_DOCUMENTS))}
-    rows = [np.array(sorted(index[w] for w in set(words) if w in index), dtype=np.int64) for words in texts]
+def telling_features(texts: list[set[bytes]], domains: np.ndarray) -> list[bytes]:
+    held: list[Counter[bytes]] = [Counter() for _ in DOMAINS]
+    for features, number in zip(texts, domains):
+        held[number].update(features)
+    total = sum(held, Counter())
+    shares = np.bincount(domains, minlength=len(DOMAINS)) / max(1, len(domains))
+
+    def tells(feature: bytes) -> bool:
+        n = total[feature]
+        return any(
+            own[feature] - n * share > LEAST_DEVIATION * np.sqrt(n * share * (1 - share) + 1)
+            for own, share in zip(held, shares)
+        )
+
+    return sorted(filter(tells, total))
+
+
+def train_domains(texts: list[set[bytes]], domains: np.ndarray, shares: np.ndarray, epochs: int = 12) -> DomainModel:
+    """Softmax regression on which features a text holds, with adaptive steps; intercepts moved to the true shares."""
+    index = {w: i for i, w in enumerate(telling_features(texts, domains))}
+    rows = [np.array(sorted(index[w] for w in index.keys() & features), dtype=np.int64) for features in texts]
     k, rng = len(DOMAINS), np.random.default_rng(11)
     weight, bias = np.zeros((len(index), k)), np.zeros(k)
     square, bias_square = np.full((len(index), 1), 1e-2), 1e-2
@@ -106,7 +138,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> DomainModel:
         .sort_values("doc_id", ignore_index=True)
     )
     shares = np.array([counts.get(d, 0) for d in range(len(DOMAINS))], dtype=float) + 0.5
-    return train_domains([words_of(t) for t in sample["text"]], sample["domain"].to_numpy(np.int64), shares / shares.sum())
+    return train_domains([features_of(t, words_of(t)) for t in sample["text"]], sample["domain"].to_numpy(np.int64), shares / shares.sum())
 
 
 def rates_of(posterior: np.ndarray, residuals: list[np.ndarray], ridge: float = RIDGE) -> np.ndarray:
@@ -121,8 +153,12 @@ def _tokens_and_posteriors(text: Column, model: DomainModel) -> Column:
     @F.pandas_udf("n_tokens long, posterior array<double>")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            words = [words_of(t) for t in texts]
-            yield pd.DataFrame({"n_tokens": [len(w) for w in words], "posterior": [model.posterior(w) for w in words]})
+            sizes, posteriors = [], []
+            for text in texts:
+                words = words_of(text)
+                sizes.append(len(words))
+                posteriors.append(model.posterior(features_of(text, words)))
+            yield pd.DataFrame({"n_tokens": sizes, "posterior": posteriors})
 
     return judged(F.coalesce(text, F.lit("")))
 
@@ -168,7 +204,7 @@ def copies(rate: Column, doc_id: Column) -> Column:
 
 
 def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, ridge: float = RIDGE) -> DataFrame:
-    """All rows and columns of ``docs`` with ``mix_tokens, mix_posterior, mix_rate, mix_copies``."""
+    """All rows and columns of ``docs`` (but any of these names) with ``mix_tokens, mix_posterior, mix_rate, mix_copies``."""
     model = fit_domains(docs, labels)
     judged = docs.select("doc_id", _tokens_and_posteriors(F.col("text"), model).alias("found"))
     members = stash(judged.select("found.n_tokens", "found.posterior"), "members")
