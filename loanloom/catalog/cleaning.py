@@ -15,7 +15,7 @@ from loanloom.plans.application import (
 )
 from loanloom.plans.bureau import bureau_loan_features
 from loanloom.plans.card import card_row_features
-from loanloom.plans.instalments import instalment_row_features
+from loanloom.plans.instalments import instalment_row_features, late_columns
 from loanloom.plans.pos import pos_row_features
 from loanloom.plans.previous import clean_previous, previous_loan_features
 
@@ -490,6 +490,30 @@ def _(t):
     return rounded(instalment_row_features(t.instalments).select(*_INST_KEYS, *_INST_ROW), _INST_KEYS)
 
 
+_ZEROED = [
+    "SK_ID_PREV", "NUM_INSTALMENT_NUMBER", "DAYS_ENTRY_PAYMENT", "DAYS_INSTALMENT",
+    "CASE WHEN SK_ID_PREV % 3 = 0 THEN 0e0 ELSE AMT_INSTALMENT END AS AMT_INSTALMENT",
+    "CASE WHEN SK_ID_PREV % 6 = 0 THEN 0e0 ELSE AMT_PAYMENT END AS AMT_PAYMENT",
+]
+
+
+@query(
+    "x15_ieee",
+    f"""SELECT SK_ID_PREV, NUM_INSTALMENT_NUMBER, AMT_INSTALMENT,
+        CASE WHEN AMT_INSTALMENT = 0 AND AMT_PAYMENT > 0 THEN 'inf' WHEN AMT_INSTALMENT <> 0 AND AMT_PAYMENT IS NOT NULL THEN 'finite' END AS ratio,
+        CASE WHEN DAYS_INSTALMENT > DAYS_ENTRY_PAYMENT AND ((AMT_INSTALMENT = 0 AND AMT_PAYMENT > 0)
+             OR (AMT_INSTALMENT <> 0 AND AMT_PAYMENT / AMT_INSTALMENT > 0.05e0)) THEN 1 ELSE 0 END AS significant
+        FROM (SELECT {", ".join(_ZEROED)} FROM {{instalments}}) z""",
+)
+def _(t):
+    rows = late_columns(t.instalments.selectExpr(*_ZEROED), mode="ieee")
+    ratio = F.col("INSTALMENT_PAYMENT_RATIO")
+    kind = F.when(ratio == float("inf"), "inf").when(ratio.isNotNull(), "finite")
+    return rows.select(
+        *_INST_KEYS, kind.alias("ratio"), F.col("SIGNIFICANT_LATE_PAYMENT").alias("significant")
+    )
+
+
 CARD_ROW = {
     "LIMIT_USE": sql_div("AMT_BALANCE", "AMT_CREDIT_LIMIT_ACTUAL"),
     "PAYMENT_DIV_MIN": sql_div("AMT_PAYMENT_CURRENT", "AMT_INST_MIN_REGULARITY"),

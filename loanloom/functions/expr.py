@@ -17,7 +17,7 @@ def as_column(value: ColumnLike) -> Column:
 
 
 def safe_div(num: ColumnLike, den: ColumnLike, mode: str = "null") -> Column:
-    """Quotient as double. ``null``: x/0 is NULL; ``ieee``: x/0 is inf or NaN."""
+    """Quotient as double. ``null``: x/0 is NULL; ``ieee``: x/0 is infinite, and 0/0 missing."""
     num = as_column(num).cast("double")
     den = as_column(den).cast("double")
     if mode == "null":
@@ -27,7 +27,6 @@ def safe_div(num: ColumnLike, den: ColumnLike, mode: str = "null") -> Column:
     at_zero = (
         F.when(num > 0, F.lit(float("inf")))
         .when(num < 0, F.lit(float("-inf")))
-        .when(num == 0, F.lit(float("nan")))
     )
     return F.when(den == 0, at_zero).otherwise(F.try_divide(num, den))
 

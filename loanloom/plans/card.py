@@ -27,21 +27,21 @@ def card_row_features(df: DataFrame, mode: str = "null") -> DataFrame:
     )
 
 
-def card_block(columns: list[str], vocabulary: Vocabulary) -> Block:
+def card_block(columns: list[str], vocabulary: Vocabulary, mode: str = "null") -> Block:
     """Every column and every category indicator, four statistics each."""
     numeric = [c for c in columns if c not in vocabulary.levels and c not in _KEYS]
     dummies = vocabulary.dummies()
     spec = AggSpec.every(numeric, STATS) | AggSpec({n: STATS for n in dummies}, dummies)
-    return Block.of(spec, prefix="CR_", count_as="CREDIT_COUNT", prepare=card_row_features)
+    return Block.of(spec, prefix="CR_", count_as="CREDIT_COUNT", prepare=lambda df: card_row_features(df, mode))
 
 
-def _block(df: DataFrame, vocabulary: Vocabulary | None = None) -> Block:
-    return card_block(card_row_features(df).columns, vocabulary or fit_vocabulary(df))
+def _block(df: DataFrame, vocabulary: Vocabulary | None = None, mode: str = "null") -> Block:
+    return card_block(card_row_features(df).columns, vocabulary or fit_vocabulary(df), mode)
 
 
-def card_features(df: DataFrame, hot=None) -> DataFrame:
+def card_features(df: DataFrame, hot=None, mode: str = "null") -> DataFrame:
     """F7."""
-    return roll_up(df, "SK_ID_CURR", _block(df), hot)
+    return roll_up(df, "SK_ID_CURR", _block(df, mode=mode), hot)
 
 
 def card_recency(
@@ -51,6 +51,7 @@ def card_recency(
     slices=MONTH_SLICES,
     hot=None,
     vocabulary: Vocabulary | None = None,
+    mode: str = "null",
 ) -> DataFrame:
     """Five look-back slices on the balance month."""
-    return recency_features(df, "SK_ID_CURR", offset, slices, _block(df, vocabulary), strategy, hot)
+    return recency_features(df, "SK_ID_CURR", offset, slices, _block(df, vocabulary, mode), strategy, hot)

@@ -27,7 +27,7 @@ def attach_payment_sum(df: DataFrame) -> DataFrame:
     return attach_stats(df, INSTALMENT, {"AMT_PAYMENT_GROUPED": paid})
 
 
-def late_columns(df: DataFrame, late_from: str = "DBD") -> DataFrame:
+def late_columns(df: DataFrame, late_from: str = "DBD", mode: str = "null") -> DataFrame:
     """X16-X19 except what needs the payment sum."""
     over = F.col("AMT_PAYMENT") - F.col("AMT_INSTALMENT")
     days = F.col("DAYS_ENTRY_PAYMENT") - F.col("DAYS_INSTALMENT")
@@ -37,7 +37,7 @@ def late_columns(df: DataFrame, late_from: str = "DBD") -> DataFrame:
             "PAID_OVER": flag(over > 0),
             "DPD": clip_at_zero(days),
             "DBD": clip_at_zero(-days),
-            "INSTALMENT_PAYMENT_RATIO": safe_div("AMT_PAYMENT", "AMT_INSTALMENT"),
+            "INSTALMENT_PAYMENT_RATIO": safe_div("AMT_PAYMENT", "AMT_INSTALMENT", mode),
         }
     ).withColumn("LATE_PAYMENT", flag(F.col(late_from) > 0))
     df = df.withColumn(
@@ -55,7 +55,7 @@ def late_columns(df: DataFrame, late_from: str = "DBD") -> DataFrame:
 def instalment_row_features(df: DataFrame, late_from: str = "DBD", mode: str = "null") -> DataFrame:
     """All row-level features of a repayment."""
     grouped = F.col("AMT_PAYMENT_GROUPED")
-    return late_columns(attach_payment_sum(df), late_from).withColumns(
+    return late_columns(attach_payment_sum(df), late_from, mode).withColumns(
         {
             "PAYMENT_DIFFERENCE": F.col("AMT_INSTALMENT") - grouped,
             "PAYMENT_RATIO": safe_div("AMT_INSTALMENT", grouped, mode),
@@ -63,7 +63,7 @@ def instalment_row_features(df: DataFrame, late_from: str = "DBD", mode: str = "
     )
 
 
-def instalment_block(vocabulary: Vocabulary, late_from: str = "DBD") -> Block:
+def instalment_block(vocabulary: Vocabulary, late_from: str = "DBD", mode: str = "null") -> Block:
     """Repayments to one row per applicant.
 
     Rows are first combined per instalment and version. The sum paid per
@@ -126,12 +126,12 @@ def instalment_block(vocabulary: Vocabulary, late_from: str = "DBD") -> Block:
         columns.append(F.sum("_n").alias("INSTALLATION_COUNT"))
         return combined.groupBy(*by).agg(*columns)
 
-    return Block(aggregate, prepare=lambda df: late_columns(df, late_from))
+    return Block(aggregate, prepare=lambda df: late_columns(df, late_from, mode))
 
 
-def instalment_features(df: DataFrame, late_from: str = "DBD", hot=None) -> DataFrame:
+def instalment_features(df: DataFrame, late_from: str = "DBD", hot=None, mode: str = "null") -> DataFrame:
     """F6."""
-    return roll_up(df, "SK_ID_CURR", instalment_block(fit_vocabulary(df), late_from), hot)
+    return roll_up(df, "SK_ID_CURR", instalment_block(fit_vocabulary(df), late_from, mode), hot)
 
 
 def instalment_recency(
@@ -141,8 +141,9 @@ def instalment_recency(
     slices=DAY_SLICES,
     hot=None,
     vocabulary: Vocabulary | None = None,
+    mode: str = "null",
 ) -> DataFrame:
     """Seven look-back slices on the due day; missing payments count as 0."""
     df = fill_constant(df, {"DAYS_ENTRY_PAYMENT": 0, "AMT_PAYMENT": 0})
-    block = instalment_block(vocabulary or fit_vocabulary(df), late_from)
+    block = instalment_block(vocabulary or fit_vocabulary(df), late_from, mode)
     return recency_features(df, "SK_ID_CURR", "DAYS_INSTALMENT", slices, block, strategy, hot)

@@ -20,7 +20,7 @@ from loanloom.plans.card import card_recency
 from loanloom.plans.instalments import instalment_recency
 from loanloom.plans.pos import pos_recency
 from loanloom.plans.previous import clean_previous, previous_recency
-from loanloom.sources.io import cache_or_load
+from loanloom.sources.io import cache_or_load, fingerprint
 
 
 @dataclass(frozen=True)
@@ -43,20 +43,27 @@ def side_blocks(
     day_slices: Mapping[str, int | None] = DAY_SLICES,
     month_slices: Mapping[str, int | None] = MONTH_SLICES,
     hot: Sequence[object] | None = None,
+    mode: str = "null",
 ) -> list[DataFrame]:
     """Five blocks with one row per applicant, to be built once and joined to train and test."""
     return [
         bureau_features(sources.bureau, sources.bureau_balance, hot=hot),
-        previous_recency(clean_previous(sources.previous), slices=day_slices, hot=hot),
+        previous_recency(clean_previous(sources.previous), slices=day_slices, hot=hot, mode=mode),
         pos_recency(sources.pos, tie_break=pos_tie_break, slices=month_slices, hot=hot),
-        instalment_recency(sources.instalments, slices=day_slices, hot=hot),
-        card_recency(sources.card, offset=card_offset, slices=card_slices, hot=hot),
+        instalment_recency(sources.instalments, slices=day_slices, hot=hot, mode=mode),
+        card_recency(sources.card, offset=card_offset, slices=card_slices, hot=hot, mode=mode),
     ]
 
 
-def write_blocks(blocks: Sequence[DataFrame], folder: str, refresh: bool = False) -> list[DataFrame]:
-    """S3: blocks as tables in a shared folder, so train and test read them instead of recomputing."""
-    return [cache_or_load(b, f"{folder}/block-{i}", refresh) for i, b in enumerate(blocks)]
+def write_blocks(
+    blocks: Sequence[DataFrame], folder: str, refresh: bool = False, settings: str = ""
+) -> list[DataFrame]:
+    """S3: blocks as tables in a shared folder, so train and test read them instead of recomputing.
+
+    A block is found again only if its columns, its source files with their sizes and
+    times, and ``settings`` (say, the bounds of the slices) are what they were.
+    """
+    return [cache_or_load(b, f"{folder}/block-{i}-{fingerprint(b, settings)}", refresh) for i, b in enumerate(blocks)]
 
 
 def train_matrix(

@@ -58,7 +58,7 @@ def previous_loan_features(df: DataFrame, mode: str = "null") -> DataFrame:
     )
 
 
-def previous_block(vocabulary: Vocabulary) -> Block:
+def previous_block(vocabulary: Vocabulary, mode: str = "null") -> Block:
     """All, approved and refused applications in one aggregation."""
     numeric, dummies = AggSpec(STATS), vocabulary.dummies()
     return Block.of(
@@ -68,18 +68,23 @@ def previous_block(vocabulary: Vocabulary) -> Block:
             "CS_APP_": (numeric, "NAME_CONTRACT_STATUS = 'Approved'"),
             "CS_REF_": (numeric, "NAME_CONTRACT_STATUS = 'Refused'"),
         },
-        prepare=previous_loan_features,
+        prepare=lambda df: previous_loan_features(df, mode),
     )
 
 
-def previous_features(df: DataFrame, hot=None) -> DataFrame:
+def previous_features(df: DataFrame, hot=None, mode: str = "null") -> DataFrame:
     """F4."""
-    return roll_up(df, "SK_ID_CURR", previous_block(fit_vocabulary(df)), hot)
+    return roll_up(df, "SK_ID_CURR", previous_block(fit_vocabulary(df), mode), hot)
 
 
 def previous_recency(
-    df: DataFrame, strategy: str = "tagged", slices=DAY_SLICES, hot=None, vocabulary: Vocabulary | None = None
+    df: DataFrame,
+    strategy: str = "tagged",
+    slices=DAY_SLICES,
+    hot=None,
+    vocabulary: Vocabulary | None = None,
+    mode: str = "null",
 ) -> DataFrame:
     """Seven look-back slices on the decision day."""
-    block = previous_block(vocabulary or fit_vocabulary(df))
+    block = previous_block(vocabulary or fit_vocabulary(df), mode)
     return recency_features(df, "SK_ID_CURR", "DAYS_DECISION", slices, block, strategy, hot)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Sequence
 
@@ -104,6 +105,23 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return bool(mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark))
 
 
+def fingerprint(df: DataFrame, settings: str = "") -> str:
+    """Tells tables apart by columns, source files with their sizes and times, and the caller's settings.
+
+    A frame that reads no files is told by its plan.
+    """
+    spark = df.sparkSession
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs
+    parts = [df.schema.json(), settings]
+    for name in sorted(df.inputFiles()):
+        path = paths.Path(name)
+        status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        parts.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    if len(parts) == 2:
+        parts.append(str(df.semanticHash()))
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:16]
+
+
 def cache_or_load(df: DataFrame, path: str, refresh: bool = False) -> DataFrame:
     """Write Parquet unless a complete write is there (or always with ``refresh``), then read it back.
 
