@@ -30,9 +30,10 @@ def test_query_matches_twin(spark, connection, name):
     assert agrees, note
 
 
-def test_applicant_matrix_matches_twin(spark):
+@pytest.mark.parametrize("name", sorted(FULL_LEVELS))
+def test_applicant_features_match_twin(spark, name):
     folder = FOLDER.parent / "sf0.01"
-    agrees, note = compare(spark, duck(folder), "f8_matrix", str(folder))
+    agrees, note = compare(spark, duck(folder), name, str(folder))
     assert agrees, note
 
 
