@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import stash
+from loanloom.llm.common import checked_broadcast, stash
 from loanloom.llm.components import components
 
 TREES, OWN_LEVELS, LEVELS, LEAST_DEPTH, REACH = 20, 6, 12, 4, 8
@@ -256,9 +256,9 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int)
     )
     best = ends.groupBy("rep").agg(F.max_by("near", F.struct("score", -F.col("near"))).alias("near"))
     first = stash(best.select(F.least("rep", "near").alias("a"), F.greatest("rep", "near").alias("b")).distinct(), "best")
-    wanted = ends.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = stash(ends.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = text.join(wanted, "doc_id", "left_semi").select("text")
+    texts = text.join(checked_broadcast(wanted), "doc_id", "left_semi").select("text")
     # An id may stand on several rows, so a set finds its class by its print.
     of_class = classes.select("print_a", "print_b", "rep")
     sets = stash(_shingle_sets(texts, size).join(of_class, ["print_a", "print_b"]).select("rep", "shingles"), "sets")
