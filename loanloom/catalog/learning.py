@@ -131,6 +131,16 @@ def _(t):
     return t.spark.createDataFrame([(auc,)], "roc_auc double").select(r4("roc_auc").alias("roc_auc"))
 
 
+@query(
+    "m9_vote_scores",
+    f"""SELECT SK_ID_CURR, {sql_r4("(EXT_SOURCE_1 + EXT_SOURCE_2) / 2e0")} AS score,
+        CASE WHEN EXT_SOURCE_1 + EXT_SOURCE_2 > 1 THEN 1 WHEN EXT_SOURCE_1 + EXT_SOURCE_2 <= 1 THEN 0 END AS prediction FROM {{application}}""",
+)
+def _(t):
+    voted = model.vote(t.application.select("SK_ID_CURR", "EXT_SOURCE_1", "EXT_SOURCE_2"), ["EXT_SOURCE_1", "EXT_SOURCE_2"])
+    return voted.select("SK_ID_CURR", r4("score").alias("score"), "prediction")
+
+
 # --- models (no SQL twin) ---------------------------------------------------------------------
 
 

@@ -178,6 +178,24 @@ def _scores(model: Model, df: DataFrame, label: str) -> tuple[float, float, floa
         scored.unpersist()
 
 
+def cross_validate_vote(
+    estimators: Mapping[str, Estimator], df: DataFrame, label: str, key: str, folds: int = 3, seed: int = 0
+) -> DataFrame:
+    """M7: ROC-AUC, accuracy and F1 of the soft vote of several models in every fold."""
+    data = with_fold(df, key, folds, seed).persist()
+    rows = []
+    try:
+        for i in range(folds):
+            train, held = data.where(F.col("fold") != i), data.where(F.col("fold") == i)
+            scored = soft_vote({n: e.fit(train) for n, e in estimators.items()}, held).persist()
+            m = binary_metrics(scored, label, "prediction").first()
+            rows.append((i, roc_auc(scored, label, "score"), m["accuracy"], m["f1"]))
+            scored.unpersist()
+    finally:
+        data.unpersist()
+    return df.sparkSession.createDataFrame(rows, "fold int, roc_auc double, accuracy double, f1 double")
+
+
 def grid_search(
     estimator: Estimator,
     grid: Sequence[Mapping[Param, object]],
@@ -217,9 +235,13 @@ def soft_vote(models: Mapping[str, Model], df: DataFrame) -> DataFrame:
         own.setPredictionCol(f"_y_{name}").setProbabilityCol(f"_p_{name}").setRawPredictionCol(f"_r_{name}")
         df = own.transform(df)
     votes = {name: vector_to_array(F.col(f"_p_{name}"))[1].alias(f"score_{name}") for name in models}
-    mean = sum((F.col(f"score_{n}") for n in models), F.lit(0.0)) / F.lit(float(len(models)))
-    scored = df.select(*kept, *votes.values()).withColumn("score", mean)
-    return scored.withColumn("prediction", (F.col("score") > 0.5).cast("int"))
+    return vote(df.select(*kept, *votes.values()), [f"score_{n}" for n in models])
+
+
+def vote(df: DataFrame, scores: Sequence[str]) -> DataFrame:
+    """M9: the mean of given class-1 scores, and class 1 above one half."""
+    mean = sum((F.col(s) for s in scores), F.lit(0.0)) / F.lit(float(len(scores)))
+    return df.withColumn("score", mean).withColumn("prediction", (F.col("score") > 0.5).cast("int"))
 
 
 def feature_importance(

@@ -362,3 +362,23 @@ def test_column_kinds(spark):
     assert encode.binary_columns(df) == ["yn"]
     assert profile.constant_columns(df) == ["flat"]
     assert [r["column"] for r in profile.near_constants(df, 0.9).orderBy("column").collect()] == ["flat", "yn"]
+
+
+def test_modelling_a_matrix(spark):
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    from loanloom.plans.modelling import model_matrix
+
+    rows = spark.range(400).selectExpr(
+        "id", "CAST(id % 4 = 0 AS INT) AS y", "id % 4 + (id % 7) / 20 AS telling", "id % 11 AS noise", "id % 5 AS other",
+        "CASE WHEN id % 6 > 0 THEN id % 13 END AS holes",
+    )
+    forest = RandomForestClassifier(labelCol="y", numTrees=3, maxDepth=2, seed=1)
+    linear = LogisticRegression(labelCol="y", maxIter=20)
+    grid = ParamGridBuilder().addGrid(forest.maxDepth, [1, 2]).build()
+    out = model_matrix(rows, "y", "id", k=2, estimators={"forest": forest, "linear": linear}, grids={"forest": grid}, folds=2)
+    assert "telling" in out.features and len(out.features) == 2
+    assert out.grids.keys() == out.tuned_scores.keys() == {"forest"} and out.grids["forest"].count() == 2
+    assert out.vote_scores.count() == 2 and min(r.roc_auc for r in out.vote_scores.collect()) > 0.95
+    assert {r["class"]: r.support for r in out.report.collect()} == {0: 60, 1: 20}
