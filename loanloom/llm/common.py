@@ -50,8 +50,3 @@ BROADCAST_IDS = 1_000_000
 def checked_broadcast(ids: DataFrame) -> DataFrame:
     """A stored column of ids, marked for broadcast only if a count shows it to be short; else joins shuffle it."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
-def whole_text(column: str = "text"):
-    """The text, empty where it is missing."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
