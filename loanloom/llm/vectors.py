@@ -1,16 +1,17 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 A rotation of the principal axes, learnt on a bounded sample (``SAMPLE_ROWS``), gives every vector a balanced binary
-code. Codes are filed in several tables under windows of their bits. Vectors that share a window are compared twice:
-first by the Hamming distance of whole codes, which rules most rows out while only codes have been shuffled, then the
-rows that are left are reranked by the cosine of the original vectors in double precision.
+code, and further random rotations of the same axes give it more codes. Codes are filed in several tables under
+windows of their bits, no bit in two windows. Vectors that share a window are compared twice: first by the Hamming
+distance of their learnt codes, which rules most rows out while only codes have been shuffled, then the rows that are
+left are reranked by the cosine of the original vectors in double precision.
 
 Equal vectors are one class, compared once. A bucket of more than ``BLOCK`` classes is split into blocks and all pairs
 of blocks become tasks of bounded size; what a task gives is a count of links per row and the components it
 sees, never pairs. A pair is counted in the first table its codes share, so no pair counts twice.
 
-The windows widen with the largest group compared, so that buckets stay small; recall falls slowly with it (see
-``expected_recall``), and more tables buy it back. Vectors are compared only with vectors of the same label and
+The windows widen with the largest group compared, so that buckets stay small, and the tables (and with them the codes)
+become more, so that a pair at the threshold shares a window with probability ``RECALL`` at every width. Vectors are compared only with vectors of the same label and
 length. Those that are null, empty or zero or hold null or non-finite components, and rows without label or id, link
 with nothing. Rows that repeat an id count as rows of their own. An empty table gives no rows.
 """
@@ -18,7 +19,7 @@ with nothing. Rows that repeat an id count as rows of their own. An empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log2
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,8 @@ from loanloom.llm.common import stash
 from loanloom.llm.components import components
 
 BITS = 64
-TABLES = 16
+# Least share of the pairs at the threshold that share a window, at every width.
+RECALL = 0.995
 SAMPLE_ROWS = 4_096
 # Classes of a bucket compared in one block.
 BLOCK = 512
@@ -37,21 +39,21 @@ BLOCK = 512
 DIFFERING = 0.3125
 
 
-def learn_rotation(sample: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (length x bits) of iterative quantisation of unit vectors."""
+def learn_rotations(sample: np.ndarray, count: int = 1, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and projections (length x count * bits) of unit vectors: iterative quantisation, then random rotations."""
     length = sample.shape[1]
     bits, rng = min(BITS, length), np.random.default_rng(length)
     mean = sample.mean(0)
     centred = sample - mean
     _, axes = np.linalg.eigh(centred.T @ centred)
     axes = axes[:, ::-1][:, :bits]
-    rotation, _ = np.linalg.qr(rng.standard_normal((bits, bits)))
+    rotations = [np.linalg.qr(rng.standard_normal((bits, bits)))[0] for _ in range(count)]
     projected = centred @ axes
     for _ in range(rounds):
-        code = np.where(projected @ rotation >= 0, 1.0, -1.0)
+        code = np.where(projected @ rotations[0] >= 0, 1.0, -1.0)
         left, _, right = np.linalg.svd(projected.T @ code)
-        rotation = left @ right
-    return mean, axes @ rotation
+        rotations[0] = left @ right
+    return mean, axes @ np.hstack(rotations)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -61,17 +63,18 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def codes_of(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Codes as 64-bit integers; unused high bits are zero."""
-    mean, projection = model
-    set_bits = ((unit(vectors) - mean) @ projection >= 0).astype(np.uint64)
-    return (set_bits << np.arange(set_bits.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    """A row of codes per vector, as 64-bit integers; unused high bits are zero."""
+    mean, projections = model
+    bits = min(BITS, len(mean))
+    set_bits = ((unit(vectors) - mean) @ projections >= 0).astype(np.uint64).reshape(len(vectors), -1, bits)
+    return (set_bits << np.arange(bits, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
 
 
-def windows(bits: int, tables: int, width: int) -> list[np.uint64]:
-    """Masks of the tables' windows, evenly placed around the code."""
+def windows(bits: int, width: int, tables: int) -> list[tuple[int, np.uint64]]:
+    """Code and mask of every table's window; as many windows as fit lie side by side in a code."""
     width = min(width, bits)
-    places = sorted({bits * t // tables for t in range(tables)})
-    return [np.uint64(sum(1 << (p + j) % bits for j in range(width))) for p in places]
+    per_code = bits // width
+    return [(t // per_code, np.uint64(((1 << width) - 1) << t % per_code * width)) for t in range(tables)]
 
 
 def window_width(largest_group: int) -> int:
@@ -79,11 +82,20 @@ def window_width(largest_group: int) -> int:
     return min(20, max(8, ceil(log2(max(1, largest_group) / 32))))
 
 
-def expected_recall(cosine: float, width: int, tables: int = TABLES, draws: int = 20_000) -> float:
+def _shared(cosine: float, width: int) -> float:
+    """Probability that a pair at a cosine shares a window of independent bits."""
+    return (1 - acos(max(-1.0, min(1.0, cosine))) / pi) ** width
+
+
+def tables_for(width: int, cosine: float = 0.93) -> int:
+    """The least number of tables in which a pair at a cosine shares a window with probability ``RECALL``."""
+    shared = _shared(cosine, width)
+    return 1 if shared >= RECALL else ceil(log(1 - RECALL) / log(1 - shared))
+
+
+def expected_recall(cosine: float, width: int, tables: int | None = None) -> float:
     """Share of pairs at a cosine that share a window, for independent bits."""
-    flips = np.random.default_rng(1).random((draws, BITS)) < np.arccos(cosine) / np.pi
-    packed = (flips.astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    return float(np.any([(packed & m) == 0 for m in windows(BITS, tables, width)], axis=0).mean())
+    return 1 - (1 - _shared(cosine, width)) ** (tables_for(width) if tables is None else tables)
 
 
 _KEYS = ["label", "length", "table", "bucket", "low", "high"]
@@ -141,7 +153,9 @@ def _components_within(linked: np.ndarray) -> np.ndarray:
         label = least
 
 
-def _reranked(batches: Iterator[pd.DataFrame], cosine: float, masks: dict[int, list[np.uint64]]) -> Iterator[pd.DataFrame]:
+def _reranked(
+    batches: Iterator[pd.DataFrame], cosine: float, tables: dict[int, list[tuple[int, np.uint64]]]
+) -> Iterator[pd.DataFrame]:
     """Links per row of each unit, and the row it is connected to."""
     for group in _groups(batches):
         if len(group) < 2:
@@ -152,19 +166,24 @@ def _reranked(batches: Iterator[pd.DataFrame], cosine: float, masks: dict[int, l
         linked = (vectors @ vectors.T >= cosine) & _compared(group)
         if not linked.any():
             continue
-        code = group["code"].to_numpy(np.int64).view(np.uint64)
+        codes = np.stack(group["codes"].to_list()).astype(np.int64).view(np.uint64)
         a, b = np.nonzero(linked)
         seen = np.zeros(len(a), dtype=bool)
-        for mask in masks[int(group["length"].iloc[0])][: int(group["table"].iloc[0])]:
-            seen |= ((code[a] ^ code[b]) & mask) == 0
+        for number, mask in tables[int(group["length"].iloc[0])][: int(group["table"].iloc[0])]:
+            seen |= ((codes[a, number] ^ codes[b, number]) & mask) == 0
         links = np.bincount(a[~seen], weights=copies[b[~seen]], minlength=len(rep)).astype(np.int64)
         root = rep[_components_within(linked)]
         given = (links > 0) | (root != rep)
         yield pd.DataFrame({"rep": rep[given], "links": links[given], "root": root[given]})
 
 
-def _fit(classes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """A rotation per vector length, learnt on the sample; lengths it misses get one from random directions."""
+def _tables(length: int, width: int, cosine: float) -> list[tuple[int, np.uint64]]:
+    bits = min(BITS, length)
+    return windows(bits, width, tables_for(min(width, bits), cosine))
+
+
+def _fit(classes: DataFrame, width: int, cosine: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rotations per vector length, learnt on the sample; lengths it misses get them from random directions."""
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("length", "vector").toPandas()
     lengths = [r["length"] for r in classes.select("length").distinct().collect()]
     models = {}
@@ -172,32 +191,34 @@ def _fit(classes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         own = sample["vector"][sample["length"] == length].to_list()
         rng = np.random.default_rng(length)
         rows = np.stack(own).astype(np.float64) if len(own) > 1 else rng.standard_normal((2 * length, length))
-        models[length] = learn_rotation(unit(rows))
+        models[length] = learn_rotations(unit(rows), 1 + _tables(length, width, cosine)[-1][0])
     return models
 
 
-def _code_column(vector: Column, models: dict[int, tuple[np.ndarray, np.ndarray]]) -> Column:
-    @F.pandas_udf("long")
+def _codes_column(vector: Column, models: dict[int, tuple[np.ndarray, np.ndarray]]) -> Column:
+    @F.pandas_udf("array<long>")
     def coded(values: pd.Series) -> pd.Series:
-        out = np.empty(len(values), np.uint64)
+        out = np.empty(len(values), object)
         lengths = values.map(len).to_numpy()
         for length in np.unique(lengths):
             own = np.flatnonzero(lengths == length)
-            out[own] = codes_of(np.stack(values.iloc[own].to_list()).astype(np.float64), models[int(length)])
-        return pd.Series(out.view(np.int64))
+            codes = codes_of(np.stack(values.iloc[own].to_list()).astype(np.float64), models[int(length)]).view(np.int64)
+            for place, row in zip(own, codes):
+                out[place] = row
+        return pd.Series(out)
 
     return coded(vector)
 
 
-def _units(classes: DataFrame, models: dict, width: int) -> DataFrame:
+def _units(classes: DataFrame, tables: dict[int, list[tuple[int, np.uint64]]]) -> DataFrame:
     """A row per class, table and unit of work of its bucket; codes only."""
-    codes = classes.select("label", "length", "rep", "code")
-    tables = {n: windows(min(BITS, n), TABLES, width) for n in models}
-    per_length = F.lit(None).cast("array<long>")
-    for n, masks in tables.items():
-        per_length = F.when(F.col("length") == n, F.array(*[F.lit(int(np.int64(m.view(np.int64)))) for m in masks])).otherwise(per_length)
-    filed = codes.select("*", F.posexplode(per_length).alias("table", "mask"))
-    filed = stash(filed.select("label", "length", "table", F.col("code").bitwiseAND(F.col("mask")).alias("bucket"), "rep", "code"), "filed")
+    per_length = F.lit(None).cast("array<struct<number:int,mask:long>>")
+    for n, own in tables.items():
+        places = [F.struct(F.lit(c).alias("number"), F.lit(int(m.view(np.int64))).alias("mask")) for c, m in own]
+        per_length = F.when(F.col("length") == n, F.array(*places)).otherwise(per_length)
+    filed = classes.select("label", "length", "rep", "code", "codes", F.posexplode(per_length).alias("table", "place"))
+    bucket = F.get("codes", F.col("place.number")).bitwiseAND(F.col("place.mask"))
+    filed = stash(filed.select("label", "length", "table", bucket.alias("bucket"), "rep", "code"), "filed")
     keys = _KEYS[:4]
     large = stash(filed.groupBy(*keys).count().where(F.col("count") > BLOCK), "large")
     sized = filed.join(large, keys, "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("int"))
@@ -227,17 +248,18 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.93) -> DataFrame:
         .withColumn("length", F.size("vector")),
         "vector-classes",
     )
-    models = _fit(classes)
-    coded = stash(classes.withColumn("code", _code_column(F.col("vector"), models)), "codes")
-    largest = coded.groupBy("label", "length").count().agg(F.max("count")).first()[0] or 0
+    largest = classes.groupBy("label", "length").count().agg(F.max("count")).first()[0] or 0
     width = window_width(largest)
-    masks = {n: windows(min(BITS, n), TABLES, width) for n in models}
+    models = _fit(classes, width, cosine)
+    tables = {n: _tables(n, width, cosine) for n in models}
+    coded = classes.withColumn("codes", _codes_column(F.col("vector"), models)).withColumn("code", F.get("codes", F.lit(0)))
+    coded = stash(coded, "codes")
     most = {n: int(DIFFERING * min(BITS, n)) + 1 for n in models}
-    units = _units(coded, models, width).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    units = _units(coded, tables).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
     near = stash(units.mapInPandas(lambda batches: _near_in_code(batches, most), units.schema), "near-codes")
-    with_vectors = near.join(coded.select("rep", "copies", "vector"), "rep").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    with_vectors = near.join(coded.select("rep", "copies", "vector", "codes"), "rep").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
     found = stash(
-        with_vectors.mapInPandas(lambda batches: _reranked(batches, cosine, masks), "rep long, links long, root long"), "reranked"
+        with_vectors.mapInPandas(lambda batches: _reranked(batches, cosine, tables), "rep long, links long, root long"), "reranked"
     )
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     reached = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))

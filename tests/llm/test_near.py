@@ -135,6 +135,22 @@ def test_window_recall_estimate():
     assert vectors.expected_recall(0.93, 8) > 0.97 and vectors.window_width(1) == 8 and vectors.window_width(10**9) == 20
 
 
+def test_recall_at_every_width(spark, monkeypatch):
+    """One level of recall from the narrowest to the widest window, as expected and as measured."""
+    assert all(vectors.expected_recall(0.93, width) >= 0.99 for width in range(8, 21))
+    monkeypatch.setattr(vectors, "window_width", lambda largest_group: 20)
+    rng = np.random.default_rng(4)
+    x = vectors.unit(rng.standard_normal((400, 64)))
+    own = rng.standard_normal((400, 64))
+    own = vectors.unit(own - (own * x).sum(1, keepdims=True) * x)
+    y = 0.935 * x + np.sqrt(1 - 0.935**2) * own
+    rows = [(i + 1000 * k, v.tolist(), 1) for k, side in enumerate((x, y)) for i, v in enumerate(side)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r for r in vectors.near_vectors(df).collect()}
+    assert all(r.n_links <= 1 for r in got.values())
+    assert sum(got[i].n_links for i in range(400)) >= 0.97 * 400
+
+
 # --- benchmark passages -----------------------------------------------------------------------
 
 
