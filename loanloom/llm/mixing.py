@@ -2,14 +2,18 @@
 
 A classifier trained on the labelled table gives every document a posterior over domains, ``clean``, ``toxic`` and
 ``junk``. A document of n tokens and rate r adds r * n * posterior to the expected tokens of the domains. The rates
-are found by projected gradient on weighted least squares: with e the difference between the domains' shares and
+are found by weighted least squares: with e the difference between the domains' shares and
 their targets and s their shares at rate 1,
 
     minimise  sum_k e_k^2 / (2 s_k)  +  ridge / 2 * sum_d n_d (r_d - 1)^2 / total     over r >= 0.
 
-In the metric of token counts the curvature is at most 1 + ridge, so the step 1 / (1 + ridge) converges. A round
-is one aggregation of as many sums as there are domains; a document's rate follows from its posterior and
-the rounds' residuals, so no rates are stored between rounds and a lost executor's part is simply computed again.
+In the metric of token counts the curvature is at most 1 + ridge, so projected gradient with the step 1 / (1 + ridge)
+converges. A round is one aggregation of as many sums as there are domains; a document's rate follows from its
+posterior and the rounds' residuals, so no rates are stored between rounds and a lost executor's part is simply
+computed again. After the rounds, Newton steps on the dual, which has one unknown z per domain, begin from their end.
+The duality gap bounds how far the rounds' rates are from the solution: once it shows them within ``RATE_ERROR``, they
+stand; else, as with targets that cannot be met, the steps go on to the solution r = max(0, 1 - posterior . z). If
+even they do not converge, an error is raised.
 
 The classifier takes a bounded sample of labelled rows (see ``quality.SAMPLE_ROWS``). Documents without words have
 no tokens and the posterior of the intercepts. Without labels the posteriors are uniform, and targets that cannot be
@@ -35,6 +39,10 @@ DOMAINS = ["clean", "toxic", "junk"]
 TARGETS = {"clean": 0.95, "toxic": 0.03, "junk": 0.02}
 RIDGE = 1e-3
 ROUNDS, TOLERANCE = 40, 1e-5
+# Root mean square over tokens by which the rates of the gradient rounds may miss the solution.
+RATE_ERROR = 0.01
+# Newton rounds, each one aggregation for all its step lengths, and the like error they end at.
+NEWTON_ROUNDS, NEWTON_ERROR, HALVINGS = 50, 1e-6, 12
 # A feature enters the classifier if some domain's documents hold it this many deviations more often than all do.
 LEAST_DEVIATION = 3.5
 
@@ -172,7 +180,7 @@ def _rate_column(posterior: Column, residuals: list[np.ndarray], ridge: float) -
 
 
 def solve_rates(members: DataFrame, targets: dict[str, float], ridge: float = RIDGE) -> list[np.ndarray]:
-    """Weighted residuals of each round over ``n_tokens, posterior``; ``rates_of`` turns them into rates."""
+    """Weighted residuals of each round, or one that stands for the Newton solution, over ``n_tokens, posterior``; ``rates_of`` turns them into rates."""
     wanted = np.array([targets.get(d, 0.0) for d in DOMAINS])
     wanted = wanted / wanted.sum()
 
@@ -194,7 +202,74 @@ def solve_rates(members: DataFrame, targets: dict[str, float], ridge: float = RI
         current = tokens(_rate_column(F.col("posterior"), residuals, ridge))
         if np.abs(current - before).max() < TOLERANCE * 0.1 * total:
             break
-    return residuals
+    rate = _rate_column(F.col("posterior"), residuals, ridge)
+    moved = (members.agg(F.sum(F.col("n_tokens") * (rate - 1) * (rate - 1))).first()[0] or 0.0) / total
+    held = share > 0
+    miss = np.where(held, current / total - wanted, 0.0)
+    weighted = np.where(held, miss / np.where(held, share, 1.0), 0.0)
+    primal = miss @ weighted / 2 + ridge / 2 * moved
+    z = _newton(members, weighted / ridge, primal, share, wanted, total, ridge)
+    # From the rate 1, a single round with this residual gives max(0, 1 - posterior . z).
+    return residuals if z is None else [(1 + ridge) * z]
+
+
+_Dual = tuple[float, np.ndarray, np.ndarray]
+
+
+def _dual(
+    members: DataFrame, points: list[np.ndarray], share: np.ndarray, wanted: np.ndarray, total: float, ridge: float
+) -> list[_Dual]:
+    """Value, gradient and curvature of the dual, to be minimised, at every point; one aggregation for all."""
+    k = len(DOMAINS)
+    names = [f"s{i}" for i in range(1 + k + k * k)]
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(points), len(names)))
+        for batch in batches:
+            if not len(batch):
+                continue
+            n, posterior = batch["n_tokens"].to_numpy(np.float64), np.stack(batch["posterior"].to_list())
+            for i, z in enumerate(points):
+                rate = np.maximum(0.0, 1 - posterior @ z)
+                active = n * (rate > 0)
+                sums[i] += np.r_[n @ rate**2, (n * rate) @ posterior, ((active[:, None] * posterior).T @ posterior).ravel()]
+        yield pd.DataFrame(sums, columns=names).assign(point=np.arange(len(points)))
+
+    parts = members.select("n_tokens", "posterior").mapInPandas(summed, ", ".join(f"{c} double" for c in names) + ", point int")
+    rows = parts.groupBy("point").agg(*[F.sum(c).alias(c) for c in names]).orderBy("point").collect()
+    found = []
+    for z, row in zip(points, rows):
+        sums = np.array([row[c] for c in names]) / total
+        value = ridge * (share @ z**2) / 2 + np.where(share > 0, wanted, 0.0) @ z + sums[0] / 2
+        found.append((value, ridge * share * z + wanted - sums[1 : 1 + k], sums[1 + k :].reshape(k, k) + ridge * np.diag(share)))
+    return found
+
+
+def _newton(
+    members: DataFrame, z: np.ndarray, primal: float, share: np.ndarray, wanted: np.ndarray, total: float, ridge: float
+) -> np.ndarray | None:
+    """The minimum of the dual, or None once it shows that rates of this primal value are near enough.
+
+    Domains that no document belongs to keep 0.
+    """
+    held = np.flatnonzero(share > 0)
+    scale = 1 / np.sqrt(share[held])
+    at = _dual(members, [z], share, wanted, total, ridge)[0]
+    for _ in range(NEWTON_ROUNDS):
+        value, gradient, curvature = at
+        if 2 * (primal - ridge * (0.5 - value)) <= ridge * RATE_ERROR**2:
+            return None
+        own = scale[:, None] * curvature[np.ix_(held, held)] * scale
+        step = np.zeros_like(z)
+        step[held] = scale * np.linalg.solve(own, scale * gradient[held])
+        # Bounds the mean square change of the rates.
+        if gradient[held] @ step[held] <= NEWTON_ERROR**2:
+            return z
+        points = [z - step / 2**i for i in range(HALVINGS)]
+        tried = _dual(members, points, share, wanted, total, ridge)
+        best = min(range(HALVINGS), key=lambda i: tried[i][0])
+        z, at = points[best], tried[best]
+    raise RuntimeError(f"mixing rates did not converge in {NEWTON_ROUNDS} Newton rounds")
 
 
 def copies(rate: Column, doc_id: Column) -> Column:

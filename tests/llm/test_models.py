@@ -126,6 +126,23 @@ def test_rates_meet_targets(spark):
     assert (tokens * rate) @ posterior / total == pytest.approx(wanted, abs=5e-3)
 
 
+def test_targets_out_of_reach(spark):
+    """Hardly any junk to meet its target with: the rates are those of the converged least squares."""
+    rng = np.random.default_rng(5)
+    clean = rng.random(1500) < 0.93
+    posterior = np.stack([rng.dirichlet([40, 0.5, 0.1] if c else [0.5, 40, 0.1]) for c in clean])
+    tokens = rng.integers(1, 3000, 1500)
+    rows = [(int(n), p.tolist()) for n, p in zip(tokens, posterior)]
+    members = spark.createDataFrame(rows, "n_tokens long, posterior array<double>").repartition(4)
+    rate = mixing.rates_of(posterior, mixing.solve_rates(members, mixing.TARGETS))
+    total, wanted = tokens.sum(), np.array([mixing.TARGETS[d] for d in mixing.DOMAINS])
+    share, plain = tokens @ posterior / total, np.ones(1500)
+    for _ in range(40_000):
+        miss = (tokens * plain) @ posterior / total - wanted
+        plain = np.maximum(0, plain - (posterior @ (miss / share) + mixing.RIDGE * (plain - 1)) / (1 + mixing.RIDGE))
+    assert rate == pytest.approx(plain, abs=1e-3)
+
+
 def test_mixture_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(3, 1, 0), (4, 1, 1), (5, 0, 0), (5, 0, 0), (9, None, None)], "doc_id long, quality int, toxic int")
     out = mixing.mixture(odd_docs.withColumn("mix_rate", F.lit(9)), labels)
