@@ -11,6 +11,11 @@ pairs are never listed group by group. Sizes and a bit sketch rule out hopeless
 the sketch with probability below 1e-6); the others are confirmed on full sets: first each class with its
 best neighbour, then every candidate between classes that are not connected yet.
 
+Crowds are then compared in full: where more than ``REACH`` classes share ``LEAST_DEPTH`` values and are not all
+connected yet, every two of different components are judged, block by block in tasks of bounded size, first by their
+whole signatures, then on full sets. A crowd of copies is connected by then and costs nothing; one of texts that
+resemble each other just below the similarity costs its square.
+
 At a similarity of 0.85 an isolated pair escapes all trees with probability 4e-7.
 
 Texts without words have an empty set and link with nothing, as do rows without an id, whose component is NULL and
@@ -29,11 +34,16 @@ from pyspark.sql import functions as F
 
 from loanloom.llm.common import checked_broadcast, stash
 from loanloom.llm.components import components
+from loanloom.llm.vectors import _components_within
 
 TREES, OWN_LEVELS, LEVELS, LEAST_DEPTH, REACH = 20, 6, 12, 4, 8
 HASHES = TREES * OWN_LEVELS
 # Five standard deviations of the sketch's estimate at a similarity of 0.8.
 SKETCH_MARGIN = 0.27
+# Five standard deviations of the signature's estimate at a similarity of 0.8.
+SIGNATURE_MARGIN = 0.19
+# Classes of a crowd in one block, and distinct shingles of two blocks counted at a time.
+CROWD_BLOCK, CROWD_COLUMNS = 256, 4_096
 _REMEMBERED = 300_000
 
 
@@ -248,6 +258,130 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_both.where(similar("set_a", "set_b")).select("a", "b")
 
 
+_UNIT = ["tree", "prefix", "low", "high"]
+
+
+def _units(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Units of sorted rows, with the places of their two blocks (the same for a block with itself)."""
+
+    def placed(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        block = rows["block"].to_numpy()
+        return rows, np.flatnonzero(block == rows["low"].iloc[0]), np.flatnonzero(block == rows["high"].iloc[0])
+
+    waiting = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+        keys = rows[_UNIT].to_numpy()
+        cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1]
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            yield placed(rows.iloc[start:end])
+        waiting = rows.iloc[cuts[-1] :]
+    if waiting is not None:
+        yield placed(waiting)
+
+
+def _near_in_signature(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Rows of each unit with a partner of another component that their signatures do not rule out."""
+    for rows, left, right in _units(batches):
+        component, sizes = rows["component"].to_numpy(), rows["n_shingles"].to_numpy(np.float64)
+        apart = component[left][:, None] != component[right][None, :]
+        a, b = sizes[left][:, None], sizes[right][None, :]
+        apart &= np.minimum(a, b) >= similarity * np.maximum(a, b)
+        levels = np.frombuffer(b"".join(rows["levels"]), np.uint16).reshape(len(rows), HASHES)
+        for tree in range(int(rows["tree"].iloc[0])):
+            # Judged in that tree.
+            prefix = np.ascontiguousarray(levels[:, tree * OWN_LEVELS :][:, :LEAST_DEPTH]).view(np.uint64).ravel()
+            apart &= prefix[left][:, None] != prefix[right][None, :]
+        left, right, apart = left[apart.any(axis=1)], right[apart.any(axis=0)], apart[apart.any(axis=1)][:, apart.any(axis=0)]
+        if not len(left):
+            continue
+        equal = np.zeros(apart.shape, np.uint8)
+        for x, y in zip(levels[left].T, levels[right].T):
+            equal += x[:, None] == y[None, :]
+        near = apart & (equal >= (similarity - SIGNATURE_MARGIN) * HASHES)
+        kept = np.union1d(left[near.any(axis=1)], right[near.any(axis=0)])
+        if len(kept):
+            yield rows.iloc[kept][[*_UNIT, "block", "rep", "component"]]
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers of common shingles of two blocks' sets."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    owner, column = owner[shared[column]], number[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(left), len(right)), np.int64)
+    for start in range(0, int(shared.sum()), CROWD_COLUMNS):
+        low, high = np.searchsorted(column, [start, start + CROWD_COLUMNS])
+        held = np.zeros((len(sets), CROWD_COLUMNS), np.float32)
+        held[owner[low:high], column[low:high] - start] = 1
+        common += (held[left] @ held[right].T).astype(np.int64)
+    return common
+
+
+def _crowd_links(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Links that connect the rows of each unit which similar pairs connect."""
+    for rows, left, right in _units(batches):
+        if not len(left) or not len(right):
+            continue
+        sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
+        sizes, component, rep = np.array([len(x) for x in sets]), rows["component"].to_numpy(), rows["rep"].to_numpy()
+        common = _common(sets, left, right)
+        similar = 100 * common >= percent * (sizes[left][:, None] + sizes[right][None, :] - common)
+        similar &= component[left][:, None] != component[right][None, :]
+        if not similar.any():
+            continue
+        linked = np.zeros((len(rows), len(rows)), dtype=bool)
+        linked[np.ix_(left, right)] = similar
+        root = _components_within(linked | linked.T)
+        moved = np.flatnonzero(root != np.arange(len(rows)))
+        yield pd.DataFrame({"a": rep[root[moved]], "b": rep[moved]})
+
+
+def crowd_links(docs: DataFrame, classes: DataFrame, links: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """``a, b``: links that connect what similar pairs within crowds connect beyond the given links."""
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    prefix = F.substring("levels", F.col("tree") * (2 * OWN_LEVELS) + 1, F.lit(2 * LEAST_DEPTH)).alias("prefix")
+    run = ["tree", "prefix"]
+    filed = classes.select("rep", "levels", trees).select("rep", "tree", prefix)
+    runs = stash(filed.groupBy(*run).count().where(F.col("count") > REACH).select(*run), "runs")
+    if runs.isEmpty():
+        return None
+    labels = components(links).withColumnRenamed("node", "rep")
+    crowded = filed.join(runs, run).join(labels, "rep", "left")
+    members = stash(crowded.select(*run, "rep", F.coalesce("component", "rep").alias("component")), "crowded")
+    several = members.groupBy(*run).agg(F.count(F.lit(1)).alias("count"), F.min("component").alias("first"), F.max("component").alias("last"))
+    several = stash(several.where("first <> last").select(*run, F.ceil(F.col("count") / CROWD_BLOCK).cast("int").alias("blocks")), "crowds")
+    own = members.join(several, run).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    own = own.join(classes.select("rep", "n_shingles", "levels"), "rep")
+    units = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        *run, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "component",
+        "n_shingles", "levels",
+    )
+    kept = "tree int, prefix binary, low int, high int, block int, rep long, component long"
+    sorted_units = units.repartition(*_UNIT).sortWithinPartitions(*_UNIT)
+    near = stash(sorted_units.mapInPandas(lambda b: _near_in_signature(b, percent / 100), kept), "near-signatures")
+    wanted = stash(near.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    if wanted.isEmpty():
+        return None
+    with_sets = near.join(_sets_of(docs, classes, wanted, size), "rep").repartition(*_UNIT).sortWithinPartitions(*_UNIT)
+    return with_sets.mapInPandas(lambda b: _crowd_links(b, percent), "a long, b long")
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``rep, shingles`` of the classes whose ids are wanted."""
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = text.join(checked_broadcast(wanted), "doc_id", "left_semi").select("text")
+    # An id may stand on several rows, so a set finds its class by its print.
+    of_class = classes.select("print_a", "print_b", "rep")
+    return stash(_shingle_sets(texts, size).join(of_class, ["print_a", "print_b"]).select("rep", "shingles"), "sets")
+
+
 def linked_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Confirmed links ``a, b`` that connect all classes a candidate pair connects."""
     pairs = stash(forest_candidates(classes, percent / 100), "candidates")
@@ -257,18 +391,16 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int)
     best = ends.groupBy("rep").agg(F.max_by("near", F.struct("score", -F.col("near"))).alias("near"))
     first = stash(best.select(F.least("rep", "near").alias("a"), F.greatest("rep", "near").alias("b")).distinct(), "best")
     wanted = stash(ends.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = text.join(checked_broadcast(wanted), "doc_id", "left_semi").select("text")
-    # An id may stand on several rows, so a set finds its class by its print.
-    of_class = classes.select("print_a", "print_b", "rep")
-    sets = stash(_shingle_sets(texts, size).join(of_class, ["print_a", "print_b"]).select("rep", "shingles"), "sets")
+    sets = _sets_of(docs, classes, wanted, size)
     links = stash(_confirmed(first, sets, percent), "confirmed")
     known = components(links)
     rest = pairs.join(first, ["a", "b"], "left_anti")
     for end in ("a", "b"):
         rest = rest.join(known.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
     apart = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    return stash(links.unionByName(_confirmed(apart, sets, percent)), "confirmed")
+    links = stash(links.unionByName(_confirmed(apart, sets, percent)), "confirmed")
+    in_crowds = crowd_links(docs, classes, links, size, percent)
+    return links if in_crowds is None else stash(links.unionByName(in_crowds), "confirmed")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

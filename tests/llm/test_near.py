@@ -61,6 +61,23 @@ def test_a_crowded_region(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 85)
 
 
+def test_a_crowd_below_the_threshold(spark):
+    """A long shared passage makes all texts resemble each other; only a few pairs share enough of their own parts."""
+    draw = random.Random(9)
+    own = lambda n: [f"x{draw.randrange(10**9)}" for _ in range(n)]
+    passage, rows = own(300), []
+    for i in range(600):
+        rows.append((i, " ".join(passage + own(45))))
+    for i in range(0, 120, 2):
+        both = own(14)
+        rows[i], rows[i + 1] = (i, " ".join(passage + both + own(31))), (i + 1, " ".join(passage + both + own(31)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = near_duplicates.near_duplicates(df, 3, 80).collect()
+    want = brute(rows, 3, 80)
+    assert len({c for _, c in want.values()}) == 540
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_odd_documents(odd_docs, no_docs):
     got = near_duplicates.near_duplicates(odd_docs, 3, 85).collect()
     assert len(got) == 8
