@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanloom.operators.lookup import split_join
 from loanloom.sources import shared_dir
 
 
@@ -50,3 +51,10 @@ BROADCAST_IDS = 1_000_000
 def checked_broadcast(ids: DataFrame) -> DataFrame:
     """A stored column of ids, marked for broadcast only if a count shows it to be short; else joins shuffle it."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def looked_up(df: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join with a stored table of one row per key: broadcast if a count shows it to be short, else split at hot keys."""
+    if stored.count() <= BROADCAST_IDS:
+        return df.join(F.broadcast(stored), keys, "left")
+    return split_join(df, stored, keys)

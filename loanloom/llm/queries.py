@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import chat, contamination, licenses, mixing, near_duplicates, pii, quality, secrets, tokens, vectors
+from loanloom.llm import (
+    chat, codebooks, contamination, divergence, licenses, mixing, near_duplicates, pii, quality, secrets, tokens, urls, vectors,
+)
 from loanloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +167,104 @@ def op10_soft_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quantised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors of equal label with a cosine of 0.93 or more."""
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+# Rules on hosts and paths.
+URL_RULES = [
+    urls.Rule("org", "/", True), urls.Rule("example.org", "/es/", False), urls.Rule("example.org", "/en/1", False),
+    urls.Rule("com", "/fr/", True), urls.Rule("com", "/de/", False),
+]
+
+
+@query
+def op11_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the rules, else by its path template; a page is labelled as the document it shows, named last in its path."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract("path", r"/([0-9]{1,18})(?:/|\.html)?$", 1)
+    shown = urls.parsed(pages).select("page_id", F.when(number != "", number.cast("long")).alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("is_good"))
+    known = shown.join(labels.where("doc_id IS NOT NULL AND is_good IS NOT NULL"), "doc_id").select("page_id", "is_good")
+    return urls.filter_urls(pages, known, URL_RULES)
+
+
+@query
+def op12_value_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes, errors and codebooks of all vectors."""
+    return codebooks.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _codebook_sql(parts: int = codebooks.PARTS, entries: int = codebooks.ENTRIES, rounds: int = codebooks.ROUNDS) -> str:
+    """The textbook form for vectors of equal length: all distances, the least, and floors of means."""
+
+    def nearest(name: str, book: str) -> str:
+        return f"""{name} AS MATERIALIZED (SELECT id, part, min(entry) AS entry, min(distance) AS distance FROM (
+            SELECT *, distance = min(distance) OVER (PARTITION BY id, part) AS is_least FROM (
+                SELECT v.id, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x)) AS distance
+                FROM vals v JOIN {book} b ON v.place = b.place GROUP BY ALL)) WHERE is_least GROUP BY id, part)"""
+
+    steps, book = [], "book_0"
+    for r in range(rounds):
+        steps += [
+            nearest(f"near_{r}", book),
+            f"""book_{r + 1} AS MATERIALIZED (SELECT b.entry, b.place, b.part,
+                coalesce((s.total - ((s.total % s.n) + s.n) % s.n) // s.n, b.x) AS x FROM {book} b LEFT JOIN (
+                SELECT a.entry, v.place, sum(v.x) AS total, count(*) AS n FROM near_{r} a JOIN vals v ON a.id = v.id AND a.part = v.part
+                GROUP BY ALL) s ON b.entry = s.entry AND b.place = s.place)""",
+        ]
+        book = f"book_{r + 1}"
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, vec_id, label, embedding FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), vals AS MATERIALIZED (
+    SELECT id, place, place * {parts} // size AS part, x FROM (
+        SELECT id, len(embedding) AS size, unnest(range(len(embedding))) AS place,
+            unnest(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS HUGEINT))) AS x FROM kept)
+), book_0 AS MATERIALIZED (SELECT id AS entry, place, part, x FROM vals WHERE id < {entries}), {", ".join(steps)},
+{nearest("final", book)}, coded AS (
+    SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(distance) AS BIGINT) AS error FROM final GROUP BY id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(x, ',' ORDER BY part, entry, place)) FROM {book}) AS codebooks_sha256
+FROM kept JOIN coded USING (id)
+"""
+
+
+ORACLE_SQL["op12_value_dictionaries"] = _codebook_sql()
+
+
+@query
+def op13_dominance_skyband(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of sources of a language by divergence, and the ten terms that tell most about each source."""
+    return divergence.divergence_audit(table(spark, sf_dir, "documents"))
+
+
+_term = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_billionths = f"1 + CAST({divergence.SCALE} AS HUGEINT) * (%s + 2) // (%s + 2 * v)"
+ORACLE_SQL["op13_dominance_skyband"] = f"""
+WITH docs AS MATERIALIZED (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), terms AS MATERIALIZED (
+    SELECT id, lang, source, unnest(regexp_extract_all(translate(text, '{urls._UPPER}', '{urls._LOWER}'), '{_term}')) AS term FROM docs
+), kept AS MATERIALIZED (
+    SELECT lang, term, count(*) AS lang_n FROM terms GROUP BY lang, term HAVING count(DISTINCT id) >= {divergence.LEAST_DOCS}
+), langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang
+), groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM docs
+), counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), sizes AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL
+), rated AS MATERIALIZED (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_billionths % ("coalesce(c.n, 0)", "coalesce(s.total, 0)")} AS p,
+        {_billionths % ("k.lang_n", "l.lang_total")} AS q
+    FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), summed AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS f
+    FROM rated a JOIN rated b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS f
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM rated WHERE n > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY f DESC, item) AS r FROM found)
+SELECT lang, source, part, item, CAST(f AS BIGINT) AS value, CAST(r AS INT) AS rank FROM ranked WHERE part = 'pair' OR r <= {divergence.TOP}
+"""
