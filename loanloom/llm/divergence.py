@@ -21,7 +21,7 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +35,7 @@ LEAST_DOCS = 10
 TOP = 10
 SCALE = 1_000_000_000
 # Distinct (language, source, term) a task holds before it passes their counts on.
-_HELD = 200_000
+_HELD = 400_000
 
 _TERM_BYTES = bytes(b if b >= 0x80 or chr(b).islower() else b + 32 if chr(b).isupper() and b < 0x80 else 32 for b in range(256))
 
@@ -46,24 +46,20 @@ def terms_of(text: str) -> list[bytes]:
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Occurrences and documents per language, source and term, combined before the shuffle."""
-    counts: dict[tuple[str, str], Counter[bytes]] = defaultdict(Counter)
-    docs: dict[tuple[str, str], Counter[bytes]] = defaultdict(Counter)
-
+    counts: dict[tuple[str, str], dict[bytes, int]] = {}  # occurrences in the high half, documents in the low
     held = 0
 
     def passed_on() -> pd.DataFrame:
-        rows = [(*group, t.decode("utf-8", "surrogatepass"), n, docs[group][t]) for group, own in counts.items() for t, n in own.items()]
+        rows = [(*group, t.decode("utf-8", "surrogatepass"), n >> 32, n & 0xFFFFFFFF) for group, own in counts.items() for t, n in own.items()]
         counts.clear()
-        docs.clear()
         return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         for lang, source, text in zip(batch["lang"], batch["source"], batch["text"]):
-            own = Counter(terms_of(text))
-            known = counts[lang, source]
+            known = counts.setdefault((lang, source), {})
             held -= len(known)
-            known.update(own)
-            docs[lang, source].update(own.keys())
+            for term, n in Counter(terms_of(text)).items():
+                known[term] = known.get(term, 0) + (n << 32 | 1)
             held += len(known)
             if held > _HELD:
                 yield passed_on()
@@ -83,30 +79,59 @@ def _divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
+class _Kept:
+    """The rows of a group kept so far; terms are compared by their first eight bytes, then whole where those are equal."""
+
+    def __init__(self):
+        self.total, self.start, self.term = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, object)
+
+    def add(self, total: np.ndarray, start: np.ndarray, term: np.ndarray) -> None:
+        self.total, self.start, self.term = np.r_[self.total, total], np.r_[self.start, start], np.r_[self.term, term]
+
+    def dominators(self, total: np.ndarray, start: np.ndarray, term: np.ndarray, k: int) -> np.ndarray:
+        """How many rows dominate each given one, or k if there are more."""
+        found = np.zeros(len(total), dtype=np.int64)
+        for low in range(0, len(self.total), 256):
+            rows = np.flatnonzero(found < k)
+            held = slice(low, low + 256)
+            near = self.total[held][None, :] <= total[rows, None]
+            less = near & (self.start[held][None, :] < start[rows, None])
+            same = near & (self.start[held][None, :] == start[rows, None])
+            for i, j in zip(*np.nonzero(same)):
+                less[i, j] = self.term[low + j] < term[rows[i]]
+            found[rows] += less.sum(axis=1)
+        return np.minimum(found, k)
+
+
+def _starts(terms: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each term as a number; missing bytes count as zero, which no term holds."""
+    return np.array([int.from_bytes(t.encode("utf-8", "surrogatepass")[:8].ljust(8, b"\0"), "big") for t in terms], dtype=np.uint64)
+
+
 def _skyband(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     """Of rows sorted by group, count (falling), count in the language and term, those dominated by fewer than k.
 
     Whoever dominates a row comes before it. It is enough to compare with rows kept so far, since a row that was left out has k
     dominators among them, and they dominate whatever it dominates.
     """
-    group, kept_total, kept_term = None, np.zeros(0, np.int64), np.zeros(0, object)
+    group, kept = None, _Kept()
     for batch in batches:
         out = []
         for key, rows in batch.groupby(["lang", "source"], sort=False):
             if key != group:
-                group, kept_total, kept_term = key, np.zeros(0, np.int64), np.zeros(0, object)
-            for start in range(0, len(rows), 512):
-                step = rows.iloc[start : start + 512]
+                group, kept = key, _Kept()
+            for first in range(0, len(rows), 512):
+                step = rows.iloc[first : first + 512]
                 total, term = step["lang_n"].to_numpy(np.int64), step["term"].to_numpy(object)
+                start = _starts(term)
                 # Rows that those kept before the step already rule out; then the few others one by one.
-                less = (kept_total[None, :] <= total[:, None]) & (kept_term[None, :] < term[:, None])
-                ruled = less.sum(axis=1)
+                ruled = kept.dominators(total, start, term, k)
                 picked = []
                 for i in np.flatnonzero(ruled < k):
                     more = sum(1 for j in picked if total[j] <= total[i] and term[j] < term[i])
                     if ruled[i] + more < k:
                         picked.append(i)
-                kept_total, kept_term = np.r_[kept_total, total[picked]], np.r_[kept_term, term[picked]]
+                kept.add(total[picked], start[picked], term[picked])
                 out.append(step.iloc[picked])
         if out:
             yield pd.concat(out)
@@ -115,19 +140,15 @@ def _skyband(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
 _GROUP = ["lang", "source"]
 
 
-def _top_terms(counts: DataFrame, groups: DataFrame, top: int) -> DataFrame:
-    own = counts.select(*_GROUP, "term", "n", "lang_n")
+def _top_terms(rated: DataFrame, top: int) -> DataFrame:
+    # Whoever dominates a term with p > q has p > q too, so the others can go first.
+    own = rated.where("p > q")
     order = [*_GROUP, F.col("n").desc(), "lang_n", "term"]
     local = own.sortWithinPartitions(*order).mapInPandas(lambda batches: _skyband(batches, top), own.schema)
     merged = stash(local, "skybands").repartition(*_GROUP).sortWithinPartitions(*order)
     merged = merged.mapInPandas(lambda batches: _skyband(batches, top), own.schema)
-    rated = looked_up(merged, groups, _GROUP).withColumns(
-        {
-            "p": _probability(F.col("n"), F.col("group_total"), F.col("vocabulary")),
-            "q": _probability(F.col("lang_n"), F.col("lang_total"), F.col("vocabulary")),
-        }
-    )
-    best = rated.where("p > q").select(*_GROUP, F.lit("term").alias("part"), F.col("term").alias("item"), _divergence(F.col("p"), F.col("q")).alias("value"))
+    value = _divergence(F.col("p"), F.col("q"))
+    best = merged.select(*_GROUP, F.lit("term").alias("part"), F.col("term").alias("item"), value.alias("value"))
     return _ranked(best).where(F.col("rank") <= top)
 
 
@@ -184,5 +205,7 @@ def divergence_audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = T
     groups = texts.select(*_GROUP).distinct().join(sizes, _GROUP, "left").join(langs, "lang", "left")
     groups = stash(groups.fillna(0, ["group_total", "vocabulary", "lang_total"]), "groups")
     rated = looked_up(counts, groups, _GROUP)
-    rated = stash(rated.select(*_GROUP, "term", _probability(F.col("n"), F.col("group_total"), F.col("vocabulary")).alias("p")), "rated")
-    return _pairs(rated, groups).unionByName(_top_terms(counts, groups, top))
+    p = _probability(F.col("n"), F.col("group_total"), F.col("vocabulary"))
+    q = _probability(F.col("lang_n"), F.col("lang_total"), F.col("vocabulary"))
+    rated = stash(rated.select(*_GROUP, "term", "n", "lang_n", p.alias("p"), q.alias("q")), "rated")
+    return _pairs(rated, groups).unionByName(_top_terms(rated, top))
