@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator, MutableMapping
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +19,15 @@ from loanloom.sources import shared_dir
 
 
 _shipped: set[str] = set()
+# Bytes of one batch sent to a Python worker, where the session names none: ten thousand long texts would not fit.
+ARROW_BYTES = 4 << 20
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Spark hand this package to Python workers, which need not find it on a path of their own."""
+    """Let Spark hand this package to Python workers, which need not find it on a path of their own, in bounded batches."""
+    if spark.conf.get(_ARROW_BYTES, None) is None:
+        spark.conf.set(_ARROW_BYTES, str(ARROW_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -44,6 +53,22 @@ def stash(df: DataFrame, name: str = "stash") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_Batch = TypeVar("_Batch")
+
+
+def released(batches: Iterator[_Batch], *caches: MutableMapping) -> Iterator[_Batch]:
+    """The same results; after a task's last one, its worker gives back the memory that no later task needs."""
+    try:
+        yield from batches
+    finally:
+        for cache in caches:
+            cache.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+
 # Ids that are sent to every task; as a hash table they take some tens of megabytes.
 BROADCAST_IDS = 1_000_000
 

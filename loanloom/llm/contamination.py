@@ -7,8 +7,8 @@ only places to look at. Each is verified with Myers' bit-parallel distance of th
 Texts are compared in lower case with runs of ASCII punctuation and white space as one blank. The items are the query
 set: they are taken in blocks of bounded size, each of which meets all documents; the documents are never shuffled.
 
-Missing and empty texts match nothing, as do empty items. Items under ``LEAST_CHARS`` characters match only documents
-that consist of them. Repeated rows and repeated items give a result each.
+Missing and empty texts match nothing, as do empty items. Items too short for an edit match where they stand unchanged
+between word boundaries. Repeated rows and repeated items give a result each.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanloom.llm.common import released, ship_package, stash
+
 BUDGET = 0.06
-LEAST_CHARS = 20
 # Characters of test items whose pieces go into one automaton.
 BLOCK_CHARS = 4_000_000
 
@@ -79,16 +80,12 @@ class Decontaminator:
     def __init__(self, items: list[tuple[int, str]], budget: float = BUDGET):
         self._items = [(i, normalised(t)) for i, t in items]
         self._budget = budget
-        self._whole: dict[str, list[int]] = defaultdict(list)
         self._pieces: list[list[tuple[int, int]]] = []
         self._automaton = ahocorasick.Automaton()
         numbers: dict[str, int] = {}
         for number, (item_id, item) in enumerate(self._items):
             if not item:
                 continue
-            if len(item) < LEAST_CHARS:
-                self._whole[item].append(item_id)
-                continue
             for offset, piece in pieces_of(item, budget):
                 place = numbers.setdefault(piece, len(numbers))
                 if place == len(self._pieces):
@@ -101,7 +98,7 @@ class Decontaminator:
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, distance, start, end) of each item's best place in the normalised text; the start is implied."""
         doc = normalised(text)
-        found = [(i, 0, 0, len(doc)) for i in self._whole.get(doc, ())]
+        found: list[tuple[int, int, int, int]] = []
         if not len(self._automaton):
             return found
         # Where each item would start, by item.
@@ -112,13 +109,14 @@ class Decontaminator:
         for number, places in sorted(starts.items()):
             item_id, item = self._items[number]
             limit, best = int(self._budget * len(item)), None
-            exact = min((p for p in places if p >= 0 and doc.startswith(item, p)), default=None)
+            exact = min((p for p in places if p >= 0 and doc.startswith(item, p) and (limit or _stands_alone(doc, p, len(item)))), default=None)
             if exact is not None:
                 found.append((item_id, 0, exact, exact + len(item)))
                 continue
-            upto = -1
+            if not limit:
+                continue
             for low, high in _windows(sorted(places), len(item), limit):
-                low = max(0, low, upto if upto > high - len(item) else 0)
+                low = max(0, low)
                 hit = best_occurrence(item, doc[low:high], limit)
                 if hit and (best is None or hit[0] < best[1]):
                     end = low + hit[1]
@@ -128,6 +126,11 @@ class Decontaminator:
         return found
 
 
+def _stands_alone(doc: str, start: int, size: int) -> bool:
+    """Whether a place in a normalised text begins and ends with a word."""
+    return (start == 0 or doc[start - 1] == " ") and (start + size == len(doc) or doc[start + size] == " ")
+
+
 def _windows(places: list[int], size: int, limit: int) -> Iterator[tuple[int, int]]:
     """Windows around the implied starts, joined where they overlap by more than half an item."""
     low = high = None
@@ -151,8 +154,7 @@ def _decontaminator(items: list[tuple[int, str]], budget: float) -> Decontaminat
     """One automaton per block and worker process."""
     key = hash((tuple(items), budget))
     if key not in _built:
-        if len(_built) >= 4:
-            _built.clear()
+        _built.clear()
         _built[key] = Decontaminator(items, budget)
     return _built[key]
 
@@ -174,22 +176,33 @@ def matches_column(text: Column, items: list[tuple[int, str]], budget: float = B
     @F.pandas_udf(_MATCHES)
     def matched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         finder = _decontaminator(items, budget)
-        for texts in batches:
-            yield pd.Series(
-                [[{"item_id": i, "distance": d, "start": s, "end": e} for i, d, s, e in finder.matches(t)] for t in texts],
-                dtype=object,
-            )
+        yield from released(
+            pd.Series([[{"item_id": i, "distance": d, "start": s, "end": e} for i, d, s, e in finder.matches(t)] for t in texts], dtype=object)
+            for texts in batches
+        )
 
     return matched(F.coalesce(text, F.lit("")))
 
 
-def all_matches(text: Column, benchmark: DataFrame, budget: float = BUDGET) -> Column:
-    """Every item found in the text, over all blocks of the benchmark."""
-    found = [matches_column(text, items, budget) for items in item_blocks(benchmark)]
-    return found[0] if len(found) == 1 else F.concat(*found)
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """``doc_id, item_id, distance, start, end`` for every item found in a document, positions in the normalised text."""
-    found = docs.select("doc_id", F.explode(all_matches(F.col("text"), benchmark, budget)).alias("found"))
-    return found.select("doc_id", "found.*")
+    """``doc_id, item_id, distance, start, end`` for every item found in a document, positions in the normalised text.
+
+    Each block of items but the last is written before the next one is fetched, so the driver holds one.
+    """
+    ship_package(docs.sparkSession)
+    found = None
+    for items in item_blocks(benchmark):
+        own = docs.select("doc_id", F.explode(matches_column(F.col("text"), items, budget)).alias("found"))
+        own = own.select("doc_id", "found.*")
+        found = own if found is None else stash(found, "matches").unionByName(own)
+    return found
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """The rows of ``docs`` in whose text no item is found; block by block, each looking only at what the last one left."""
+    ship_package(docs.sparkSession)
+    clean = None
+    for items in item_blocks(benchmark):
+        left = docs if clean is None else stash(clean, "uncontaminated")
+        clean = left.where(F.size(matches_column(left["text"], items, budget)) == 0)
+    return clean

@@ -284,10 +284,13 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARG
     judged = docs.select("doc_id", _tokens_and_posteriors(F.col("text"), model).alias("found"))
     members = stash(judged.select("found.n_tokens", "found.posterior"), "members")
     residuals = solve_rates(members, targets, ridge)
-    found = docs.withColumn("mix_found", _tokens_and_posteriors(F.col("text"), model))
-    rated = found.withColumn("mix_rate", _rate_column(F.col("mix_found.posterior"), residuals, ridge))
+    held = "mix_found"
+    while held in {c.lower() for c in docs.columns}:
+        held += "_"
+    found = docs.withColumn(held, _tokens_and_posteriors(F.col("text"), model))
+    rated = found.withColumn("mix_rate", _rate_column(F.col(f"{held}.posterior"), residuals, ridge))
     return rated.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in ("mix_tokens", "mix_posterior", "mix_rate", "mix_copies")],
-        F.col("mix_found.n_tokens").alias("mix_tokens"), F.col("mix_found.posterior").alias("mix_posterior"),
+        F.col(f"{held}.n_tokens").alias("mix_tokens"), F.col(f"{held}.posterior").alias("mix_posterior"),
         "mix_rate", copies(F.col("mix_rate"), F.col("doc_id")).alias("mix_copies"),
     )

@@ -29,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import checked_broadcast, stash
+from loanloom.llm.common import checked_broadcast, released, ship_package, stash
 from loanloom.llm.components import components
 from loanloom.llm.vectors import _components_within
 
@@ -97,7 +97,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-_SIGNED = "doc_id long, n_shingles long, print_a long, print_b long, levels binary, sketch binary"
+_SIGNED = "doc_id long, n_shingles long, print_a long, print_b long, levels binary, sketch binary, text_a long, text_b long"
 
 
 def _sign(texts: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
@@ -115,12 +115,19 @@ def _sign(texts: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
             rows.append((len(shingles), print_a, print_b, levels, sketch))
         frame = pd.DataFrame(rows, columns=["n_shingles", "print_a", "print_b", "levels", "sketch"])
         frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-        yield frame
+        yield frame.assign(text_a=batch["text_a"].to_numpy(), text_b=batch["text_b"].to_numpy())
+
+
+def text_prints() -> list[Column]:
+    """128 bits that tell the text of a row, where an id stands on several."""
+    return [F.xxhash64(F.coalesce("text", F.lit("")), F.lit(s)).alias(f"text_{n}") for s, n in ((1, "a"), (2, "b"))]
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return text.mapInPandas(lambda batches: _sign(batches, size), _SIGNED)
+    text = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *text_prints()
+    )
+    return text.mapInPandas(lambda batches: released(_sign(batches, size), _words), _SIGNED)
 
 
 _FOUND = "a long, b long, score int, tree int, key binary, rep long, n_shingles long, sketch binary"
@@ -238,7 +245,7 @@ def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
                 {"print_a": [p[0] for p in prints], "print_b": [p[1] for p in prints], "shingles": [s.tobytes() for s in sets]}
             )
 
-    return texts.mapInPandas(shingled, "print_a long, print_b long, shingles binary")
+    return texts.mapInPandas(lambda batches: released(shingled(batches), _words), "print_a long, print_b long, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -404,7 +411,11 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: ``doc_id, n_shingles, component_id, kept``; similarity is at least ``percent`` hundredths."""
+    """Per row: ``doc_id, n_shingles, component_id, kept, text_a, text_b``; similarity is at least ``percent`` hundredths.
+
+    The last two tell the row's text, so that rows which share an id can be told apart.
+    """
+    ship_package(docs.sparkSession)
     rows = stash(signed(docs, shingle), "signed")
     known = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stash(
@@ -423,8 +434,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     )
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return (
-        rows.select("doc_id", "n_shingles", "print_a", "print_b")
+        rows.select("doc_id", "n_shingles", "print_a", "print_b", "text_a", "text_b")
         .join(reached, ["print_a", "print_b"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), "text_a", "text_b")
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanloom.llm.common import released, ship_package
+
 KINDS = ["email", "ip", "card", "phone"]
 LABELERS = 5
 FOR, AGAINST, ABSTAIN = 2, 1, 0
@@ -94,6 +96,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans by start, those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     """Base spans and looser candidates that overlap none of their kind: (kind, start, end, is base)."""
     base = base_spans(text)
@@ -101,7 +114,7 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     for kind, pattern in _LOOSE.items():
         if kind == 0 and "dot" not in text:
             continue
-        taken = [(s, e) for k, s, e in base if k == kind or k == 2]
+        taken = _joined([(s, e) for k, s, e in base if k == kind or k == 2])
         place = 0
         for match in pattern.finditer(text):
             while place < len(taken) and taken[place][1] <= match.start():
@@ -193,6 +206,7 @@ def train_classifier(seen: np.ndarray, posterior: np.ndarray, counts: np.ndarray
 
 def fit_span_model(docs: DataFrame) -> SpanModel:
     """Estimate from the votes on every candidate of every text, met as counts of vote patterns."""
+    ship_package(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
     def voted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -254,8 +268,7 @@ def masked_column(text: Column, model: SpanModel) -> Column:
 
     @F.pandas_udf("string")
     def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([t if t is None else mask(t, model) for t in texts], dtype=object)
+        yield from released(pd.Series([t if t is None else mask(t, model) for t in texts], dtype=object) for texts in batches)
 
     return masked(text)
 

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanloom.llm.common import released, ship_package
+
 SAMPLE_ROWS = 3_000
 SAMPLE_BYTES = 20_000
 FILTERS, WIDTH, STRIDE, CELL = 16, 8, 2, 128
@@ -179,6 +181,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Network:
+    ship_package(docs.sparkSession)
     sample, counts = labelled_sample(docs, labels, label)
     drawn = sample["label"].value_counts().to_dict()
     if len(drawn) < 2:
@@ -200,16 +203,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> N
 def score_column(text: Column, net: Network) -> Column:
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            found, step, size = [], [], 0
-            for text in texts:
-                step.append(text.encode("utf-8", "surrogatepass"))
-                size += len(step[-1])
-                if size >= 4 * _STEP:
-                    found.append(scores(step, net))
-                    step, size = [], 0
-            if step:
-                found.append(scores(step, net))
-            yield pd.Series(np.concatenate(found) if found else [], dtype="float64")
+        yield from released(_scored(batches, net))
 
     return scored(F.coalesce(text, F.lit("")))
+
+
+def _scored(batches: Iterator[pd.Series], net: Network) -> Iterator[pd.Series]:
+    for texts in batches:
+        found, step, size = [], [], 0
+        for text in texts:
+            step.append(text.encode("utf-8", "surrogatepass"))
+            size += len(step[-1])
+            if size >= 4 * _STEP:
+                found.append(scores(step, net))
+                step, size = [], 0
+        if step:
+            found.append(scores(step, net))
+        yield pd.Series(np.concatenate(found) if found else [], dtype="float64")

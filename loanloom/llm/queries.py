@@ -142,7 +142,8 @@ def op8_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: three-word shingles, similarity of 0.85 or more."""
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    found = near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query

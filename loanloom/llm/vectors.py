@@ -1,18 +1,21 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
-A rotation of the principal axes, learnt on a bounded sample (``SAMPLE_ROWS``), gives every vector a balanced binary
-code, and further random rotations of the same axes give it more codes. Codes are filed in several tables under
+A rotation of the principal axes, learnt on a bounded sample (``SAMPLE_ROWS``) around its mean, gives every vector a balanced
+binary code. Further codes are signs along random directions through the origin, where two vectors differ in a bit with a
+probability that depends on their angle alone, whatever direction all vectors share. Codes are filed in several tables under
 windows of their bits, no bit in two windows. Vectors that share a window are compared twice: first by the Hamming
-distance of their learnt codes, which rules most rows out while only codes have been shuffled, then the rows that are
+distance of a random code, which rules most rows out while only codes have been shuffled, then the rows that are
 left are reranked by the cosine of the original vectors in double precision.
 
 Equal vectors are one class, compared once. A bucket of more than ``BLOCK`` classes is split into blocks and all pairs
 of blocks become tasks of bounded size; what a task gives is a count of links per row and the components it
 sees, never pairs. A pair is counted in the first table its codes share, so no pair counts twice.
 
-The windows widen with the largest group compared, so that buckets stay small, and the tables (and with them the codes)
-become more, so that a pair at the threshold shares a window with probability ``RECALL`` at every width. Vectors are compared only with vectors of the same label and
-length. Those that are null, empty or zero or hold null or non-finite components, and rows without label or id, link
+The windows widen with the largest group compared, so that buckets stay small, and the tables of random codes become more, so
+that a pair at the threshold shares one of their windows with probability ``RECALL`` at every width. Tables of the learnt code come
+on top. Where all vectors lie in one direction, buckets grow with the crowd and are compared in full, block by block. Vectors are compared only with vectors of the same label and
+length. Labels that are
+no whole numbers are told by a 64-bit hash. Those that are null, empty or zero or hold null or non-finite components, and rows without label or id, link
 with nothing. Rows that repeat an id count as rows of their own. An empty table gives no rows.
 """
 
@@ -26,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import stash
+from loanloom.llm.common import ship_package, stash
 from loanloom.llm.components import components
 
 BITS = 64
@@ -39,21 +42,43 @@ BLOCK = 512
 DIFFERING = 0.3125
 
 
-def learn_rotations(sample: np.ndarray, count: int = 1, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projections (length x count * bits) of unit vectors: iterative quantisation, then random rotations."""
+Model = tuple[np.ndarray, np.ndarray]  # directions (length x bits) and the value beyond which a bit is set
+
+
+def learn_rotation(sample: np.ndarray, rounds: int = 40) -> Model:
+    """Iterative quantisation: the rotation of the principal axes around the mean that is nearest to balanced signs."""
     length = sample.shape[1]
-    bits, rng = min(BITS, length), np.random.default_rng(length)
+    bits = min(BITS, length)
     mean = sample.mean(0)
     centred = sample - mean
     _, axes = np.linalg.eigh(centred.T @ centred)
     axes = axes[:, ::-1][:, :bits]
-    rotations = [np.linalg.qr(rng.standard_normal((bits, bits)))[0] for _ in range(count)]
+    rotation = np.linalg.qr(np.random.default_rng(length).standard_normal((bits, bits)))[0]
     projected = centred @ axes
     for _ in range(rounds):
-        code = np.where(projected @ rotations[0] >= 0, 1.0, -1.0)
+        code = np.where(projected @ rotation >= 0, 1.0, -1.0)
         left, _, right = np.linalg.svd(projected.T @ code)
-        rotations[0] = left @ right
-    return mean, axes @ np.hstack(rotations)
+        rotation = left @ right
+    directions = axes @ rotation
+    return directions, mean @ directions
+
+
+def random_directions(length: int, codes: int) -> np.ndarray:
+    """``BITS`` directions per code, at right angles as far as the length allows."""
+    rng, found = np.random.default_rng(length + 1), []
+    for _ in range(codes):
+        turns = [np.linalg.qr(rng.standard_normal((length, min(length, BITS))))[0] for _ in range(-(-BITS // length))]
+        found.append(np.hstack(turns)[:, :BITS])
+    return np.hstack(found)
+
+
+def learn_model(sample: np.ndarray, codes: int) -> Model:
+    """The learnt code, its unused bits never set, and random codes after it."""
+    learnt, limit = learn_rotation(sample)
+    length, bits = learnt.shape
+    unused = BITS - bits
+    directions = np.hstack([learnt, np.zeros((length, unused)), random_directions(length, codes)])
+    return directions, np.r_[limit, np.full(unused, np.inf), np.zeros(codes * BITS)]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -62,19 +87,18 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def codes_of(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A row of codes per vector, as 64-bit integers; unused high bits are zero."""
-    mean, projections = model
-    bits = min(BITS, len(mean))
-    set_bits = ((unit(vectors) - mean) @ projections >= 0).astype(np.uint64).reshape(len(vectors), -1, bits)
-    return (set_bits << np.arange(bits, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+def codes_of(vectors: np.ndarray, model: Model) -> np.ndarray:
+    """A row of codes per vector, as 64-bit integers; the learnt one first."""
+    directions, limit = model
+    set_bits = (unit(vectors) @ directions >= limit).astype(np.uint64).reshape(len(vectors), -1, BITS)
+    return (set_bits << np.arange(BITS, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
 
 
-def windows(bits: int, width: int, tables: int) -> list[tuple[int, np.uint64]]:
-    """Code and mask of every table's window; as many windows as fit lie side by side in a code."""
+def windows(bits: int, width: int, tables: int, first: int = 0) -> list[tuple[int, np.uint64]]:
+    """Code and mask of every table's window; as many windows as fit lie side by side in a code, from code ``first`` on."""
     width = min(width, bits)
     per_code = bits // width
-    return [(t // per_code, np.uint64(((1 << width) - 1) << t % per_code * width)) for t in range(tables)]
+    return [(first + t // per_code, np.uint64(((1 << width) - 1) << t % per_code * width)) for t in range(tables)]
 
 
 def window_width(largest_group: int) -> int:
@@ -178,12 +202,14 @@ def _reranked(
 
 
 def _tables(length: int, width: int, cosine: float) -> list[tuple[int, np.uint64]]:
+    """Windows of the learnt code, then those of random codes that alone reach the recall."""
     bits = min(BITS, length)
-    return windows(bits, width, tables_for(min(width, bits), cosine))
+    learnt = windows(bits, width, bits // min(width, bits))
+    return learnt + windows(BITS, width, tables_for(width, cosine), first=1)
 
 
-def _fit(classes: DataFrame, width: int, cosine: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Rotations per vector length, learnt on the sample; lengths it misses get them from random directions."""
+def _fit(classes: DataFrame, width: int, cosine: float) -> dict[int, Model]:
+    """Directions per vector length; the rotation of a length that the sample misses is learnt from random vectors."""
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("length", "vector").toPandas()
     lengths = [r["length"] for r in classes.select("length").distinct().collect()]
     models = {}
@@ -191,11 +217,11 @@ def _fit(classes: DataFrame, width: int, cosine: float) -> dict[int, tuple[np.nd
         own = sample["vector"][sample["length"] == length].to_list()
         rng = np.random.default_rng(length)
         rows = np.stack(own).astype(np.float64) if len(own) > 1 else rng.standard_normal((2 * length, length))
-        models[length] = learn_rotations(unit(rows), 1 + _tables(length, width, cosine)[-1][0])
+        models[length] = learn_model(unit(rows), _tables(length, width, cosine)[-1][0])
     return models
 
 
-def _codes_column(vector: Column, models: dict[int, tuple[np.ndarray, np.ndarray]]) -> Column:
+def _codes_column(vector: Column, models: dict[int, Model]) -> Column:
     @F.pandas_udf("array<long>")
     def coded(values: pd.Series) -> pd.Series:
         out = np.empty(len(values), object)
@@ -229,10 +255,18 @@ def _units(classes: DataFrame, tables: dict[int, list[tuple[int, np.uint64]]]) -
     )
 
 
+def _label_number(embeddings: DataFrame) -> Column:
+    label = F.col("label")
+    if embeddings.schema["label"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return label.cast("long")
+    return F.when(label.isNotNull(), F.xxhash64(label))
+
+
 def near_vectors(embeddings: DataFrame, cosine: float = 0.93) -> DataFrame:
     """Per row: ``vec_id, n_links, component_id, kept``."""
+    ship_package(embeddings.sparkSession)
     vector = F.transform(F.col("embedding"), lambda x: x.cast("double") + F.lit(0.0))
-    rows = embeddings.select("vec_id", F.col("label").cast("long").alias("label"), vector.alias("vector"))
+    rows = embeddings.select("vec_id", _label_number(embeddings).alias("label"), vector.alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = finite & F.exists("vector", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     valid = F.coalesce(usable, F.lit(False))
@@ -252,9 +286,9 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.93) -> DataFrame:
     width = window_width(largest)
     models = _fit(classes, width, cosine)
     tables = {n: _tables(n, width, cosine) for n in models}
-    coded = classes.withColumn("codes", _codes_column(F.col("vector"), models)).withColumn("code", F.get("codes", F.lit(0)))
+    coded = classes.withColumn("codes", _codes_column(F.col("vector"), models)).withColumn("code", F.get("codes", F.lit(1)))
     coded = stash(coded, "codes")
-    most = {n: int(DIFFERING * min(BITS, n)) + 1 for n in models}
+    most = dict.fromkeys(models, int(DIFFERING * BITS) + 1)
     units = _units(coded, tables).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
     near = stash(units.mapInPandas(lambda batches: _near_in_code(batches, most), units.schema), "near-codes")
     with_vectors = near.join(coded.select("rep", "copies", "vector", "codes"), "rep").repartition(*_KEYS).sortWithinPartitions(*_KEYS)

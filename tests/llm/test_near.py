@@ -143,6 +143,37 @@ def test_recall_on_embeddings(spark):
     assert (links <= linked.sum(1)).all() and links.sum() >= 0.9 * linked.sum()
 
 
+@pytest.mark.parametrize("shared", [0, 1, 3, 5])
+@pytest.mark.parametrize("length", [64, 768])
+def test_recall_where_vectors_share_a_direction(spark, shared, length):
+    """Links at the threshold and above, around one common direction and in a crowd, whatever the mean."""
+    rng = np.random.default_rng(shared + length)
+    way = vectors.unit(rng.standard_normal((1, length)))
+    x = vectors.unit(rng.standard_normal((150, length)))
+    # Partners at a cosine of just over the threshold once the shared direction is added.
+    near = vectors.unit(x + np.sqrt(0.11 * (1 + shared**2)) * vectors.unit(rng.standard_normal((150, length))))
+    crowd = vectors.unit(x[:1] + 0.2 * vectors.unit(rng.standard_normal((60, length))))
+    rows = np.concatenate([x, near, crowd]) + shared * way
+    whole = vectors.unit(rows)
+    linked = whole @ whole.T >= 0.93
+    np.fill_diagonal(linked, False)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vectors.near_vectors(df.repartition(4)).collect()}
+    links = np.array([got[i].n_links for i in range(len(rows))])
+    assert linked.sum() > 3000 and (links <= linked.sum(1)).all() and links.sum() >= 0.99 * linked.sum()
+    label = vectors._components_within(linked)
+    assert sum(got[i].component_id != label[i] for i in range(len(rows))) <= 0.02 * len(rows)
+
+
+def test_labels_that_are_no_whole_numbers(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.01], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], None)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert {r.vec_id: r.n_links for r in got} == {1: 1, 2: 1, 3: 0, 4: 0}
+    rows = [(i, [1.0, 0.0], la) for i, la in ((1, 1.2), (2, 1.7), (3, 1.7))]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double")).collect()
+    assert {r.vec_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 2}
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vectors.near_vectors(none).collect() == []
@@ -191,7 +222,7 @@ def test_bit_parallel_distance():
         assert (contamination.best_occurrence(pattern, text, want - 1) is None) or want == 0
 
 
-def test_planted_passages(spark, odd_docs, no_docs):
+def test_planted_passages(spark, odd_docs, no_docs, monkeypatch):
     draw = random.Random(12)
     word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 7)))
     items = [(i, " ".join(word() for _ in range(draw.randint(5, 40)))) for i in range(30)] + [(30, ""), (31, "ab"), (32, None)]
@@ -212,7 +243,7 @@ def test_planted_passages(spark, odd_docs, no_docs):
             distance = least_distance(contamination.normalised(item), doc) if doc else 10**6
             if distance <= limit[item_id]:
                 want.add((doc_id, item_id, distance))
-    want.add((900, 31, 0))
+    want |= {(i, 31, 0) for i, t in docs if " ab " in f" {contamination.normalised(t or '')} "}
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = contamination.contaminated(frame, benchmark).collect()
@@ -220,5 +251,14 @@ def test_planted_passages(spark, odd_docs, no_docs):
     blocks = list(contamination.item_blocks(benchmark, chars=500))
     assert len(blocks) > 3 and sum(map(len, blocks)) == len(items)
     assert contamination.contaminated(odd_docs, benchmark).collect() == []
+    short = spark.createDataFrame([(1, "Was it the third?"), (2, "one"), (3, "third")], "item_id long, text string")
+    quoted = spark.createDataFrame([(7, "He asked: was it (the) third? one-two"), (8, "was it thethird bone")], "doc_id long, text string")
+    hits = {(r.doc_id, r.item_id, r.distance) for r in contamination.contaminated(quoted, short).collect()}
+    assert hits == {(7, 1, 0), (7, 2, 0), (7, 3, 0)}
+    assert [r.doc_id for r in contamination.uncontaminated(quoted, short).collect()] == [8]
+    monkeypatch.setattr(contamination, "item_blocks", lambda b, blocks=contamination.item_blocks: blocks(b, chars=500))
+    assert {(r.doc_id, r.item_id, r.distance) for r in contamination.contaminated(frame, benchmark).collect()} == want
+    left = contamination.uncontaminated(frame, benchmark).collect()
+    assert {r.doc_id for r in left} == {i for i, _ in docs} - {i for i, _, _ in want}
     assert contamination.contaminated(no_docs, benchmark).collect() == []
     assert contamination.contaminated(frame, benchmark.limit(0)).collect() == []

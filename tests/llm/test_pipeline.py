@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     found = contract.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES}
     assert "pipeline" in found and queries.QUERIES.keys() <= found.keys()
     assert contract.oracle_sql().keys() <= found.keys()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "mixture"]
@@ -57,3 +57,18 @@ def test_odd_and_empty_documents(spark, odd_docs, no_docs, place):
     assert stage(spark, no_docs, SF).count() == 0
     if name == "personal_data":
         assert out.where(F.col("text").contains("[EMAIL]")).count() == 1
+
+
+def test_ids_on_several_texts(spark):
+    """Every stage judges rows, not ids."""
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    other = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    item = next(r.text for r in table(spark, SF, "benchmark").collect())
+    rows = [(5, long), (5, other), (3, other), (3, None), (9, f"{long} {item}"), (9, "clean words only, nothing else"), (None, other)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, SF)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, (r for r in rows if r != (5, other))))
+    clean = corpus_pipeline.drop_contaminated(spark, docs, SF)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in clean.collect()))) == sorted(map(str, (r for r in rows if item not in (r[1] or ""))))
+    for stage in (corpus_pipeline.mask_personal_data, corpus_pipeline.weight_sources):
+        assert stage(spark, docs, SF).count() == len(rows)

@@ -205,3 +205,10 @@ def test_phrases_and_labels(spark, odd_docs, no_docs):
     assert (got[4].base_labels, got[4].labels) == ("", "cc-by-nc") and got[4].score >= licenses.THRESHOLD
     assert got[5].labels == "mit" and got[5].n_base == 0
     assert licenses.scan_licenses(odd_docs).count() == 8 and licenses.scan_licenses(no_docs).collect() == []
+
+
+def test_looser_spans_overlap_no_base_span():
+    text = "+1 (555) 123-4567 card 4111 1111 1111 1111"
+    found = pii.candidates(text)
+    for k, s, e, base in found:
+        assert base or not any(b and (o == k or o == 2) and a < e and s < z for o, a, z, b in found)
