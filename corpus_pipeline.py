@@ -4,7 +4,7 @@ Each stage takes all rows its predecessor kept. All but the last return the colu
 
 1. ``quality``: documents the byte-level network scores under 0.7 go.
 2. ``near_duplicates``: of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the one with the
-   smallest id stays. Rows without an id and rows that repeat a kept id stay.
+   smallest id stays. Rows without an id stay, and an id on several texts is judged text by text.
 3. ``decontamination``: documents that hold a benchmark item within the edit budget go.
 4. ``personal_data``: spans of personal data are replaced by their kind; ``n_chars`` follows the text.
 5. ``mixture``: every document gets the rate and the whole copies that bring the domains to their target weights.
@@ -27,13 +27,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = stash(near_duplicates.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "copies")
-    return docs.join(checked_broadcast(copies), "doc_id", "left_anti").select(*docs.columns)
+    # An id may stand on several texts, so rows are told by both.
+    row = ["doc_id", "text_a", "text_b"]
+    copies = near_duplicates.near_duplicates(docs).where("NOT kept").select(*row).distinct()
+    copies = stash(copies.toDF("copy_id", "copy_a", "copy_b"), "copies")
+    own_a, own_b = near_duplicates.text_prints()
+    same = (docs["doc_id"] == copies["copy_id"]) & (own_a == copies["copy_a"]) & (own_b == copies["copy_b"])
+    return docs.join(checked_broadcast(copies), same, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination.all_matches(docs["text"], table(spark, sf_dir, "benchmark"))
-    return docs.where(F.size(found) == 0)
+    return contamination.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
