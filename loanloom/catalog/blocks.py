@@ -28,8 +28,9 @@ from loanloom.catalog.registry import query, rounded, sql_rounded
 from loanloom.functions import AggSpec, clean_name
 from loanloom.operators.recency import Block, recency_features
 from loanloom.plans import bureau, card, instalments, matrix, pos, previous
-from loanloom.plans.application import application_features, clean_application, fit_application
+from loanloom.plans.application import application_features, clean_and_fit
 from loanloom.plans.roles import CARD_SLICES, POS_TIE_BREAK
+from loanloom.sources import shared_dir
 
 KEY = ["SK_ID_CURR"]
 
@@ -210,7 +211,8 @@ def _previous_block(rows: str) -> tuple[str, list[str]]:
 
 @query("f4_previous", sql_rounded(f"SELECT * FROM {_previous_block(_PREVIOUS_ROWS)[0]} f", KEY))
 def _(t):
-    return rounded(previous.previous_features(previous.clean_previous(t.previous)), KEY)
+    facts = previous.fit_previous(t.previous)
+    return rounded(previous.previous_features(previous.clean_previous(t.previous, facts), fit=facts), KEY)
 
 
 _W1 = _sliced(_previous_block, "previous_rows", "DAYS_DECISION", DAYS)
@@ -218,7 +220,8 @@ _W1 = _sliced(_previous_block, "previous_rows", "DAYS_DECISION", DAYS)
 
 @query("w1_previous", "WITH previous_rows AS MATERIALIZED " + _PREVIOUS_ROWS + sql_rounded(f"SELECT * FROM {_W1} f", KEY))
 def _(t):
-    return rounded(previous.previous_recency(previous.clean_previous(t.previous)), KEY)
+    facts = previous.fit_previous(t.previous)
+    return rounded(previous.previous_recency(previous.clean_previous(t.previous, facts), fit=facts), KEY)
 
 
 # --- point of sale ----------------------------------------------------------------------------
@@ -393,7 +396,7 @@ _BOTH_APP_ROWS = (
 
 @query("f1_application", f"WITH {_APP_ROWS} " + sql_rounded(f"SELECT * FROM {_application_sql()[0]} f", KEY))
 def _(t):
-    return rounded(application_features(clean_application(t.application)), KEY)
+    return rounded(application_features(*clean_and_fit(t.application)), KEY)
 
 
 def _matrix_sql(app_rows: str, base: str) -> str:
@@ -424,7 +427,10 @@ def _sources(t) -> matrix.Sources:
 
 
 def _blocks(t):
-    return matrix.side_blocks(_sources(t), pos_tie_break=POS_TIE_BREAK, card_slices=CARD_SLICES)
+    """Stored blocks; the matrix of new applicants finds those the first one of the same application wrote."""
+    blocks = matrix.side_blocks(_sources(t), pos_tie_break=POS_TIE_BREAK, card_slices=CARD_SLICES)
+    folder = f"{shared_dir(t.spark)}/{t.spark.sparkContext.applicationId}"
+    return matrix.write_blocks(blocks, folder, settings=f"{POS_TIE_BREAK} {CARD_SLICES}")
 
 
 @query("f8_matrix", _matrix_sql(_APP_ROWS, "app_rows"))
@@ -436,5 +442,5 @@ def _(t):
 @query("f9_test_matrix", _matrix_sql(_BOTH_APP_ROWS, "test_rows"))
 def _(t):
     is_test = F.col("SK_ID_CURR") % 11 < 3
-    fit = fit_application(clean_application(t.application.where(~is_test)))
+    _train, fit = clean_and_fit(t.application.where(~is_test))
     return rounded(matrix.test_matrix(t.application.where(is_test), _blocks(t), fit), KEY)

@@ -38,10 +38,11 @@ def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, object | N
     return modes
 
 
-def fill_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The most frequent value for missing."""
+def fill_mode(df: DataFrame, columns: Sequence[str], modes: Mapping[str, object] | None = None) -> DataFrame:
+    """The most frequent value for missing; ``modes`` if it is known already."""
     kinds = dict(df.dtypes)
-    modes = most_frequent(df, columns) if columns else {}
+    if modes is None:
+        modes = most_frequent(df, columns) if columns else {}
     return df.withColumns(
         {
             c: F.when(is_missing(c, kinds[c]), F.lit(m).cast(kinds[c])).otherwise(F.col(c))
@@ -57,26 +58,33 @@ def _maxima(df: DataFrame, values: Mapping[str, Column]) -> dict[str, object]:
     return row.asDict()
 
 
+def sentinel_values(columns: Sequence[str], zero_is_missing: bool = False) -> dict[str, Column]:
+    """What the largest value of each column is taken of."""
+    return {c: F.nullif(F.col(c), F.lit(0)) if zero_is_missing else F.col(c) for c in columns}
+
+
 def null_max(
-    df: DataFrame, columns: Sequence[str], zero_is_missing: bool = False
+    df: DataFrame, columns: Sequence[str], zero_is_missing: bool = False, maxima: Mapping[str, object] | None = None
 ) -> DataFrame:
     """The column's largest value is a sentinel for missing.
 
     With ``zero_is_missing`` zeros go first and the maximum is taken after that.
-    All maxima come from one pass.
+    All maxima come from one pass, unless they are known already.
     """
-    values = {c: F.nullif(F.col(c), F.lit(0)) if zero_is_missing else F.col(c) for c in columns}
-    top = _maxima(df, values)
+    values = sentinel_values(columns, zero_is_missing)
+    top = _maxima(df, values) if maxima is None else maxima
     return df.withColumns({c: null_if_value(v, top[c]) for c, v in values.items()})
 
 
-def null_sentinel(df: DataFrame, column: str, scope: str = "column") -> DataFrame:
+def null_sentinel(
+    df: DataFrame, column: str, scope: str = "column", maxima: Mapping[str, object] | None = None
+) -> DataFrame:
     """C4: null the largest value of ``column``, there or in every numeric column (``all``)."""
     if scope == "column":
-        return null_max(df, [column])
+        return null_max(df, [column], maxima=maxima)
     if scope != "all":
         raise ValueError(f"unknown scope {scope!r}")
-    top = _maxima(df, {column: F.col(column)})[column]
+    top = (_maxima(df, {column: F.col(column)}) if maxima is None else maxima)[column]
     if top is None:
         return df
     numeric = [c for c, t in df.dtypes if t in _NUMERIC]

@@ -67,11 +67,11 @@ def fit_vocabulary(
     levels = {}
     for i, c in enumerate(columns):
         values = [r["v"] for r in found if r["i"] == i and not (r["v"] == "NaN" and kinds[c] in ("float", "double"))]
-        levels[c] = tuple(sorted(_typed(v, kinds[c]) for v in values))
+        levels[c] = tuple(sorted(typed_level(v, kinds[c]) for v in values))
     return Vocabulary(levels, missing, drop_first)
 
 
-def _typed(text: str, kind: str) -> object:
+def typed_level(text: str, kind: str) -> object:
     """A level as a value that sorts as its column does and can be written as a literal."""
     if kind.endswith("int"):
         return int(text)

@@ -30,11 +30,13 @@ def group_quantiles(
     approx: bool = False,
     accuracy: int = _ACCURACY,
     distinct_limit: int = _DISTINCT_LIMIT,
+    most_distinct: int | None = None,
 ) -> DataFrame:
     """One row per group (missing groups dropped) and array column ``q``, one entry per prob.
 
     Missing values are ignored, neighbours are interpolated linearly. ``approx``
-    returns the sketch's values after a single pass.
+    returns the sketch's values after a single pass. ``most_distinct`` is the largest approximate
+    number of distinct values of a group, if it is known already.
     """
     by, probs = list(by), [float(p) for p in probs]
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(
@@ -44,8 +46,10 @@ def group_quantiles(
         rows = rows.where(F.col(b).isNotNull())
     if approx:
         return rows.groupBy(*by).agg(F.percentile_approx("_v", probs, accuracy).alias("q"))
-    distinct = rows.groupBy(*by).agg(F.approx_count_distinct("_v").alias("d"))
-    if (distinct.agg(F.max("d")).first()[0] or 0) <= distinct_limit:
+    if most_distinct is None:
+        distinct = rows.groupBy(*by).agg(F.approx_count_distinct("_v").alias("d"))
+        most_distinct = distinct.agg(F.max("d")).first()[0] or 0
+    if most_distinct <= distinct_limit:
         counts = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
         return counts.groupBy(*by).agg(F.percentile("_v", probs, F.col("_c")).alias("q"))
     return _bracketed(rows, probs, by, accuracy)
@@ -129,7 +133,9 @@ def column_quantiles(
     return group_quantiles(long_values(df, columns), "value", probs, ["column"], approx)
 
 
-def group_median(df: DataFrame, value: str, by: Sequence[str], approx: bool = False) -> DataFrame:
+def group_median(
+    df: DataFrame, value: str, by: Sequence[str], approx: bool = False, most_distinct: int | None = None
+) -> DataFrame:
     """Median per group as column ``median``."""
-    quantiles = group_quantiles(df, value, [0.5], by, approx)
+    quantiles = group_quantiles(df, value, [0.5], by, approx, most_distinct=most_distinct)
     return quantiles.select(*by, F.element_at("q", 1).alias("median"))

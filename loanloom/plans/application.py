@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loanloom.functions.expr import safe_div
 from loanloom.operators.clean import fill_constant, fill_mode, null_sentinel, replace_value
 from loanloom.operators.encode import Vocabulary, apply_one_hot, fit_vocabulary
+from loanloom.operators.fit import SourceFit, fit_source
 from loanloom.operators.lookup import bounded, split_join
 from loanloom.operators.quantiles import group_median
 
@@ -33,15 +34,22 @@ MEDIAN_FEATURES = {
 }
 
 
-def clean_application(df: DataFrame, sentinel_scope: str = "column") -> DataFrame:
-    """Missing categories named, odd categories merged, employment sentinel removed."""
+def _named_categories(df: DataFrame) -> DataFrame:
+    """The part of the clean-up that looks at nothing but the row; the rest changes no category."""
     fills = {c: NOT_AVAILABLE for c in NOT_AVAILABLE_COLUMNS}
     fills |= {"NAME_TYPE_SUITE": "Unaccompanied"}
     df = fill_constant(df, fills)
-    df = fill_mode(df, ["CNT_FAM_MEMBERS"])
-    df = null_sentinel(df, "DAYS_EMPLOYED", sentinel_scope)
     df = replace_value(df, "CODE_GENDER", {"XNA": "M"})
-    df = replace_value(df, "NAME_FAMILY_STATUS", {"Unknown": "Married"})
+    return replace_value(df, "NAME_FAMILY_STATUS", {"Unknown": "Married"})
+
+
+def clean_application(df: DataFrame, sentinel_scope: str = "column", fit: SourceFit | None = None) -> DataFrame:
+    """Missing categories named, odd categories merged, employment sentinel removed."""
+    df = _named_categories(df)
+    if fit is None:
+        fit = fit_source(df, {"DAYS_EMPLOYED": F.col("DAYS_EMPLOYED")}, ["CNT_FAM_MEMBERS"], levels=[])
+    df = fill_mode(df, ["CNT_FAM_MEMBERS"], fit.modes)
+    df = null_sentinel(df, "DAYS_EMPLOYED", sentinel_scope, fit.maxima)
     return fill_constant(df, {c: 0 for c in ZERO_FILLED})
 
 
@@ -89,14 +97,26 @@ class ApplicationFit:
     vocabulary: Vocabulary
 
 
-def fit_application(df: DataFrame, approx: bool = False) -> ApplicationFit:
+def clean_and_fit(df: DataFrame, sentinel_scope: str = "column") -> tuple[DataFrame, ApplicationFit]:
+    """C8 and everything F1 learns, in two passes: one for all facts, one for the medians."""
+    named = _named_categories(df)
+    facts = fit_source(
+        named, {"DAYS_EMPLOYED": F.col("DAYS_EMPLOYED")}, ["CNT_FAM_MEMBERS"], missing=False, spread_of="AMT_INCOME_TOTAL"
+    )
+    cleaned = clean_application(df, sentinel_scope, facts)
+    return cleaned, fit_application(cleaned, vocabulary=facts.vocabulary, most_distinct=facts.spread)
+
+
+def fit_application(
+    df: DataFrame, approx: bool = False, vocabulary: Vocabulary | None = None, most_distinct: int | None = None
+) -> ApplicationFit:
     """Median income per level of six category columns, together in one grouped pass."""
     pairs = [
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in MEDIAN_FEATURES
     ]
     long = df.select("AMT_INCOME_TOTAL", F.inline(F.array(*pairs)))
-    medians, small = bounded(group_median(long, "AMT_INCOME_TOTAL", ["column", "level"], approx))
-    return ApplicationFit(medians, small, fit_vocabulary(df, missing=False))
+    medians, small = bounded(group_median(long, "AMT_INCOME_TOTAL", ["column", "level"], approx, most_distinct))
+    return ApplicationFit(medians, small, vocabulary or fit_vocabulary(df, missing=False))
 
 
 def attach_median_incomes(df: DataFrame, fit: ApplicationFit) -> DataFrame:

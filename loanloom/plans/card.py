@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loanloom.functions.aggspec import AggSpec
 from loanloom.functions.expr import flag, safe_div
-from loanloom.operators.encode import Vocabulary, fit_vocabulary
+from loanloom.operators.encode import Vocabulary
+from loanloom.operators.fit import known_facts
 from loanloom.operators.recency import MONTH_SLICES, Block, recency_features, roll_up
 
 STATS = ("max", "mean", "sum", "var")
@@ -35,13 +36,14 @@ def card_block(columns: list[str], vocabulary: Vocabulary, mode: str = "null") -
     return Block.of(spec, prefix="CR_", count_as="CREDIT_COUNT", prepare=lambda df: card_row_features(df, mode))
 
 
-def _block(df: DataFrame, vocabulary: Vocabulary | None = None, mode: str = "null") -> Block:
-    return card_block(card_row_features(df).columns, vocabulary or fit_vocabulary(df), mode)
+def _block(df: DataFrame, vocabulary: Vocabulary, mode: str = "null") -> Block:
+    return card_block(card_row_features(df).columns, vocabulary, mode)
 
 
 def card_features(df: DataFrame, hot=None, mode: str = "null") -> DataFrame:
     """F7."""
-    return roll_up(df, "SK_ID_CURR", _block(df, mode=mode), hot)
+    vocabulary, hot = known_facts(df, None, None, hot)
+    return roll_up(df, "SK_ID_CURR", _block(df, vocabulary, mode), hot)
 
 
 def card_recency(
@@ -54,4 +56,5 @@ def card_recency(
     mode: str = "null",
 ) -> DataFrame:
     """Five look-back slices on the balance month."""
+    vocabulary, hot = known_facts(df, None, vocabulary, hot)
     return recency_features(df, "SK_ID_CURR", offset, slices, _block(df, vocabulary, mode), strategy, hot)

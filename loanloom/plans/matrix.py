@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -12,6 +13,7 @@ from loanloom.operators.recency import DAY_SLICES, MONTH_SLICES
 from loanloom.plans.application import (
     ApplicationFit,
     application_features,
+    clean_and_fit,
     clean_application,
     fit_application,
 )
@@ -19,8 +21,9 @@ from loanloom.plans.bureau import bureau_features
 from loanloom.plans.card import card_recency
 from loanloom.plans.instalments import instalment_recency
 from loanloom.plans.pos import pos_recency
-from loanloom.plans.previous import clean_previous, previous_recency
-from loanloom.sources.io import cache_or_load, fingerprint
+from loanloom.plans.previous import clean_previous, fit_previous, previous_recency
+from loanloom.session import together
+from loanloom.sources.io import bucketed_or_load, fingerprint
 
 
 @dataclass(frozen=True)
@@ -46,32 +49,48 @@ def side_blocks(
     mode: str = "null",
 ) -> list[DataFrame]:
     """Five blocks with one row per applicant, to be built once and joined to train and test."""
-    return [
-        bureau_features(sources.bureau, sources.bureau_balance, hot=hot),
-        previous_recency(clean_previous(sources.previous), slices=day_slices, hot=hot, mode=mode),
-        pos_recency(sources.pos, tie_break=pos_tie_break, slices=month_slices, hot=hot),
-        instalment_recency(sources.instalments, slices=day_slices, hot=hot, mode=mode),
-        card_recency(sources.card, offset=card_offset, slices=card_slices, hot=hot, mode=mode),
-    ]
+
+    def earlier() -> DataFrame:
+        facts = fit_previous(sources.previous)
+        previous = clean_previous(sources.previous, facts)
+        return previous_recency(previous, slices=day_slices, hot=hot, mode=mode, fit=facts)
+
+    return together(
+        sources.bureau.sparkSession,
+        lambda: bureau_features(sources.bureau, sources.bureau_balance, hot=hot),
+        earlier,
+        lambda: pos_recency(sources.pos, tie_break=pos_tie_break, slices=month_slices, hot=hot),
+        lambda: instalment_recency(sources.instalments, slices=day_slices, hot=hot, mode=mode),
+        lambda: card_recency(sources.card, offset=card_offset, slices=card_slices, hot=hot, mode=mode),
+    )
 
 
 def write_blocks(
-    blocks: Sequence[DataFrame], folder: str, refresh: bool = False, settings: str = ""
+    blocks: Sequence[DataFrame], folder: str, refresh: bool = False, settings: str = "", buckets: int | None = None
 ) -> list[DataFrame]:
-    """S3: blocks as tables in a shared folder, so train and test read them instead of recomputing.
+    """S3: blocks as bucketed tables in a shared folder, so train and test join them without computing or shuffling them again.
 
     A block is found again only if its columns, its source files with their sizes and
     times, and ``settings`` (say, the bounds of the slices) are what they were.
     """
-    return [cache_or_load(b, f"{folder}/block-{i}-{fingerprint(b, settings)}", refresh) for i, b in enumerate(blocks)]
+
+    def stored(place: int, block: DataFrame) -> DataFrame:
+        path = f"{folder}/block-{place}-{fingerprint(block, settings)}"
+        return bucketed_or_load(block, path, "SK_ID_CURR", buckets, refresh)
+
+    if not blocks:
+        return []
+    return together(blocks[0].sparkSession, *[partial(stored, i, b) for i, b in enumerate(blocks)])
 
 
 def train_matrix(
     application: DataFrame, blocks: Sequence[DataFrame], clean: bool = True
 ) -> tuple[DataFrame, ApplicationFit]:
     """F8: applicant features with every block joined; also what the test side reuses."""
-    application = clean_application(application) if clean else application
-    fit = fit_application(application)
+    if clean:
+        application, fit = clean_and_fit(application)
+    else:
+        fit = fit_application(application)
     return left_join_blocks(application_features(application, fit), blocks, "SK_ID_CURR"), fit
 
 

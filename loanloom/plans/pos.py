@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanloom.functions.expr import dummy, flag, safe_div
-from loanloom.operators.encode import Vocabulary, fit_vocabulary
+from loanloom.operators.encode import Vocabulary
+from loanloom.operators.fit import known_facts
 from loanloom.operators.recency import MONTH_SLICES, Block, recency_features, roll_up
 
 
@@ -103,7 +104,8 @@ def pos_block(vocabulary: Vocabulary, tie_break: tuple[str, ...] = ()) -> Block:
 
 def pos_features(df: DataFrame, tie_break: tuple[str, ...] = (), hot=None) -> DataFrame:
     """F5."""
-    return roll_up(df, "SK_ID_CURR", pos_block(fit_vocabulary(df), tie_break), hot)
+    vocabulary, hot = known_facts(df, None, None, hot)
+    return roll_up(df, "SK_ID_CURR", pos_block(vocabulary, tie_break), hot)
 
 
 def pos_recency(
@@ -115,7 +117,8 @@ def pos_recency(
     vocabulary: Vocabulary | None = None,
 ) -> DataFrame:
     """Five look-back slices on the balance month."""
-    block = pos_block(vocabulary or fit_vocabulary(df), tie_break)
+    vocabulary, hot = known_facts(df, None, vocabulary, hot)
+    block = pos_block(vocabulary, tie_break)
     return recency_features(df, "SK_ID_CURR", "MONTHS_BALANCE", slices, block, strategy, hot)
 
 

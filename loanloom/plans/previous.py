@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from loanloom.functions.aggspec import AggSpec
 from loanloom.functions.expr import safe_div
-from loanloom.operators.clean import null_max
-from loanloom.operators.encode import Vocabulary, fit_vocabulary
+from loanloom.operators.clean import null_max, sentinel_values
+from loanloom.operators.encode import Vocabulary
+from loanloom.operators.fit import SourceFit, fit_source, known_facts
 from loanloom.operators.recency import DAY_SLICES, Block, recency_features, roll_up
 
 # Day columns with sentinels, and the statistics per applicant.
@@ -36,10 +37,16 @@ STATS = {
 }
 
 
-def clean_previous(df: DataFrame) -> DataFrame:
+def fit_previous(df: DataFrame) -> SourceFit:
+    """Sentinels, levels and rows of the raw table in one pass."""
+    return fit_source(df, sentinel_values(SENTINEL_COLUMNS) | sentinel_values(ZERO_AND_SENTINEL_COLUMNS, zero_is_missing=True))
+
+
+def clean_previous(df: DataFrame, fit: SourceFit | None = None) -> DataFrame:
     """Sentinel days become missing."""
-    df = null_max(df, SENTINEL_COLUMNS)
-    return null_max(df, ZERO_AND_SENTINEL_COLUMNS, zero_is_missing=True)
+    fit = fit or fit_previous(df)
+    df = null_max(df, SENTINEL_COLUMNS, maxima=fit.maxima)
+    return null_max(df, ZERO_AND_SENTINEL_COLUMNS, zero_is_missing=True, maxima=fit.maxima)
 
 
 def previous_loan_features(df: DataFrame, mode: str = "null") -> DataFrame:
@@ -72,9 +79,10 @@ def previous_block(vocabulary: Vocabulary, mode: str = "null") -> Block:
     )
 
 
-def previous_features(df: DataFrame, hot=None, mode: str = "null") -> DataFrame:
-    """F4."""
-    return roll_up(df, "SK_ID_CURR", previous_block(fit_vocabulary(df), mode), hot)
+def previous_features(df: DataFrame, hot=None, mode: str = "null", fit: SourceFit | None = None) -> DataFrame:
+    """F4; ``fit`` of the raw table saves a pass."""
+    vocabulary, hot = known_facts(df, fit, None, hot)
+    return roll_up(df, "SK_ID_CURR", previous_block(vocabulary, mode), hot)
 
 
 def previous_recency(
@@ -84,7 +92,9 @@ def previous_recency(
     hot=None,
     vocabulary: Vocabulary | None = None,
     mode: str = "null",
+    fit: SourceFit | None = None,
 ) -> DataFrame:
-    """Seven look-back slices on the decision day."""
-    block = previous_block(vocabulary or fit_vocabulary(df), mode)
+    """Seven look-back slices on the decision day; ``fit`` of the raw table saves a pass."""
+    vocabulary, hot = known_facts(df, fit, vocabulary, hot)
+    block = previous_block(vocabulary, mode)
     return recency_features(df, "SK_ID_CURR", "DAYS_DECISION", slices, block, strategy, hot)

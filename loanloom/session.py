@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
+_Result = TypeVar("_Result")
+
 
 def build_session(app_name: str = "loanloom", master: str | None = None, **conf: object) -> SparkSession:
     """A session with adaptive execution on; ``conf`` keys use ``__`` for dots.
@@ -24,3 +31,10 @@ def build_session(app_name: str = "loanloom", master: str | None = None, **conf:
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), str(value))
     return builder.getOrCreate()
+
+
+def together(spark: SparkSession, *calls: Callable[[], _Result]) -> list[_Result]:
+    """Results of calls that run jobs independent of one another, so that one's tail does not leave the cluster idle."""
+    with ThreadPoolExecutor(max(1, len(calls))) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(call)) for call in calls]
+        return [s.result() for s in started]
