@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loanloom.catalog.registry import query, r4, rounded, sql_r4, sql_rounded
 from loanloom.operators import model, selection
 from loanloom.operators.clean import finite_matrix
-from loanloom.operators.split import stratified_split
+from loanloom.operators.split import stratified_folds, stratified_split
 
 _HASH = "(SK_ID_CURR * 2654435761) % 1000003"
 _SPLIT_SQL = f"""SELECT SK_ID_CURR, CAST(TARGET AS BIGINT) AS TARGET, CASE WHEN place <= round(n * 0.8e0) THEN 'train' ELSE 'cv' END AS side
@@ -23,6 +23,21 @@ def _(t):
     return train.withColumn("side", F.lit("train")).unionByName(cv.withColumn("side", F.lit("cv")))
 
 
+FOLDS = 10
+
+
+@query(
+    "m7_folds",
+    f"""WITH ranked AS (SELECT SK_ID_CURR, TARGET, row_number() OVER (PARTITION BY TARGET ORDER BY {_HASH}, SK_ID_CURR) AS r,
+          count(*) OVER (PARTITION BY TARGET) AS n FROM {{application}})
+        SELECT SK_ID_CURR, CAST(TARGET AS BIGINT) AS TARGET,
+          CAST(len(list_filter(range(1, {FOLDS}), lambda i: r > n * i // {FOLDS})) AS INT) AS fold FROM ranked""",
+)
+def _(t):
+    rows = t.application.select("SK_ID_CURR", F.col("TARGET").cast("long").alias("TARGET"))
+    return stratified_folds(rows, "TARGET", "SK_ID_CURR", FOLDS, order=F.expr(_HASH), order_max=1_000_003)
+
+
 FEATURES = [
     "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE", "DAYS_BIRTH", "DAYS_EMPLOYED", "DAYS_REGISTRATION",
     "OWN_CAR_AGE", "EXT_SOURCE_1", "EXT_SOURCE_2", "CNT_CHILDREN", "FLAG_EMAIL", "FLAG_EMP_PHONE",

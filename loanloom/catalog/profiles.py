@@ -401,6 +401,15 @@ def _(t):
     return duplicates.expand_copies(duplicates.duplicate_rows(t.table("events").select("user_id", "event_type")))
 
 
+@query(
+    "d1_copied_documents",
+    """SELECT text, lang, source, n_chars FROM (SELECT text, lang, source, n_chars,
+       row_number() OVER (PARTITION BY text, lang, source, n_chars ORDER BY doc_id) AS rn FROM documents) d WHERE rn > 1""",
+)
+def _(t):
+    return duplicates.expand_copies(duplicates.duplicate_rows(t.table("documents").drop("doc_id")))
+
+
 @query(
     "d2_dup_keys",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER

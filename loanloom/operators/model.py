@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loanloom.functions.expr import safe_div
 from loanloom.operators.clean import finite_matrix
-from loanloom.operators.split import with_fold
+from loanloom.operators.split import stratified_folds
 
 
 def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -158,7 +158,7 @@ def cross_validate(
     estimator: Estimator, df: DataFrame, label: str, key: str, folds: int = 3, seed: int = 0
 ) -> DataFrame:
     """M7: ROC-AUC, accuracy and F1 of every fold."""
-    data = with_fold(df, key, folds, seed).persist()
+    data = stratified_folds(df, label, key, folds, seed).persist()
     rows = []
     try:
         for i in range(folds):
@@ -182,7 +182,7 @@ def cross_validate_vote(
     estimators: Mapping[str, Estimator], df: DataFrame, label: str, key: str, folds: int = 3, seed: int = 0
 ) -> DataFrame:
     """M7: ROC-AUC, accuracy and F1 of the soft vote of several models in every fold."""
-    data = with_fold(df, key, folds, seed).persist()
+    data = stratified_folds(df, label, key, folds, seed).persist()
     rows = []
     try:
         for i in range(folds):
@@ -215,7 +215,7 @@ def grid_search(
         foldCol="fold",
         parallelism=parallelism,
     )
-    fitted = search.fit(with_fold(df, key, folds, seed))
+    fitted = search.fit(stratified_folds(df, label, key, folds, seed))
     rows = [
         (i, ", ".join(f"{p.name}={v}" for p, v in sorted(g.items(), key=lambda x: x[0].name)), float(a))
         for i, (g, a) in enumerate(zip(grid, fitted.avgMetrics, strict=True))
@@ -266,7 +266,7 @@ def validation_curve(
     seed: int = 0,
 ) -> DataFrame:
     """Mean ROC-AUC on the training and the held-out folds per parameter value."""
-    data = with_fold(df, key, folds, seed).persist()
+    data = stratified_folds(df, label, key, folds, seed).persist()
     rows = []
     try:
         for value in values:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loanloom.operators import attach, duplicates, encode, lookup, quantiles
 from loanloom.operators.recency import DAY_SLICES, MONTH_SLICES
-from loanloom.operators.split import stratified_split
+from loanloom.operators.split import stratified_folds, stratified_split
 from loanloom.plans import bureau, card, instalments, pos, previous
 from loanloom.plans.roles import CARD_SLICES, POS_TIE_BREAK, Roles
 
@@ -195,3 +195,37 @@ def test_split_of_a_dominant_label(spark):
     train, cv = stratified_split(df, "y", "id", 0.2, seed=1)
     assert {r.y: r["count"] for r in train.groupBy("y").count().collect()} == {0: 23520, 1: 480}
     assert cv.count() == 6000
+
+
+@pytest.mark.parametrize("max_prints", [0, 50_000])
+def test_only_repeated_rows_move(spark, rows, max_prints):
+    """Whole rows and keys, with missing fields in different places, whether the repeated prints are a short list or not."""
+    values = [(1, None, "a"), (None, 1, "a"), (1, None, "a"), (2, 2, "b"), (2, 2, "c"), (3, 3, "d"), (0, 0, "e")]
+    df = spark.createDataFrame(values, "k int, l int, v string").repartition(3)
+    whole = duplicates.duplicate_rows(df, max_prints)
+    assert rows(duplicates.expand_copies(whole)) == [(1, None, "a")]
+    want = [(1, None, "a"), (2, 2, "c")]
+    assert rows(duplicates.duplicate_keys(df, ["k", "l"], ["v"], max_prints=max_prints)) == want
+    assert rows(duplicates.duplicate_keys(df, ["k", "l"], ["v"], min_hot_rows=2, max_prints=max_prints)) == want
+    assert duplicates.duplicate_keys(df.limit(0), ["k", "l"], ["v"], max_prints=max_prints).count() == 0
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert ("LeftSemi" in plan) == (max_prints > 0)
+
+
+def test_folds_are_exact_within_labels(spark):
+    data = [(i, i % 10 == 0, None) for i in range(1003)] + [(5000 + i, None, None) for i in range(7)]
+    df = spark.createDataFrame(data, "id long, y boolean, z int").repartition(5)
+    for folds, order in ((3, None), (10, None), (4, F.lit(1).cast("long")), (2, F.col("id") % 2)):
+        extra = {} if order is None else {"order": order, "order_max": 2}
+        got = stratified_folds(df, "y", "id", folds, **extra)
+        assert got.columns == ["id", "y", "z", "fold"]
+        sizes = {}
+        for r in got.groupBy("y", "fold").count().collect():
+            sizes.setdefault(r["y"], []).append(r["count"])
+        assert set(sizes) == {True, False} and all(len(s) == folds and max(s) - min(s) <= 1 for s in sizes.values())
+        assert got.count() == 1003
+    few = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "id long, y int")
+    found = stratified_folds(few, "y", "id", 5).collect()
+    assert len(found) == 3 and len({r.fold for r in found if r.y == 0}) == 2 and all(0 <= r.fold < 5 for r in found)
+    again = stratified_folds(few.repartition(3), "y", "id", 5).collect()
+    assert sorted(found) == sorted(again) and stratified_folds(few.limit(0), "y", "id", 5).collect() == []
