@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.functions.aggspec import AggSpec
+from loanloom.functions.aggspec import AggSpec, Mergeable
 from loanloom.operators.lookup import hot_keys
 
 DAY_SLICES = {
@@ -37,6 +37,7 @@ class Block:
     aggregate: Callable[[DataFrame, list[str]], DataFrame]
     measures: Callable[[str | None, str], list[Column]] | None = None
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df
+    mergeable: Callable[[], Mergeable] | None = None
 
     @classmethod
     def of(
@@ -59,7 +60,16 @@ class Block:
                 columns.append(size.alias(f"{count_as}{suffix}"))
             return columns
 
-        return cls(lambda df, by: df.groupBy(*by).agg(*measures()), measures, prepare)
+        def mergeable() -> Mergeable:
+            parts = Mergeable()
+            spec.take_apart(parts, prefix)
+            for seg_prefix, (seg_spec, condition) in (segments or {}).items():
+                seg_spec.take_apart(parts, seg_prefix, condition)
+            if count_as:
+                parts.add(count_as, "size", "1", None)
+            return parts
+
+        return cls(lambda df, by: df.groupBy(*by).agg(*measures()), measures, prepare, mergeable)
 
 
 def _in_slice(offset: str | None, bound: int | None) -> str:
@@ -78,7 +88,8 @@ def recency_features(
     """Features per key, each column repeated per slice with the slice's suffix.
 
     ``slices`` maps a suffix to a bound N (``offset >= -N``) or ``None`` for all
-    rows. ``strategy``: ``tagged`` (one shuffle, wide blocks), ``one_pass``
+    rows. ``strategy``: ``tagged`` (one shuffle, wide blocks), ``bands`` (one shuffle, every row aggregated
+    once, for blocks whose aggregates merge and keys with many rows), ``one_pass``
     (conditional aggregates, narrow blocks) or ``naive`` (filter, aggregate and
     join per slice; the yardstick for tests).
     """
@@ -88,6 +99,8 @@ def recency_features(
         detail = detail.where(_in_slice(offset, max(slices.values())))
     if strategy == "tagged":
         return _tagged(detail, key, offset, slices, block, hot)
+    if strategy == "bands":
+        return _banded(detail, key, offset, slices, block, hot)
     if strategy == "one_pass":
         return _one_pass(detail, key, offset, slices, block)
     if strategy == "naive":
@@ -95,6 +108,63 @@ def recency_features(
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
+def _side_by_side(long: DataFrame, key: str, slices: Mapping[str, int | None]) -> DataFrame:
+    """Rows per key and ``_slice`` to one row per key with the columns of every slice."""
+    features = [c for c in long.columns if c not in (key, "_slice")]
+    # At most one entry per slice; a slice the key has no rows in is absent, hence NULL.
+    packed = f"struct({', '.join(f'`{f}`' for f in features)})"
+    wide = long.groupBy(key).agg(
+        F.expr(f"map_from_entries(collect_list(struct(_slice, {packed}))) AS _slices")
+    )
+    wide = wide.selectExpr(f"`{key}`", *[f"_slices[{i}] AS _s{i}" for i in range(len(slices))])
+    return wide.selectExpr(
+        f"`{key}`", *[f"_s{i}.`{f}` AS `{f}{s}`" for i, s in enumerate(slices) for f in features]
+    )
+
+
+# Tasks that share the rows of a hot key.
+SALTS = 64
+
+
+def _banded(detail, key, offset, slices, block, hot):
+    """Every row belongs to one band, the youngest slice it is in, and is aggregated there once, into states that merge.
+
+    A slice is the sum of its band and all younger ones. Rows of hot keys are dealt over ``SALTS`` tasks in the same
+    exchange as all others; their states, few per key, are merged in a second, small one. Both halves read the same
+    shuffled rows, so the table is read and shipped once.
+    """
+    if block.mergeable is None:
+        raise ValueError("bands need a block whose aggregates merge")
+    parts, hot = block.mergeable(), hot_keys(detail, key) if hot is None else list(hot)
+    young_first = sorted(slices, key=lambda s: float("inf") if slices[s] is None else slices[s])
+    tests = [f"WHEN {_in_slice(offset, slices[s])} THEN {i}" for i, s in enumerate(young_first)]
+    numbers = {s: i for i, s in enumerate(slices)}
+    members = ", ".join(f"named_struct('band', {i}, 'slice', {numbers[s]})" for i, s in enumerate(young_first))
+
+    def merged(states: DataFrame, by: str) -> DataFrame:
+        wider = f"filter(array({members}), m -> m.band >= _band).slice"
+        each = states.withColumn("_slice", F.explode(F.expr(wider)))
+        long = each.groupBy(by, "_slice").agg(*[F.expr(f"{m} AS `{n}`") for n, m in parts.merges.items()])
+        long = long.selectExpr(f"`{by}`", "_slice", *[f"{f} AS `{n}`" for n, f in parts.finals.items()])
+        return _side_by_side(long, by, slices)
+
+    def banded(rows: DataFrame, by: str) -> DataFrame:
+        rows = block.prepare(rows).withColumn("_band", F.expr(f"CASE {' '.join(tests)} END"))
+        return rows.groupBy(by, "_band").agg(*[F.expr(f"{r} AS `{n}`") for n, r in parts.rows.items()])
+
+    if not hot:
+        return merged(banded(detail.repartition(key), key), key)
+    # All rows of a key lie in one place, but those of a hot key in ``SALTS`` places.
+    salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*detail.columns), F.lit(SALTS))).otherwise(0)
+    placed = detail.withColumn("_place", F.struct(F.col(key).alias("key"), salt.alias("salt")))
+    states = banded(placed.repartition("_place"), "_place")
+    # Adding zero in a way that is no constant keeps Spark from moving the test below the exchange, which would make it two.
+    is_hot = F.col("_place.key").isin(hot).cast("int") + F.floor(F.rand(0))
+    cold = merged(states.where(is_hot == 0), "_place")
+    cold = cold.select(F.col("_place.key").alias(key), *[c for c in cold.columns if c != "_place"])
+    return cold.unionByName(merged(states.where(is_hot == 1).withColumn(key, F.col("_place.key")), key))
+
+
 def _tagged(detail, key, offset, slices, block, hot):
     hot = hot_keys(detail, key) if hot is None else list(hot)
 
@@ -104,17 +174,7 @@ def _tagged(detail, key, offset, slices, block, hot):
             f"CASE WHEN {_in_slice(offset, bound)} THEN {i} END" for i, bound in enumerate(slices.values())
         )
         tagged = rows.withColumn("_slice", F.expr(f"explode(array_compact(array({marks})))"))
-        long = block.aggregate(tagged, [key, "_slice"])
-        features = [c for c in long.columns if c not in (key, "_slice")]
-        # At most one entry per slice; a slice the key has no rows in is absent, hence NULL.
-        packed = f"struct({', '.join(f'`{f}`' for f in features)})"
-        wide = long.groupBy(key).agg(
-            F.expr(f"map_from_entries(collect_list(struct(_slice, {packed}))) AS _slices")
-        )
-        wide = wide.selectExpr(f"`{key}`", *[f"_slices[{i}] AS _s{i}" for i in range(len(slices))])
-        return wide.selectExpr(
-            f"`{key}`", *[f"_s{i}.`{f}` AS `{f}{s}`" for i, s in enumerate(slices) for f in features]
-        )
+        return _side_by_side(block.aggregate(tagged, [key, "_slice"]), key, slices)
 
     if not hot:
         return rolled(detail.repartition(key))

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loanloom.functions import AggSpec
 from loanloom.operators import attach, duplicates, encode, lookup, quantiles
-from loanloom.operators.recency import DAY_SLICES, MONTH_SLICES
+from loanloom.operators.recency import DAY_SLICES, MONTH_SLICES, Block, recency_features
 from loanloom.operators.split import stratified_folds, stratified_split
 from loanloom.plans import bureau, card, instalments, pos, previous
 from loanloom.plans.roles import CARD_SLICES, POS_TIE_BREAK, Roles
@@ -49,15 +50,18 @@ def test_strategies_agree(roles, name):
     assert cut(build(roles, hot=list(range(0, 150, 2)))) == want
     if name in ("previous", "card"):
         assert cut(build(roles, strategy="one_pass")) == want
+        assert cut(build(roles, strategy="bands", hot=[])) == want
+        assert cut(build(roles, strategy="bands", hot=list(range(0, 150, 2)))) == want
     else:
-        with pytest.raises(ValueError):
-            build(roles, strategy="one_pass")
+        for strategy in ("one_pass", "bands"):
+            with pytest.raises(ValueError):
+                build(roles, strategy=strategy)
 
 
 def test_old_rows_are_filtered_before_the_shuffle(roles):
     slices = {"_half_year": 14, "_month": 3}
     wants = cut(card.card_recency(roles.card, slices=slices, strategy="naive"))
-    for strategy in ("tagged", "one_pass"):
+    for strategy in ("tagged", "one_pass", "bands"):
         out = card.card_recency(roles.card, slices=slices, strategy=strategy, hot=[])
         assert cut(out) == wants
         scan = plan_of(out).split("Exchange hashpartitioning")[-1]
@@ -229,3 +233,27 @@ def test_folds_are_exact_within_labels(spark):
     assert len(found) == 3 and len({r.fold for r in found if r.y == 0}) == 2 and all(0 <= r.fold < 5 for r in found)
     again = stratified_folds(few.repartition(3), "y", "id", 5).collect()
     assert sorted(found) == sorted(again) and stratified_folds(few.limit(0), "y", "id", 5).collect() == []
+
+
+def test_bands_read_a_table_with_hot_keys_once(spark, tmp_path):
+    """A key with a third of the rows, its variance over many tasks, missing offsets and a segment without rows."""
+    data = [(7 if i % 3 else i, float(i % 11) + 1e5, -(i % 500) if i % 17 else None, "x" if i % 2 else None, i) for i in range(6000)]
+    spark.createDataFrame(data, "k int, v double, age int, s string, unread int").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t")).drop("unread")
+    spec = AggSpec({"v": ["min", "max", "mean", "sum", "var", "count", "size"]})
+    block = Block.of(spec, prefix="A_", segments={"X_": (spec, "s = 'x'"), "N_": (spec, "s = 'none'")}, count_as="N")
+    built = {
+        (s, len(h)): recency_features(df, "k", "age", DAY_SLICES, block, s, h)
+        for s, h in (("naive", []), ("bands", []), ("bands", [7]), ("bands", [7, 3, 6]))
+    }
+    want = cut(built["naive", 0])
+    assert all(cut(b) == want for b in built.values())
+    hot = built["bands", 1]
+    hot.collect()
+    plan = plan_of(hot)
+    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final and "unread" not in final
+    # The halves share the one exchange of the rows; only the few states of hot keys are shuffled again.
+    assert final.count("- Exchange hashpartitioning(_place") == 1
+    with pytest.raises(ValueError, match="does not merge"):
+        recency_features(df, "k", "age", DAY_SLICES, Block.of(AggSpec({"v": ["nunique"]})), "bands", [])
