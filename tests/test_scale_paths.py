@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from loanloom.functions import AggSpec
-from loanloom.operators import attach, duplicates, encode, lookup, quantiles
+from loanloom.operators import attach, correlation, duplicates, encode, lookup, quantiles
 from loanloom.operators.recency import DAY_SLICES, MONTH_SLICES, Block, recency_features
 from loanloom.operators.split import stratified_folds, stratified_split
-from loanloom.plans import bureau, card, instalments, pos, previous
+from loanloom.plans import bureau, card, instalments, matrix, pos, previous
 from loanloom.plans.roles import CARD_SLICES, POS_TIE_BREAK, Roles
 
 FOLDER = "/root/testdata/sf0.001"
@@ -257,3 +257,71 @@ def test_bands_read_a_table_with_hot_keys_once(spark, tmp_path):
     assert final.count("- Exchange hashpartitioning(_place") == 1
     with pytest.raises(ValueError, match="does not merge"):
         recency_features(df, "k", "age", DAY_SLICES, Block.of(AggSpec({"v": ["nunique"]})), "bands", [])
+
+
+def _pairwise(frame):
+    """Correlations by pandas, undefined where a column has one value on the shared rows."""
+    want = frame.corr().to_numpy()
+    seen = frame.notna().to_numpy()
+    for i in range(frame.shape[1]):
+        for j in range(i):
+            both = seen[:, i] & seen[:, j]
+            if any(frame.iloc[both, c].nunique() < 2 for c in (i, j)):
+                want[i, j] = want[j, i] = np.nan
+    return want
+
+
+@pytest.mark.parametrize("sum_bytes", [48 * 9, 48 * 64])
+def test_correlation_in_tiles(spark, monkeypatch, sum_bytes):
+    """Any tile width and any step give the correlations of plain pairs; hardly varying, constant and empty columns too."""
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 11))
+    x[:, 1] = 2 * x[:, 0] + 0.1 * x[:, 1]
+    x[:, 2] += 1e9
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:, 7], x[:, 8] = 4.25, np.nan
+    x[:, 9] = np.where(np.isnan(x[:, 3]), x[:, 9], 0.1)  # constant wherever column 3 is known
+    x[5, 10] = np.inf
+    frame = pd.DataFrame(x, columns=[f"c{i}" for i in range(11)])
+    monkeypatch.setattr(correlation, "_STEP_BYTES", 700)
+    monkeypatch.setattr(correlation, "_AGAIN", 3)
+    df = spark.createDataFrame(frame).repartition(5)
+    found = correlation.correlations(df, sum_bytes=sum_bytes).collect()
+    assert len(found) == len({(r.col_a, r.col_b) for r in found}) == 55
+    want = _pairwise(frame.replace(np.inf, np.nan).assign(c2=frame.c2 - 1e9))
+    for r in found:
+        a, b = int(r.col_a[1:]), int(r.col_b[1:])
+        assert a < b
+        if np.isnan(want[a, b]):
+            assert r.r is None, (a, b)
+        else:
+            assert r.r == pytest.approx(want[a, b], abs=1e-9)
+
+
+def test_correlation_of_the_wide_matrix(spark, roles, tmp_path):
+    """Every numeric column of the matrix, in tiles whose sums stay within a bound, against numpy on the same rows."""
+    path = str(tmp_path / "matrix")
+    sources = matrix.Sources(roles.bureau, roles.bureau_balance, roles.previous, roles.pos, roles.instalments, roles.card)
+    train, _ = matrix.train_matrix(roles.application, matrix.side_blocks(sources))
+    train.write.parquet(path)
+    stored = spark.read.parquet(path)
+    columns = correlation.numeric_columns(stored)
+    assert len(columns) > 1000
+    bound = 8 << 20
+    found = correlation.correlations(stored, columns, sum_bytes=bound).toPandas()
+    assert len(found) == len(columns) * (len(columns) - 1) // 2
+    x = stored.select(*columns).toPandas().astype(float)
+    place = {c: i for i, c in enumerate(columns)}
+    a, b = found.col_a.map(place).to_numpy(), found.col_b.map(place).to_numpy()
+    assert (a < b).all() and len(set(zip(a, b))) == len(found)
+    full = [c for c in columns if x[c].notna().all() and x[c].nunique() > 1 and np.isfinite(x[c]).all()]
+    want = np.corrcoef(x[full].to_numpy().T)
+    got = np.full((len(columns), len(columns)), np.nan)
+    got[a, b] = found.r.to_numpy(dtype=float)
+    places = [place[c] for c in full]
+    upper = np.triu_indices(len(full), 1)
+    np.testing.assert_allclose(got[np.ix_(places, places)][upper], want[upper], atol=1e-8)
+    values = np.abs(got[~np.isnan(got)])
+    assert values.max() <= 1 + 1e-9
