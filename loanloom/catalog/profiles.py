@@ -9,9 +9,13 @@ from loanloom.catalog.registry import query, r4, rounded, sql_r4, sql_rounded
 from loanloom.operators import correlation, duplicates, outliers, profile
 from loanloom.operators.encode import sorted_codes
 
+# All columns of the bureau table.
 _PROFILED = {
-    "SK_ID_BUREAU": "bigint", "CREDIT_TYPE": "string", "DAYS_CREDIT": "int", "DAYS_ENDDATE_FACT": "double",
-    "AMT_CREDIT_SUM": "double", "AMT_CREDIT_MAX_OVERDUE": "double",
+    "SK_ID_BUREAU": "bigint", "SK_ID_CURR": "bigint", "CREDIT_ACTIVE": "string", "CREDIT_TYPE": "string",
+    "DAYS_CREDIT": "int", "DAYS_CREDIT_ENDDATE": "double", "DAYS_ENDDATE_FACT": "double", "DAYS_CREDIT_UPDATE": "int",
+    "CREDIT_DAY_OVERDUE": "int", "CNT_CREDIT_PROLONG": "int", "AMT_CREDIT_SUM": "double", "AMT_CREDIT_SUM_DEBT": "double",
+    "AMT_CREDIT_SUM_LIMIT": "double", "AMT_CREDIT_SUM_OVERDUE": "double", "AMT_CREDIT_MAX_OVERDUE": "double",
+    "AMT_ANNUITY": "double",
 }
 _NUMBERS = [c for c, k in _PROFILED.items() if k != "string"]
 
@@ -36,7 +40,7 @@ def _null_quantiles(probs: list[float]) -> str:
     ),
 )
 def _(t):
-    return rounded(profile.check_table(t.bureau.select(*_PROFILED)), ["column", "dtype", "n_miss"])
+    return rounded(profile.check_table(t.bureau), ["column", "dtype", "n_miss"])
 
 
 _TWO = ("CREDIT_ACTIVE", "CREDIT_TYPE")
@@ -73,7 +77,7 @@ def _(t):
 
 @query("p17_describe", sql_describe(_NUMBERS, "{bureau}", [0.25, 0.5, 0.75]))
 def _(t):
-    return rounded(profile.describe_numeric(t.bureau.select(*_NUMBERS)), ["column", "count"])
+    return rounded(profile.describe_numeric(t.bureau), ["column", "count"])
 
 
 _KINDS = {
@@ -153,43 +157,38 @@ def _(t):
     return rounded(kept, ["SK_ID_CURR"])
 
 
-_CONSTANT_ROWS = "(SELECT o_orderstatus, o_totalprice, 1 AS one, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE 'x' END AS x FROM orders)"
+_ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+_CONSTANT_ROWS = "(SELECT *, 1 AS one, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE 'x' END AS x FROM orders)"
 
 
 @query(
     "p9_constant_columns",
     "SELECT c AS \"column\" FROM (" + " UNION ALL ".join(
-        f"SELECT '{c}' AS c, count(DISTINCT {c}) AS n FROM {_CONSTANT_ROWS} r" for c in ("o_orderstatus", "o_totalprice", "one", "x")
+        f"SELECT '{c}' AS c, count(DISTINCT {c}) AS n FROM {_CONSTANT_ROWS} r" for c in (*_ORDERS, "one", "x")
     ) + ") u WHERE n < 2",
 )
 def _(t):
-    rows = t.table("orders").select(
-        "o_orderstatus", "o_totalprice", F.lit(1).alias("one"), F.when(F.col("o_orderkey") % 50 != 0, "x").alias("x")
-    )
+    rows = t.table("orders").withColumns({"one": F.lit(1), "x": F.when(F.col("o_orderkey") % 50 != 0, "x")})
     return t.spark.createDataFrame([(n,) for n in profile.constant_columns(rows)], "column string")
 
 
-_NEAR = ("CNT_CREDIT_PROLONG", "CREDIT_DAY_OVERDUE", "CREDIT_TYPE", "AMT_CREDIT_SUM")
-
-
 @query(
     "p10_near_constants",
     "SELECT \"column\", top_value, n, ratio FROM (" + " UNION ALL ".join(
         f"""(SELECT '{c}' AS "column", CAST({c} AS STRING) AS top_value, CAST(count(*) AS BIGINT) AS n,
             {sql_r4("count(*) * 1e0 / (SELECT count(*) FROM {bureau})")} AS ratio
             FROM {{bureau}} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC LIMIT 1)"""
-        for c in _NEAR
+        for c in _PROFILED
     ) + ") u WHERE ratio >= 0.9",
 )
 def _(t):
-    return profile.near_constants(t.bureau.select(*_NEAR), 0.9).withColumn("ratio", r4("ratio"))
+    return profile.near_constants(t.bureau, 0.9).withColumn("ratio", r4("ratio"))
 
 
-_MISSING = ("CREDIT_TYPE", "CREDIT_ACTIVE", "DAYS_ENDDATE_FACT", "AMT_CREDIT_SUM", "AMT_CREDIT_SUM_LIMIT", "AMT_CREDIT_MAX_OVERDUE", "DAYS_CREDIT")
 _MISSING_SQL = "SELECT * FROM (" + " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", '{"string" if c.startswith("CREDIT_") else "int" if c == "DAYS_CREDIT" else "double"}' AS dtype,
+    f"""SELECT '{c}' AS "column", '{kind}' AS dtype,
         CAST(count(*) - count({c}) AS BIGINT) AS n_miss, round((count(*) - count({c})) * 1e0 / count(*) * 100, 2) AS ratio FROM {{bureau}}"""
-    for c in _MISSING
+    for c, kind in _PROFILED.items()
 ) + ") m WHERE n_miss > 0"
 
 
@@ -218,12 +217,12 @@ def _(t):
 
 @query("p11_missing_table", _MISSING_SQL)
 def _(t):
-    return profile.missing_values_table(t.bureau.select(*_MISSING))
+    return profile.missing_values_table(t.bureau)
 
 
 @query("p12_missing_short", f"SELECT * EXCLUDE (dtype) FROM ({_MISSING_SQL}) s")
 def _(t):
-    return profile.missing_values_table(t.bureau.select(*_MISSING), with_dtype=False)
+    return profile.missing_values_table(t.bureau, with_dtype=False)
 
 
 @query("p13_mostly_missing", "SELECT SK_ID_BUREAU, AMT_CREDIT_MAX_OVERDUE FROM {bureau}")
@@ -434,7 +433,7 @@ def _(t):
 
 @query("t2_sort_missing", _MISSING_SQL + " ORDER BY n_miss DESC, \"column\"")
 def _(t):
-    return profile.missing_values_table(t.bureau.select(*_MISSING))
+    return profile.missing_values_table(t.bureau)
 
 
 @query(

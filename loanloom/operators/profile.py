@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from loanloom.functions.expr import is_missing
 from loanloom.operators.encode import missing_flags
 from loanloom.operators.quantiles import column_quantiles, long_values
+from loanloom.operators.table_profile import NUMERIC, TableProfile
 
-NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 CHECK_PROBS = [0.0, 0.05, 0.5, 0.95, 0.99, 1.0]
 SUMMARY_PROBS = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99]
 
@@ -90,7 +90,9 @@ def missing_vs_target(df: DataFrame, target: str, na_columns: Sequence[str]) ->
 
 
 def check_table(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Per column its type, missing count and, for numbers, six quantiles."""
+    """Per column its type, missing count and, for numbers, six quantiles; NaN is missing."""
+    if not approx:
+        return TableProfile(df).check(CHECK_PROBS)
     quantiles = column_quantiles(df, numeric_columns(df), CHECK_PROBS, approx)
     quantiles = quantiles.select(
         "column", *[F.element_at("q", i + 1).alias(quantile_name(p)) for i, p in enumerate(CHECK_PROBS)]
@@ -104,8 +106,10 @@ def describe_numeric(
     probs: Sequence[float] = (0.25, 0.5, 0.75),
     approx: bool = False,
 ) -> DataFrame:
-    """Count, mean, std, min, quantiles, max, with columns as rows."""
+    """Count, mean, std, min, quantiles, max, with columns as rows; NaN is missing."""
     columns = list(columns or numeric_columns(df))
+    if not approx:
+        return TableProfile(df, columns).describe(probs)
     moments = long_values(df, columns).groupBy("column").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loanloom.functions import AggSpec
 from loanloom.operators import attach, correlation, duplicates, encode, lookup, quantiles
+from loanloom.operators import table_profile
 from loanloom.operators.recency import DAY_SLICES, MONTH_SLICES, Block, recency_features
 from loanloom.operators.split import stratified_folds, stratified_split
 from loanloom.plans import bureau, card, instalments, matrix, pos, previous
@@ -325,3 +326,53 @@ def test_correlation_of_the_wide_matrix(spark, roles, tmp_path):
     np.testing.assert_allclose(got[np.ix_(places, places)][upper], want[upper], atol=1e-8)
     values = np.abs(got[~np.isnan(got)])
     assert values.max() <= 1 + 1e-9
+
+
+@pytest.mark.parametrize("ranked", [1, 40, 5_000_000])
+def test_quantiles_of_a_whole_table(spark, monkeypatch, ranked):
+    """Narrow sketches and brackets that must be cut again give numpy's quantiles of every column."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    n = 20_000
+    frame = pd.DataFrame(
+        {
+            "normal": rng.normal(size=n) * 1e6,
+            "ties": rng.integers(0, 3, n).astype(float),
+            "spike": np.where(rng.random(n) < 0.97, 7.0, rng.random(n)),
+            "gaps": np.where(rng.random(n) < 0.4, np.nan, rng.exponential(size=n)),
+            "single": 5.0,
+            "few": [1.5, 2.5, 9.0, 9.5] + [np.nan] * (n - 4),
+            "none": np.full(n, np.nan),
+        }
+    )
+    df = spark.createDataFrame(frame).repartition(6).withColumns({"text": F.lit("a"), "whole": F.col("ties").cast("int")})
+    monkeypatch.setattr(table_profile, "_LEAST_SIZE", 64)
+    made = table_profile.TableProfile(df, size=64)
+    probs = [0.0, 0.05, 0.5, 0.95, 0.99, 1.0]
+    found = made.quantiles(probs, ranked)
+    frame["whole"] = frame["ties"]
+    assert list(found) == list(frame)
+    for c in frame:
+        values = frame[c].dropna()
+        want = [None] * len(probs) if values.empty else [pytest.approx(float(np.quantile(values, p)), rel=1e-12) for p in probs]
+        assert found[c] == want, c
+    assert made.constants() == ["single", "none", "text"] and made.shape == (n, 9)
+    assert [tuple(r) for r in made.missing().collect()][:2] == [
+        ("none", "double", n, 100.0), ("few", "double", n - 4, 99.98)
+    ]
+
+
+def test_profile_mends_brackets_and_empty_tables(spark, monkeypatch):
+    """Brackets that miss their ranks are widened; infinities and a table without rows have a profile."""
+    df = spark.range(5_000).selectExpr("cast(id * 7919 % 5000 as double) AS v", "if(id = 3, double('Infinity'), id) AS w", "'x' AS `a.b`")
+    wrong = {(c, j): table_profile._Bracket(4_998.5, 4_998.6, 1) for c in "vw" for j in range(2)}
+    monkeypatch.setattr(table_profile.TableProfile, "_first_brackets", lambda *a: dict(wrong))
+    for ranked in (10, 10**6):
+        assert table_profile.TableProfile(df).quantiles([0.25, 0.5], ranked) == {"v": [1249.75, 2499.5], "w": [1250.75, 2500.5]}
+    monkeypatch.undo()
+    assert table_profile.TableProfile(df).quantiles([0.0, 1.0]) == {"v": [0.0, 4999.0], "w": [0.0, float("inf")]}
+    empty = table_profile.TableProfile(df.limit(0))
+    assert empty.shape == (0, 3) and empty.constants() == ["v", "w", "a.b"] and empty.missing().count() == 0
+    assert [tuple(r) for r in empty.check([0.5]).collect()] == [("v", "double", 0, None), ("w", "double", 0, None), ("a.b", "string", 0, None)]
+    assert empty.describe([0.5]).first()["count"] == 0
