@@ -3,6 +3,7 @@
 from loanloom.catalog.registry import REGISTRY, Query
 from loanloom.catalog import (  # noqa: F401  (modules register their queries)
     aggregates,
+    binned_models,
     blocks,
     cleaning,
     learning,
