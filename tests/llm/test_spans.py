@@ -81,7 +81,9 @@ def test_reliabilities_and_classifier():
     seen = pii.unpack(patterns)
     posterior, table = pii.expectation_maximisation(seen, counts.astype(float))
     assert np.abs(table[1][:, pii.FOR] - right).max() < 0.05
-    probability = dict(zip(patterns, pii.train_classifier(seen, posterior, counts.astype(float))))
+    active = [[3 * j + int(v) for j, v in enumerate(row)] for row in seen]
+    weights = pii.train_classifier(active, posterior, counts.astype(float))
+    probability = dict(zip(patterns, pii.span_probability(weights, active)))
     guess = np.array([probability[p] > 0.5 for p in packed])
     assert (guess == truth).mean() > 0.95
 
@@ -100,6 +102,36 @@ def test_added_spans_and_masking(spark, odd_docs, no_docs):
     assert empty.probability == {} and no_docs.select(pii.span_column(F.col("text"), empty)).collect() == []
 
 
+def test_classifier_tells_spans_of_equal_votes_apart():
+    """Votes say little here; the neighbouring word says all, also beside votes that were never seen together."""
+    def active(word, packed, number):
+        text = f"{word} 212-555-0{number} ok"
+        start = len(word) + 1
+        return pii.span_features(text, start, start + 12, packed)
+
+    told = [active(w, 0, 100 + i) for i in range(40) for w in ("call", "serial")]
+    weights = pii.train_classifier(told, np.array([0.95, 0.05] * 40), np.ones(80))
+    new = pii.span_probability(weights, [active("call", 2, 777), active("serial", 2, 778)])
+    assert new[0] > 0.5 > new[1]
+
+
+def test_survey_counts_all_spans_and_draws_alike(spark):
+    """Counts hold every span; the sample depends on neither the partitions nor copies."""
+    text = [f"call me {i} at 212-555-{1000 + i % 150} or +49 30 12345{i % 9}7" for i in range(400)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in text], "text string")
+    want = {}
+    for t in filter(None, text):
+        for k, s, e, _ in pii.candidates(t):
+            key = k * 3**pii.LABELERS + pii.votes(t, k, s, e)
+            want[key] = want.get(key, 0) + 1
+    one = list(pii._survey(iter([docs.coalesce(1).fillna("").toPandas()])))[0]
+    assert {r.pattern: r.n for r in one.itertuples() if r.n} == want
+    assert one[one.n == 0].groupby("pattern").size().max() <= pii.SAMPLE_SPANS
+    few, many = pii.fit_span_model(docs.coalesce(1)), pii.fit_span_model(docs.union(docs).repartition(7))
+    assert few.weights.keys() == many.weights.keys() == {3}
+    assert np.abs(few.weights[3] - many.weights[3]).max() < 0.05
+
+
 def test_op3_against_patterns(spark):
     rows = {r.doc_id: r for r in queries.QUERIES["op3_weak_supervision_pii"](spark, SF).collect()}
     for doc in pq.read_table(f"{SF}/documents.parquet").to_pylist():
