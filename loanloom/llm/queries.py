@@ -136,7 +136,9 @@ def op7_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and template matches in every whole document."""
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    told = F.transform("blocks", lambda b: F.concat_ws(":", b["label"], b["start"].cast("string"), b["end"].cast("string")))
+    return found.withColumn("blocks", F.array_join(told, ","))
 
 
 @query

@@ -197,11 +197,13 @@ def test_words():
 
 
 def all_blocks(words, template):
-    """Best containment over every block, without filters."""
-    best = 0
+    """Every block of the threshold, without filters."""
+    met = []
     for start in range(0, max(1, len(words)), template.step):
-        best = max(best, len(set(words[start : start + template.block]) & template.order.keys()))
-    return best / len(template.order) if best >= template.need else 0.0
+        held = len(set(words[start : start + template.block]) & template.order.keys())
+        if held >= template.need:
+            met.append((start, held))
+    return met
 
 
 def test_blocks_without_filters():
@@ -217,9 +219,9 @@ def test_blocks_without_filters():
         known = frozenset().union(*(t.order for t in prepared))
         places = [i for i, w in enumerate(words) if w in known]
         for template in prepared:
-            got = licenses.best_block(words, places, template)
-            assert got == pytest.approx(all_blocks(words, template))
-            hits += got > 0
+            got = licenses.met_blocks(words, places, template)
+            assert got == all_blocks(words, template)
+            hits += bool(got)
     assert hits > 200
 
 
@@ -236,6 +238,13 @@ def test_phrases_and_labels(spark, odd_docs, no_docs):
     assert (got[3].n_words, got[3].n_base) == (0, 0)
     assert (got[4].base_labels, got[4].labels) == ("", "cc-by-nc") and got[4].score >= licenses.THRESHOLD
     assert got[5].labels == "mit" and got[5].n_base == 0
+    assert [(b.label, b.start, b.end <= got[5].n_words) for b in got[5].blocks][0] == ("mit", 0, True) and got[2].blocks == []
+    whole = {i: "x " * 700 + t + " y" * 700 for i, (_, t) in enumerate(licenses.TEMPLATES)}
+    for r in licenses.scan_licenses(spark.createDataFrame(list(whole.items()), "doc_id long, text string")).collect():
+        label, text = licenses.TEMPLATES[r.doc_id]
+        # Some block holds the template from its first word to its last.
+        last = 700 + len(licenses.words_of(text))
+        assert label in r.labels.split(",") and any(b.label == label and b.start <= 700 and last <= b.end for b in r.blocks)
     assert licenses.scan_licenses(odd_docs).count() == 8 and licenses.scan_licenses(no_docs).collect() == []
 
 
