@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loanloom.catalog.learning import NUMBERS
 from loanloom.catalog.registry import query, r4, rounded, sql_r4
 from loanloom.operators import binned, model
 from loanloom.operators.binned import SplitSetting
 from loanloom.operators.split import stratified_folds
-from loanloom.plans import roles
 
 # The order of the split, which both engines compute alike.
 _ORDER = "(SK_ID_CURR * 2654435761) % 1000003"
 BINS = 32
-# Every numeric column of the applicants.
-NUMBERS = [c for c in roles.application(lambda *_: "") if c.startswith(("CNT_", "AMT_", "DAYS_", "OWN_", "EXT_", "FLAG_"))]
 GRID = [SplitSetting(i, s) for i in ("gini", "entropy") for s in (0.0, 0.01, 0.05, 0.2, 0.4)]
 SHARES = [0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5]
 

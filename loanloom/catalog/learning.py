@@ -9,6 +9,7 @@ from loanloom.catalog.registry import query, r4, rounded, sql_r4, sql_rounded
 from loanloom.operators import model, selection
 from loanloom.operators.clean import finite_matrix
 from loanloom.operators.split import stratified_folds, stratified_split
+from loanloom.plans import roles
 
 _HASH = "(SK_ID_CURR * 2654435761) % 1000003"
 _SPLIT_SQL = f"""SELECT SK_ID_CURR, CAST(TARGET AS BIGINT) AS TARGET, CASE WHEN place <= round(n * 0.8e0) THEN 'train' ELSE 'cv' END AS side
@@ -42,12 +43,15 @@ FEATURES = [
     "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE", "DAYS_BIRTH", "DAYS_EMPLOYED", "DAYS_REGISTRATION",
     "OWN_CAR_AGE", "EXT_SOURCE_1", "EXT_SOURCE_2", "CNT_CHILDREN", "FLAG_EMAIL", "FLAG_EMP_PHONE",
 ]
+# Every numeric column of the applicants.
+NUMBERS = [c for c in roles.application(lambda *_: "") if c.startswith(("CNT_", "AMT_", "DAYS_", "OWN_", "EXT_", "FLAG_"))]
+TOP = 20
 
 
 def _sql_anova(features: list[str]) -> str:
     """Between and within class mean squares from first principles."""
     return " UNION ALL ".join(
-        f"""SELECT '{f}' AS feature, (sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))) AS f_score
+        f"""SELECT '{f}' AS feature, (sum(n * (m - g) * (m - g)) / (count(*) - 1)) / nullif(sum(ss) / (sum(n) - count(*)), 0) AS f_score
             FROM (SELECT count(*) AS n, avg(coalesce({f}, 0)) AS m, sum((coalesce({f}, 0) - cm) * (coalesce({f}, 0) - cm)) AS ss, max(g) AS g
               FROM {{application}} a JOIN (SELECT TARGET AS ct, avg(coalesce({f}, 0)) AS cm FROM {{application}} GROUP BY TARGET) c ON TARGET = ct,
               (SELECT avg(coalesce({f}, 0)) AS g FROM {{application}}) o GROUP BY TARGET) p"""
@@ -55,17 +59,17 @@ def _sql_anova(features: list[str]) -> str:
     )
 
 
-@query("m2_anova_f", sql_rounded(_sql_anova(FEATURES), ["feature"]))
+@query("m2_anova_f", sql_rounded(_sql_anova(NUMBERS), ["feature"]))
 def _(t):
-    return rounded(selection.anova_f(t.application, FEATURES, "TARGET"), ["feature"])
+    return rounded(selection.anova_f(t.application, NUMBERS, "TARGET"), ["feature"])
 
 
 @query(
     "m2_anova_topk",
-    sql_rounded(f"SELECT * FROM ({_sql_anova(FEATURES)}) f ORDER BY f_score DESC, feature LIMIT 5", ["feature"]),
+    sql_rounded(f"SELECT * FROM ({_sql_anova(NUMBERS)}) f ORDER BY f_score DESC, feature LIMIT {TOP}", ["feature"]),
 )
 def _(t):
-    return rounded(selection.top_features(selection.anova_f(t.application, FEATURES, "TARGET"), 5), ["feature"])
+    return rounded(selection.top_features(selection.anova_f(t.application, NUMBERS, "TARGET"), TOP), ["feature"])
 
 
 _SCALED = ["AMT_CREDIT", "AMT_ANNUITY", "OWN_CAR_AGE"]
