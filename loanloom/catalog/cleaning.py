@@ -65,7 +65,7 @@ def _(t):
        nullif(AMT_CREDIT, (SELECT m FROM top)) AS AMT_CREDIT FROM {application}""",
 )
 def _(t):
-    cleaned = clean.null_sentinel(t.application, "DAYS_EMPLOYED", scope="all")
+    cleaned = clean.null_sentinel(t.application, "DAYS_EMPLOYED", scope="all", keys=["SK_ID_CURR"])
     return cleaned.select("SK_ID_CURR", F.col("DAYS_EMPLOYED").cast("long"), "AMT_CREDIT")
 
 

@@ -77,9 +77,16 @@ def null_max(
 
 
 def null_sentinel(
-    df: DataFrame, column: str, scope: str = "column", maxima: Mapping[str, object] | None = None
+    df: DataFrame,
+    column: str,
+    scope: str = "column",
+    maxima: Mapping[str, object] | None = None,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """C4: null the largest value of ``column``, there or in every numeric column (``all``)."""
+    """C4: null the largest value of ``column``, there or in every numeric column (``all``) but ``keys``.
+
+    A key may well be as large as the sentinel, and without it the row belongs to nobody.
+    """
     if scope == "column":
         return null_max(df, [column], maxima=maxima)
     if scope != "all":
@@ -87,7 +94,7 @@ def null_sentinel(
     top = (_maxima(df, {column: F.col(column)}) if maxima is None else maxima)[column]
     if top is None:
         return df
-    numeric = [c for c, t in df.dtypes if t in _NUMERIC]
+    numeric = [c for c, t in df.dtypes if t in _NUMERIC and c not in keys]
     hit = {c: F.col(c).cast("double") == float(top) for c in numeric}
     return df.withColumns({c: F.when(~h | h.isNull(), F.col(c)) for c, h in hit.items()})
 

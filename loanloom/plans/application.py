@@ -49,7 +49,7 @@ def clean_application(df: DataFrame, sentinel_scope: str = "column", fit: Source
     if fit is None:
         fit = fit_source(df, {"DAYS_EMPLOYED": F.col("DAYS_EMPLOYED")}, ["CNT_FAM_MEMBERS"], levels=[])
     df = fill_mode(df, ["CNT_FAM_MEMBERS"], fit.modes)
-    df = null_sentinel(df, "DAYS_EMPLOYED", sentinel_scope, fit.maxima)
+    df = null_sentinel(df, "DAYS_EMPLOYED", sentinel_scope, fit.maxima, keys=["SK_ID_CURR"])
     return fill_constant(df, {c: 0 for c in ZERO_FILLED})
 
 

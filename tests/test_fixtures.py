@@ -15,6 +15,7 @@ from loanloom.operators.correlation import correlations, drop_correlated, high_c
 from loanloom.operators.quantiles import group_median
 from loanloom.operators.recency import Block, recency_features
 from loanloom.operators.split import stratified_split
+from loanloom.plans import application
 from loanloom.plans.instalments import attach_payment_sum, instalment_row_features, late_columns
 from loanloom.plans.pos import loan_outcomes, pos_features
 from loanloom.sources import cache_or_load, narrow_types, read_csv, shared_dir
@@ -87,6 +88,21 @@ def test_sentinel_scope(spark, rows):
     assert rows(clean.null_sentinel(df, "x", "all")) == [(1, None), (None, 2)]
 
 
+def test_sentinel_scope_spares_keys(spark, rows):
+    df = spark.createDataFrame([(1, 9, 9), (9, 2, 3)], "k int, x int, y int")
+    assert rows(clean.null_sentinel(df, "x", "all", keys=["k"])) == [(1, None, None), (9, 2, 3)]
+
+
+def test_clean_application_keeps_a_key_as_large_as_the_sentinel(spark):
+    names = [*application.NOT_AVAILABLE_COLUMNS, "NAME_TYPE_SUITE", "CODE_GENDER", "NAME_FAMILY_STATUS"]
+    plain = spark.range(365242, 365245).select(
+        F.col("id").alias("SK_ID_CURR"), F.lit(365243).alias("DAYS_EMPLOYED"), F.lit(2.0).alias("CNT_FAM_MEMBERS"),
+        *[F.lit("a").alias(c) for c in dict.fromkeys(names)], *[F.lit(1.0).alias(c) for c in application.ZERO_FILLED],
+    )
+    cleaned = application.clean_application(plain, sentinel_scope="all")
+    assert sorted(r[0] for r in cleaned.select("SK_ID_CURR").collect()) == [365242, 365243, 365244]
+
+
 def test_fills(spark, rows):
     df = spark.createDataFrame([("a", None), ("a", 1), ("b", 2), (None, 1)], "s string, n int")
     assert rows(clean.fill_mode(df, ["s", "n"])) == [("a", 1), ("a", 1), ("a", 1), ("b", 2)]
