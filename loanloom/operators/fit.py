@@ -105,6 +105,13 @@ def known_facts(
     df: DataFrame, fit: SourceFit | None, vocabulary: Vocabulary | None, hot: Sequence[object] | None, key: str = "SK_ID_CURR"
 ) -> tuple[Vocabulary, Sequence[object]]:
     """Levels and hot keys; a pass over the table only for what neither the caller nor a fit names."""
+    return sized_facts(df, fit, vocabulary, hot, key)[:2]
+
+
+def sized_facts(
+    df: DataFrame, fit: SourceFit | None, vocabulary: Vocabulary | None, hot: Sequence[object] | None, key: str = "SK_ID_CURR"
+) -> tuple[Vocabulary, Sequence[object], int | None]:
+    """``known_facts`` and the number of rows, None if it took no pass to know the others."""
     if fit is None and (vocabulary is None or hot is None):
         fit = fit_source(df)
-    return vocabulary or fit.vocabulary, fit.hot(df, key) if hot is None else hot
+    return vocabulary or fit.vocabulary, fit.hot(df, key) if hot is None else hot, fit.rows if fit else None

@@ -5,10 +5,14 @@ with the slices it belongs to, so every slice of every key is aggregated in the
 same stage and a slice without rows is simply absent, which is what a left join
 would give. Keys that hold a large share of the table take a second way, with
 partial aggregation before the shuffle, so no task receives all their rows.
+
+How many tasks share the shuffled rows goes by the number of rows. Adaptive execution goes by shuffled bytes, which are few,
+while an aggregate over several slices holds some two kilobytes for each of them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -84,6 +88,7 @@ def recency_features(
     block: Block,
     strategy: str = "tagged",
     hot: Sequence[object] | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Features per key, each column repeated per slice with the slice's suffix.
 
@@ -91,16 +96,16 @@ def recency_features(
     rows. ``strategy``: ``tagged`` (one shuffle, wide blocks), ``bands`` (one shuffle, every row aggregated
     once, for blocks whose aggregates merge and keys with many rows), ``one_pass``
     (conditional aggregates, narrow blocks) or ``naive`` (filter, aggregate and
-    join per slice; the yardstick for tests).
+    join per slice; the yardstick for tests). ``rows``: how many the detail has, if known; else they may be counted.
     """
     detail = detail.where(F.col(key).isNotNull())
     if all(bound is not None for bound in slices.values()):
         # Without an all-time slice older rows need not be read or shuffled.
         detail = detail.where(_in_slice(offset, max(slices.values())))
     if strategy == "tagged":
-        return _tagged(detail, key, offset, slices, block, hot)
+        return _tagged(detail, key, offset, slices, block, hot, rows)
     if strategy == "bands":
-        return _banded(detail, key, offset, slices, block, hot)
+        return _banded(detail, key, offset, slices, block, hot, rows)
     if strategy == "one_pass":
         return _one_pass(detail, key, offset, slices, block)
     if strategy == "naive":
@@ -108,6 +113,22 @@ def recency_features(
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
+# Rows a task gets after the shuffle.
+ROWS_PER_TASK = 250_000
+
+
+def _by_key(detail: DataFrame, key: str, rows: int) -> DataFrame:
+    """Rows shuffled by key, over as many tasks as their number asks for; few rows as adaptive execution likes.
+
+    The number is a multiple of the session's shuffle partitions, so every task writes one bucket of a table that has as many
+    buckets as those.
+    """
+    if rows <= ROWS_PER_TASK:
+        return detail.repartition(key)
+    parts = int(detail.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return detail.repartition(parts * math.ceil(rows / ROWS_PER_TASK / parts), key)
+
+
 def _side_by_side(long: DataFrame, key: str, slices: Mapping[str, int | None]) -> DataFrame:
     """Rows per key and ``_slice`` to one row per key with the columns of every slice."""
     features = [c for c in long.columns if c not in (key, "_slice")]
@@ -126,7 +147,7 @@ def _side_by_side(long: DataFrame, key: str, slices: Mapping[str, int | None]) -
 SALTS = 64
 
 
-def _banded(detail, key, offset, slices, block, hot):
+def _banded(detail, key, offset, slices, block, hot, rows):
     """Every row belongs to one band, the youngest slice it is in, and is aggregated there once, into states that merge.
 
     A slice is the sum of its band and all younger ones. Rows of hot keys are dealt over ``SALTS`` tasks in the same
@@ -136,6 +157,7 @@ def _banded(detail, key, offset, slices, block, hot):
     if block.mergeable is None:
         raise ValueError("bands need a block whose aggregates merge")
     parts, hot = block.mergeable(), hot_keys(detail, key) if hot is None else list(hot)
+    n_rows = detail.count() if rows is None else rows
     young_first = sorted(slices, key=lambda s: float("inf") if slices[s] is None else slices[s])
     tests = [f"WHEN {_in_slice(offset, slices[s])} THEN {i}" for i, s in enumerate(young_first)]
     numbers = {s: i for i, s in enumerate(slices)}
@@ -153,11 +175,11 @@ def _banded(detail, key, offset, slices, block, hot):
         return rows.groupBy(by, "_band").agg(*[F.expr(f"{r} AS `{n}`") for n, r in parts.rows.items()])
 
     if not hot:
-        return merged(banded(detail.repartition(key), key), key)
+        return merged(banded(_by_key(detail, key, n_rows), key), key)
     # All rows of a key lie in one place, but those of a hot key in ``SALTS`` places.
     salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*detail.columns), F.lit(SALTS))).otherwise(0)
     placed = detail.withColumn("_place", F.struct(F.col(key).alias("key"), salt.alias("salt")))
-    states = banded(placed.repartition("_place"), "_place")
+    states = banded(_by_key(placed, "_place", n_rows), "_place")
     # Adding zero in a way that is no constant keeps Spark from moving the test below the exchange, which would make it two.
     is_hot = F.col("_place.key").isin(hot).cast("int") + F.floor(F.rand(0))
     cold = merged(states.where(is_hot == 0), "_place")
@@ -165,8 +187,9 @@ def _banded(detail, key, offset, slices, block, hot):
     return cold.unionByName(merged(states.where(is_hot == 1).withColumn(key, F.col("_place.key")), key))
 
 
-def _tagged(detail, key, offset, slices, block, hot):
+def _tagged(detail, key, offset, slices, block, hot, rows):
     hot = hot_keys(detail, key) if hot is None else list(hot)
+    n_rows = detail.count() if rows is None else rows
 
     def rolled(rows: DataFrame) -> DataFrame:
         rows = block.prepare(rows)
@@ -177,9 +200,9 @@ def _tagged(detail, key, offset, slices, block, hot):
         return _side_by_side(block.aggregate(tagged, [key, "_slice"]), key, slices)
 
     if not hot:
-        return rolled(detail.repartition(key))
+        return rolled(_by_key(detail, key, n_rows))
     is_hot = F.col(key).isin(hot)
-    return rolled(detail.where(~is_hot).repartition(key)).unionByName(rolled(detail.where(is_hot)))
+    return rolled(_by_key(detail.where(~is_hot), key, n_rows)).unionByName(rolled(detail.where(is_hot)))
 
 
 def _one_pass(detail, key, offset, slices, block):
@@ -202,16 +225,17 @@ def _naive(detail, key, offset, slices, block):
 
 
 def roll_up(
-    detail: DataFrame, key: str, block: Block, hot: Sequence[object] | None = None
+    detail: DataFrame, key: str, block: Block, hot: Sequence[object] | None = None, rows: int | None = None
 ) -> DataFrame:
-    """A block over all rows of each key, without slices."""
+    """A block over all rows of each key, without slices; ``rows`` as for ``recency_features``."""
     detail = detail.where(F.col(key).isNotNull())
     hot = hot_keys(detail, key) if hot is None else list(hot)
+    n_rows = detail.count() if rows is None else rows
 
     def rolled(rows: DataFrame) -> DataFrame:
         return block.aggregate(block.prepare(rows), [key])
 
     if not hot:
-        return rolled(detail.repartition(key))
+        return rolled(_by_key(detail, key, n_rows))
     is_hot = F.col(key).isin(hot)
-    return rolled(detail.where(~is_hot).repartition(key)).unionByName(rolled(detail.where(is_hot)))
+    return rolled(_by_key(detail.where(~is_hot), key, n_rows)).unionByName(rolled(detail.where(is_hot)))

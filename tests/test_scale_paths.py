@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loanloom.functions import AggSpec
-from loanloom.operators import attach, correlation, duplicates, encode, lookup, quantiles
+from loanloom.operators import attach, correlation, duplicates, encode, lookup, quantiles, recency
 from loanloom.operators import table_profile
 from loanloom.operators.recency import DAY_SLICES, MONTH_SLICES, Block, recency_features
 from loanloom.operators.split import stratified_folds, stratified_split
@@ -376,3 +376,19 @@ def test_profile_mends_brackets_and_empty_tables(spark, monkeypatch):
     assert empty.shape == (0, 3) and empty.constants() == ["v", "w", "a.b"] and empty.missing().count() == 0
     assert [tuple(r) for r in empty.check([0.5]).collect()] == [("v", "double", 0, None), ("w", "double", 0, None), ("a.b", "string", 0, None)]
     assert empty.describe([0.5]).first()["count"] == 0
+
+
+@pytest.mark.parametrize("hot", [[], [1]])
+def test_tasks_of_recency_go_by_rows(spark, monkeypatch, hot):
+    df = spark.range(6000).selectExpr("id % 50 AS k", "-CAST(id % 400 AS INT) AS age", "CAST(id % 7 AS INT) AS v")
+    block = Block.of(AggSpec({"v": ["sum", "max"]}))
+    few = {s: recency_features(df, "k", "age", DAY_SLICES, block, s, hot) for s in ("tagged", "bands")}
+    few["all"] = recency.roll_up(df, "k", block, hot)
+    want = {s: sorted(map(tuple, f.collect())) for s, f in few.items()}
+    monkeypatch.setattr(recency, "ROWS_PER_TASK", 500)
+    many = {s: recency_features(df, "k", "age", DAY_SLICES, block, s, hot, rows=6000) for s in ("tagged", "bands")}
+    many["all"] = recency.roll_up(df, "k", block, hot)
+    for s, f in many.items():
+        # 12 tasks of 500 rows, a multiple of the session's 4 partitions.
+        assert f.rdd.getNumPartitions() >= 12, s
+        assert sorted(map(tuple, f.collect())) == want[s], s
