@@ -9,6 +9,7 @@ from loanloom.catalog.registry import query, r4, rounded, sql_r4
 from loanloom.operators import binned, model
 from loanloom.operators.binned import SplitSetting
 from loanloom.operators.split import stratified_folds
+from loanloom.operators.spread import spread
 
 # The order of the split, which both engines compute alike.
 _ORDER = "(SK_ID_CURR * 2654435761) % 1000003"
@@ -20,6 +21,7 @@ SHARES = [0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5]
 def _rows(t, folds: int):
     """Binned applicants, with folds if asked for."""
     rows = t.application.select("SK_ID_CURR", F.col("TARGET").cast("long").alias("TARGET"), *NUMBERS)
+    rows = spread(rows, "SK_ID_CURR")
     if not folds:
         return binned.binned(rows, binned.fit_bins(rows, NUMBERS, BINS), ["SK_ID_CURR", "TARGET"])
     placed = stratified_folds(rows, "TARGET", "SK_ID_CURR", folds, order=F.expr(_ORDER), order_max=1_000_003)

@@ -9,6 +9,7 @@ from loanloom.catalog.registry import query, r4, rounded, sql_r4, sql_rounded
 from loanloom.operators import model, selection
 from loanloom.operators.clean import finite_matrix
 from loanloom.operators.split import stratified_folds, stratified_split
+from loanloom.operators.spread import spread
 from loanloom.plans import roles
 
 _HASH = "(SK_ID_CURR * 2654435761) % 1000003"
@@ -164,8 +165,9 @@ def _(t):
 
 
 def _vectors(t):
-    scaler_rows = finite_matrix(t.application.select("SK_ID_CURR", "TARGET", *FEATURES), FEATURES)
-    scaled = selection.scale(scaler_rows, selection.fit_scaler(scaler_rows, FEATURES))
+    rows = t.application.select("SK_ID_CURR", "TARGET", *FEATURES)
+    scaler = selection.fit_scaler(finite_matrix(rows, FEATURES), FEATURES)
+    scaled = selection.scale(finite_matrix(spread(rows, "SK_ID_CURR"), FEATURES), scaler)
     return model.assemble(scaled, FEATURES, keep=["SK_ID_CURR", "TARGET"])
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanloom.functions.expr import safe_div
-from loanloom.operators.lookup import lookup_join
+from loanloom.operators.lookup import bounded, lookup_join
 
 # The fold of what is fitted on all rows.
 ALL = -1
@@ -275,10 +275,11 @@ def cross_validate_card(rows: DataFrame, cards: DataFrame, label: str) -> DataFr
 def base_scores(rows: DataFrame, counts: DataFrame, features: Sequence[str], setting: SplitSetting = SplitSetting(), scale: float = 1000.0) -> DataFrame:
     """M5: scores in 0 to 1 of the tree and the card fitted on all rows, for rows of ``binned``; both only read counts to fit."""
     everyone = rows.withColumn("fold", F.lit(ALL))
-    tree = best_splits(counts.where(F.col("fold") == ALL), [setting], features).first()
+    counts, _ = bounded(counts.where(F.col("fold") == ALL))  # at most features by bins, and read twice
+    tree = best_splits(counts, [setting], features).first()
     if tree is None:
         return everyone.drop("fold", "_bins").select("*", F.lit(0.0).alias("score_split"), F.lit(0.0).alias("score_card")).limit(0)
     left = F.lit(True) if tree["feature"] is None else F.col("_bins")[list(features).index(tree["feature"])] <= tree["cut"]
     scored = everyone.withColumn("score_split", F.when(left, tree["score_left"]).otherwise(tree["score_right"]))
-    pointed = card_points(scored, fit_cards(counts.where(F.col("fold") == ALL), scale))
+    pointed = card_points(scored, fit_cards(counts, scale))
     return pointed.withColumn("score_card", 1 / (1 + F.exp(-F.col("points") / scale))).drop("fold", "points")

@@ -215,7 +215,11 @@ def grid_search(
         foldCol="fold",
         parallelism=parallelism,
     )
-    fitted = search.fit(stratified_folds(df, label, key, folds, seed))
+    data = stratified_folds(df, label, key, folds, seed).persist()
+    try:
+        fitted = search.fit(data)
+    finally:
+        data.unpersist()
     rows = [
         (i, ", ".join(f"{p.name}={v}" for p, v in sorted(g.items(), key=lambda x: x[0].name)), float(a))
         for i, (g, a) in enumerate(zip(grid, fitted.avgMetrics, strict=True))

@@ -13,6 +13,7 @@ from loanloom.operators import model, selection
 from loanloom.operators.clean import finite_matrix
 from loanloom.operators.profile import numeric_columns
 from loanloom.operators.split import stratified_split
+from loanloom.operators.spread import spread
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,8 @@ def model_matrix(
         same = finite_matrix(rows.select(key, label, *features), features)
         return model.assemble(selection.scale(same, scaler), features, keep=[key, label])
 
-    train_vectors, held_vectors = vectors(train).persist(), vectors(held)
+    train_vectors = vectors(spread(train.select(key, label, *features), key)).persist()
+    held_vectors = vectors(held)
     try:
         estimators = dict(estimators or model.base_models(label, seed))
         base = {n: model.cross_validate(e, train_vectors, label, key, folds, seed) for n, e in estimators.items()}

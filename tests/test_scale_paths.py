@@ -392,3 +392,22 @@ def test_tasks_of_recency_go_by_rows(spark, monkeypatch, hot):
         # 12 tasks of 500 rows, a multiple of the session's 4 partitions.
         assert f.rdd.getNumPartitions() >= 12, s
         assert sorted(map(tuple, f.collect())) == want[s], s
+
+
+def test_models_spread_their_rows(spark, roles, monkeypatch):
+    """150 applicants of one file in 5 tasks; scores from counts stay what they were, and every fit reads part of the rows a task."""
+    from loanloom.catalog import binned_models, learning
+    from loanloom.operators import spread as spreading
+
+    assert learning._vectors(roles).rdd.getNumPartitions() == 1
+    want = sorted(binned_models._base(roles).collect())
+    monkeypatch.setattr(spreading, "ROWS_PER_TASK", 30)
+    data = learning._vectors(roles)
+    parts = [[r["SK_ID_CURR"] for r in p] for p in data.rdd.glom().collect()]
+    assert len(parts) == 5 and max(map(len, parts)) < 60 and all(p == sorted(p) for p in parts)
+    assert sorted(k for p in parts for k in p) == sorted(r[0] for r in roles.application.select("SK_ID_CURR").collect())
+    assert binned_models._rows(roles, 0).rdd.getNumPartitions() == 5
+    assert sorted(binned_models._base(roles).collect()) == want
+    folded = sorted(binned_models._rows(roles, 3).select("SK_ID_CURR", "fold").collect())
+    monkeypatch.undo()
+    assert sorted(binned_models._rows(roles, 3).select("SK_ID_CURR", "fold").collect()) == folded
