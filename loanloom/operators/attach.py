@@ -8,11 +8,13 @@ keeps such rows where they are.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanloom.operators.lookup import MIN_HOT_ROWS, split_join
+from loanloom.operators.lookup import MIN_HOT_ROWS, hot_keys, split_join
 
 
 def attach_stats(
@@ -30,6 +32,32 @@ def attach_stats(
     return split_join(df, grouped, keys, "left", min_hot_rows).select(*df.columns, *stats)
 
 
+def attach_stats_in_place(
+    df: DataFrame,
+    keys: Sequence[str],
+    stats: Mapping[str, Column],
+    min_hot_rows: int = MIN_HOT_ROWS,
+) -> DataFrame:
+    """As ``attach_stats``, for wide rows and small groups: a window, which ships the rows once, or not at all if those
+    of one key lie together already.
+
+    Rows of hot keys take the way of ``attach_stats``, so no window is over one; rows with a missing key are windows of their own.
+    ``stats`` must be aggregates that windows allow, so none of distinct values.
+    """
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    hashed = F.xxhash64(*keys)
+    hot = hot_keys(df.where(known).select(hashed.alias("_hash")), "_hash", min_rows=min_hot_rows)
+    is_hot = known & hashed.isin(hot)
+    apart = F.when(~known, F.xxhash64(*df.columns))
+    by = Window.partitionBy(*keys, apart)
+    result = (df.where(~is_hot) if hot else df).withColumns({n: F.when(known, c.over(by)) for n, c in stats.items()})
+    if not hot:
+        return result
+    many = df.where(is_hot)
+    few = F.broadcast(many.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]))
+    return result.unionByName(many.join(few, list(keys), "left").select(*df.columns, *stats))
+
+
 def left_join_blocks(base: DataFrame, blocks: Sequence[DataFrame], key: str) -> DataFrame:
     """Blocks with one row per key joined to the base, which keeps its rows."""
     for block in blocks:

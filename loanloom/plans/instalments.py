@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanloom.functions.expr import clip_at_zero, flag, safe_div
-from loanloom.operators.attach import attach_stats
+from loanloom.operators.attach import attach_stats_in_place
 from loanloom.operators.clean import fill_constant
 from loanloom.operators.encode import Vocabulary
 from loanloom.operators.fit import sized_facts
@@ -24,8 +24,9 @@ INSTALMENT = ("SK_ID_PREV", "NUM_INSTALMENT_NUMBER")
 
 def attach_payment_sum(df: DataFrame) -> DataFrame:
     """Everything paid towards the same instalment number of the same loan."""
-    paid = F.coalesce(F.sum("AMT_PAYMENT"), F.lit(0))
-    return attach_stats(df, INSTALMENT, {"AMT_PAYMENT_GROUPED": paid})
+    attached = attach_stats_in_place(df, INSTALMENT, {"_n": F.count(F.lit(1)), "AMT_PAYMENT_GROUPED": F.sum("AMT_PAYMENT")})
+    paid = F.when(F.col("_n").isNotNull(), F.coalesce("AMT_PAYMENT_GROUPED", F.lit(0)))
+    return attached.withColumn("AMT_PAYMENT_GROUPED", paid).drop("_n")
 
 
 def late_columns(df: DataFrame, late_from: str = "DBD", mode: str = "null") -> DataFrame:

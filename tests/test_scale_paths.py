@@ -411,3 +411,20 @@ def test_models_spread_their_rows(spark, roles, monkeypatch):
     folded = sorted(binned_models._rows(roles, 3).select("SK_ID_CURR", "fold").collect())
     monkeypatch.undo()
     assert sorted(binned_models._rows(roles, 3).select("SK_ID_CURR", "fold").collect()) == folded
+
+
+def test_payment_sums_ship_rows_once(spark, tmp_path):
+    """Missing keys and payments, hot and cold keys; rows that lie by loan already are not shuffled again."""
+    df = spark.range(0, 9000, 1, 4).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 11 > 0 THEN id % 900 END AS p", "CAST(nullif(id % 5, 4) AS INT) AS n",
+        "CASE WHEN id % 2 = 0 THEN CAST(id AS DOUBLE) END AS v", "id",
+    )
+    stats = {"s": F.sum("v"), "c": F.count("v")}
+    want = cut(attach.attach_stats(df, ["p", "n"], stats))
+    cold = attach.attach_stats_in_place(df, ["p", "n"], stats)
+    hot = attach.attach_stats_in_place(df, ["p", "n"], stats, min_hot_rows=500)
+    assert cut(cold) == want and cut(hot) == want
+    assert "Union" in plan_of(hot) and "Union" not in plan_of(cold)
+    paid = df.selectExpr("p AS SK_ID_PREV", "n AS NUM_INSTALMENT_NUMBER", "v AS AMT_PAYMENT")
+    assert plan_of(instalments.attach_payment_sum(paid)).count("Exchange hashpartitioning") == 1
+    assert plan_of(instalments.attach_payment_sum(paid.repartition(5, "SK_ID_PREV"))).count("Exchange hashpartitioning") == 1
