@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -22,7 +21,7 @@ from loanloom.plans.card import card_recency
 from loanloom.plans.instalments import instalment_recency
 from loanloom.plans.pos import pos_recency
 from loanloom.plans.previous import clean_previous, fit_previous, previous_recency
-from loanloom.session import together
+from loanloom.session import shuffles_dropped, together
 from loanloom.sources.io import bucketed_or_load, fingerprint
 
 
@@ -55,14 +54,18 @@ def side_blocks(
         previous = clean_previous(sources.previous, facts)
         return previous_recency(previous, slices=day_slices, hot=hot, mode=mode, fit=facts)
 
-    return together(
-        sources.bureau.sparkSession,
-        lambda: bureau_features(sources.bureau, sources.bureau_balance, hot=hot),
-        earlier,
-        lambda: pos_recency(sources.pos, tie_break=pos_tie_break, slices=month_slices, hot=hot),
-        lambda: instalment_recency(sources.instalments, slices=day_slices, hot=hot, mode=mode),
-        lambda: card_recency(sources.card, offset=card_offset, slices=card_slices, hot=hot, mode=mode),
-    )
+    spark = sources.bureau.sparkSession
+    with shuffles_dropped(spark):
+        built = together(
+            spark,
+            lambda: bureau_features(sources.bureau, sources.bureau_balance, hot=hot),
+            earlier,
+            lambda: pos_recency(sources.pos, tie_break=pos_tie_break, slices=month_slices, hot=hot),
+            lambda: instalment_recency(sources.instalments, slices=day_slices, hot=hot, mode=mode),
+            lambda: card_recency(sources.card, offset=card_offset, slices=card_slices, hot=hot, mode=mode),
+        )
+    # Frames of their own, so that the caller's queries on them are as any other.
+    return [block.select("*") for block in built]
 
 
 def write_blocks(
@@ -72,6 +75,8 @@ def write_blocks(
 
     A block is found again only if its columns, its source files with their sizes and
     times, and ``settings`` (say, the bounds of the slices) are what they were.
+
+    The disk holds the shuffle of one block at a time beside those already stored, so the widest, which take the most, come last.
     """
 
     def stored(place: int, block: DataFrame) -> DataFrame:
@@ -80,7 +85,9 @@ def write_blocks(
 
     if not blocks:
         return []
-    return together(blocks[0].sparkSession, *[partial(stored, i, b) for i, b in enumerate(blocks)])
+    with shuffles_dropped(blocks[0].sparkSession):
+        found = {i: stored(i, blocks[i]) for i in sorted(range(len(blocks)), key=lambda i: len(blocks[i].columns))}
+    return [found[i] for i in range(len(blocks))]
 
 
 def train_matrix(

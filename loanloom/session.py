@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from threading import RLock
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 _Result = TypeVar("_Result")
+# Spark's own switch: the shuffle files of a query are deleted when it ends, not when the driver happens to collect garbage.
+_FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_switching = RLock()
 
 
 def build_session(app_name: str = "loanloom", master: str | None = None, **conf: object) -> SparkSession:
@@ -38,3 +43,21 @@ def together(spark: SparkSession, *calls: Callable[[], _Result]) -> list[_Result
     with ThreadPoolExecutor(max(1, len(calls))) as pool:
         started = [pool.submit(inheritable_thread_target(spark)(call)) for call in calls]
         return [s.result() for s in started]
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files behind, so the disk holds those of the running ones alone.
+
+    A frame made inside keeps the habit: an action that repeats one on the very same frame shuffles anew.
+    """
+    with _switching:
+        before = spark.conf.get(_FILE_CLEANUP, None)
+        spark.conf.set(_FILE_CLEANUP, "true")
+        try:
+            yield
+        finally:
+            if before is None:
+                spark.conf.unset(_FILE_CLEANUP)
+            else:
+                spark.conf.set(_FILE_CLEANUP, before)

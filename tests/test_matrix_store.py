@@ -1,6 +1,7 @@
 """One fit pass per source, and blocks stored so that train and test join them in place."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from loanloom.operators.fit import fit_source, known_facts
 from loanloom.plans import matrix
 from loanloom.plans.application import clean_and_fit, clean_application, fit_application
 from loanloom.plans.roles import CARD_SLICES, POS_TIE_BREAK, Roles
-from loanloom.session import together
+from loanloom.session import shuffles_dropped, together
 from loanloom.sources import bucketed_or_load
 
 SF = "/root/testdata/sf0.001"
@@ -115,3 +116,59 @@ def test_matrices_join_stored_blocks_in_place(spark, rows, tmp_path, no_broadcas
     columns = ["SK_ID_CURR", "BUREAU_DAYS_CREDIT_mean", "PREV_AMT_CREDIT_MAX_week", "POS_SK_DPD_MAX", "INSTALLATION_COUNT_year", "CREDIT_COUNT"]
     plain, _ = matrix.train_matrix(t.application.where("SK_ID_CURR % 11 >= 3"), blocks)
     assert rows(train, *columns) == rows(plain, *columns)
+
+
+def test_blocks_are_stored_one_by_one_and_leave_no_shuffles(spark, tmp_path, monkeypatch):
+    """The disk holds the shuffle of one block at a time, the narrow ones first; the session's setting is as it was."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles().iterator()
+        found = set()
+        while files.hasNext():
+            found.add(files.next().getName())
+        return {f for f in found if f.startswith("shuffle_")}
+
+    def left(before):
+        """Files are deleted soon after a query, not before it returns."""
+        for _ in range(100):
+            if not shuffles() - before:
+                break
+            time.sleep(0.1)
+        return shuffles() - before
+
+    def grouped(name, n):
+        measures = [F.max("id").alias(f"{name}{i}") for i in range(n)]
+        return spark.range(300).withColumn("SK_ID_CURR", F.col("id") % 40).groupBy("SK_ID_CURR").agg(*measures)
+
+    stored, running = [], []
+
+    def write(df, *args):
+        running.append(1)
+        assert len(running) == 1
+        result = bucketed_or_load(df, *args)
+        assert not left(before)
+        running.pop()
+        stored.append(df.columns[1])
+        return result
+
+    monkeypatch.setattr(matrix, "bucketed_or_load", write)
+    before = shuffles()
+    blocks = matrix.write_blocks([grouped("wide", 9), grouped("narrow", 1), grouped("mid", 4)], str(tmp_path))
+    assert stored == ["narrow0", "mid0", "wide0"] and [len(b.columns) for b in blocks] == [10, 2, 5]
+    assert all(b.count() == 40 and all(".zstd." in f for f in b.inputFiles()) for b in blocks)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert spark.conf.get(name, None) is None
+
+    before = shuffles()
+    t = Roles(spark, SF)
+    matrix.side_blocks(matrix.Sources(t.bureau, t.bureau_balance, t.previous, t.pos, t.instalments, t.card))
+    assert not left(before) and spark.conf.get(name, None) is None
+    with pytest.raises(ValueError), shuffles_dropped(spark):
+        spark.conf.set(name, "false")
+        with shuffles_dropped(spark):
+            frame = grouped("again", 1)
+            assert frame.count() == 40 and len(frame.collect()) == len(frame.collect()) == 40
+        assert spark.conf.get(name) == "false"
+        raise ValueError
+    assert spark.conf.get(name, None) is None
