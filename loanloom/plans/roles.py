@@ -242,7 +242,12 @@ class Roles:
 
     @property
     def instalments(self) -> DataFrame:
-        return self._derive(self._lines(), instalments(_spark_days))
+        # What a line alone gives is derived before the join, which ships fewer and smaller columns than the raw ones.
+        columns = instalments(_spark_days)
+        lines = self.table("lineitem").select(*[F.expr(e).alias(n) for n, e in columns.items() if not e.startswith("o_")])
+        orders = self.table("orders")
+        joined = lines.join(orders, lines.SK_ID_PREV == orders.o_orderkey)
+        return joined.select(*[F.expr(e).alias(n) if e.startswith("o_") else F.col(n) for n, e in columns.items()])
 
     @property
     def card(self) -> DataFrame:

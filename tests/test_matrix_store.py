@@ -11,7 +11,7 @@ from loanloom.operators.encode import fit_vocabulary
 from loanloom.operators.fit import fit_source, known_facts
 from loanloom.plans import matrix
 from loanloom.plans.application import clean_and_fit, clean_application, fit_application
-from loanloom.plans.roles import CARD_SLICES, POS_TIE_BREAK, Roles
+from loanloom.plans.roles import CARD_SLICES, POS_TIE_BREAK, Roles, _spark_days, instalments
 from loanloom.session import shuffles_dropped, together
 from loanloom.sources import bucketed_or_load
 
@@ -172,3 +172,12 @@ def test_blocks_are_stored_one_by_one_and_leave_no_shuffles(spark, tmp_path, mon
         assert spark.conf.get(name) == "false"
         raise ValueError
     assert spark.conf.get(name, None) is None
+
+
+def test_instalments_are_derived_before_the_join(spark, rows):
+    """The same rows as by deriving after it, with no raw amounts shipped."""
+    t = Roles(spark, SF)
+    after = t._derive(t._lines(), instalments(_spark_days))
+    assert t.instalments.schema == after.schema and rows(t.instalments) == rows(after)
+    above, below = t.instalments._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")
+    assert "l_" not in above and "AS AMT_PAYMENT" in below
